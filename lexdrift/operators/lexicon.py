@@ -86,10 +86,10 @@ def _salted_lookup(tokens: DataFrame, words: DataFrame, key: str, slices: int) -
     salted = F.broadcast(salted)
     spread = F.pmod(F.xxhash64(F.col(key)), F.coalesce("salts", F.lit(1)))
     left = tokens.join(salted, "surface", "left").withColumn("salt", spread).drop("salts")
-    copies = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
+    copies = F.sequence(F.lit(0).cast("bigint"), F.coalesce("salts", F.lit(1)).cast("bigint") - 1)
     right = (
         words.join(salted, "surface", "left")
-        .withColumn("salt", copies.cast("bigint"))
+        .withColumn("salt", F.explode(copies))
         .drop("salts")
     )
     return left.join(right, ["surface", "salt"], "left").drop("salt")

@@ -275,5 +275,6 @@ def write_html_report(compared: DataFrame, summary: DataFrame, path: str) -> Non
     )
     rows = html_rows(compared).orderBy("row_no").select(F.col("html").alias("value"))
     tail = summary.filter(any_difference).select(F.lit(TABLE_END).alias("value"))
-    # Every piece brings its own line ends.
-    head.union(rows).union(tail).write.option("lineSep", "").text(path)
+    # Every piece ends with a line end, which the text sink adds itself.
+    pieces = head.union(rows).union(tail)
+    pieces.select(F.left("value", F.length("value") - 1).alias("value")).write.text(path)

@@ -61,7 +61,7 @@ def read_pages(spark: SparkSession, path: str | list[str], strict: bool = False)
         ).alias("seq"),
         F.regexp_extract("value", PAGE_START, 0).alias("page"),
     ).filter(F.col("page") != "")
-    if any(p.endswith(".gz") for p in paths):
+    if any(file.endswith(".gz") for file in lines.inputFiles()):
         # gzip does not split: spread the pages right after the single reader.
         pages = pages.repartition(F.col("seq"))
     return pages
