@@ -14,6 +14,7 @@ from lexdrift.functions.render import html_escape
 from lexdrift.functions.text import derive_title
 from lexdrift.plans.workspace import new_folder
 from lexdrift.sources import columnar, dump
+from lexdrift.sources.spread import spread
 
 
 def corpus_path(sf_dir: str) -> str:
@@ -22,7 +23,7 @@ def corpus_path(sf_dir: str) -> str:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(seq, id, text, lang, source)``."""
-    return columnar.read_columns(spark, corpus_path(sf_dir), ["lang", "source"])
+    return spread(columnar.read_columns(spark, corpus_path(sf_dir), ["lang", "source"]))
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +132,7 @@ def write_cut_dump(spark: SparkSession, sf_dir: str) -> str:
 def write_splits(spark: SparkSession, sf_dir: str) -> str:
     """The corpus as three splits: English, French, the rest."""
     root = new_folder(spark, "splits")
-    rows = spark.read.parquet(corpus_path(sf_dir)).select("doc_id", "text", "lang")
+    rows = corpus(spark, sf_dir).select("id", "text", "lang")
     lang = F.col("lang")
     for name, chosen in (
         ("train", lang == "en"),
@@ -143,9 +144,9 @@ def write_splits(spark: SparkSession, sf_dir: str) -> str:
 
 
 def write_shards(spark: SparkSession, sf_dir: str) -> str:
-    """The corpus as Parquet shards, one folder per language pooled in one place."""
+    """The corpus as Parquet shards in one folder, language after language."""
     root = new_folder(spark, "shards")
-    rows = spark.read.parquet(corpus_path(sf_dir)).select("doc_id", "text", "lang")
+    rows = corpus(spark, sf_dir).select("id", "text", "lang")
     for lang in ("en", "fr", "de", "es"):
         rows.filter(F.col("lang") == lang).write.mode("append").parquet(root)
     return root

@@ -49,7 +49,7 @@ from lexdrift.plans import (
     html_rows,
     html_summary,
 )
-from lexdrift.plans.jobs import lean
+from lexdrift.plans.jobs import compare_scan, lean
 from lexdrift.plans.workspace import new_folder, stored
 from lexdrift.sources import audit_parquet, columnar, dump, read_split
 from lexdrift.streaming import read_shards, start_compare
@@ -96,7 +96,7 @@ def outcome_columns() -> list[Column]:
 
 
 def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare(derived.articles(spark, sf_dir), BASIC_1, BASIC_2)
+    return compare_scan(derived.articles(spark, sf_dir), BASIC_1, BASIC_2)
 
 
 def run_info(**changes) -> RunInfo:
@@ -124,7 +124,7 @@ def parquet_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def empty_text_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     blanked = derived.by_lang(F.col("text"), de=F.lit(""), fr=F.lit(None).cast("string"))
     rows = derived.corpus(spark, sf_dir).withColumn("text", blanked)
-    return columnar.drop_empty_text(rows).select("id", size(F.col("text")).alias("n"))
+    return columnar.drop_empty(rows, "text").select("id", size(F.col("text")).alias("n"))
 
 
 def split_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,7 +300,7 @@ def analysis_result(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def analyze_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = compare(derived.articles(spark, sf_dir), BASIC_2, BASIC_2)
+    rows = compare_scan(derived.articles(spark, sf_dir), BASIC_2, BASIC_2)
     return rows.select(
         "id", *[c for s in SLOTS for c in result_columns(f"new.{s}", f"new_{s}")]
     )
@@ -321,7 +321,7 @@ def _lexicon_pair(spark: SparkSession, sf_dir: str) -> list[tuple[str, LexiconAn
 
 def lexicon_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     (_, old), (_, new) = _lexicon_pair(spark, sf_dir)
-    rows = compare(derived.articles(spark, sf_dir), old, new)
+    rows = compare_scan(derived.articles(spark, sf_dir), old, new)
     return rows.select("id", *record_columns(), "has_difference")
 
 
@@ -363,7 +363,7 @@ def word_splitter(limit: int):
 
 def failed_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     picky = PythonAnalyzer("picky", word_splitter(WORD_LIMIT))
-    rows = compare(derived.articles(spark, sf_dir), BASIC_1, picky)
+    rows = compare_scan(derived.articles(spark, sf_dir), BASIC_1, picky)
     return rows.select(
         "id",
         "error",
@@ -472,7 +472,7 @@ def parquet_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = derived.write_shards(spark, sf_dir)
     sink, checkpoint = new_folder(spark, "sink"), new_folder(spark, "stream")
-    stream = read_shards(spark, shards, files_per_trigger=2)
+    stream = read_shards(spark, shards, files_per_trigger=32)
     start_compare(stream, sink, checkpoint, BASIC_1, BASIC_2).awaitTermination()
     return spark.read.parquet(sink).select("id", "title", *outcome_columns())
 

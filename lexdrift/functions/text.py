@@ -40,8 +40,10 @@ _MARKER_LINES = (
     rf"(?:[\x00-\x20]*+(?:{ARTICLE_MARKER}{_LINE_GAP}*+(?=\n|\z)"
     rf"|{SECTION_MARKER}[^\n]*+|{PARAGRAPH_MARKER}[^\n]*+))*+"
 )
-_FIRST_CONTENT_LINE = rf"\A{_MARKER_LINES}[\x00-\x20]*+([^\n]*+)"
-_FIRST_LINE = r"\A[\x00-\x20]*+([^\n]*+)"
+# Marker lines at the start are passed over if anything but blanks follows them.
+_TITLE_LINE = (
+    rf"\A(?:{_MARKER_LINES}(?=[\x00-\x20]*+[^\x00-\x20]))?[\x00-\x20]*+([^\n]*+)"
+)
 
 
 def ascii_trim(text: Column) -> Column:
@@ -87,9 +89,7 @@ def derive_title(text: Column) -> Column:
     """First line with content, cut to 100 characters; NULL for NULL or empty text.
 
     Marker lines are passed over unless the text has nothing else."""
-    content = ascii_trim(F.regexp_extract(text, _FIRST_CONTENT_LINE, 1))
-    any_line = ascii_trim(F.regexp_extract(text, _FIRST_LINE, 1))
-    line = F.when(content != "", content).otherwise(any_line)
+    line = ascii_trim(F.regexp_extract(text, _TITLE_LINE, 1))
     return F.when(text != "", F.left(line, F.lit(TITLE_LIMIT)))
 
 

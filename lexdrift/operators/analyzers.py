@@ -93,15 +93,13 @@ def fold_tokens(tokens: Column, analyzer: PatternAnalyzer) -> Column:
     )
 
 
-def fold_entries(entries: Column) -> Column:
-    """The same from an ordered array of ``surface, pos, cost`` structs."""
-    total = F.aggregate(
-        entries, F.lit(0).cast("bigint"), lambda acc, e: acc + e["cost"].cast("bigint")
-    )
+def fold_entries(entries: Column, pos: str = "pos", cost: str = "cost") -> Column:
+    """The same from an ordered array of structs with ``surface`` and the named fields."""
+    total = F.aggregate(entries[cost], F.lit(0).cast("bigint"), lambda acc, c: acc + c)
     return F.struct(
         total.alias("total_cost"),
-        F.transform(entries, lambda e: e["surface"]).alias("terms"),
-        F.transform(entries, lambda e: e["pos"]).alias("pos"),
+        entries["surface"].alias("terms"),
+        entries[pos].alias("pos"),
     )
 
 

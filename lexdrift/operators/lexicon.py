@@ -114,30 +114,31 @@ def lexicon_results(
     else:
         found = _salted_lookup(tokens, words, key, slices)
 
-    token = F.struct("g", "s", "i", "surface", *[f"e{n}" for n in range(len(models))])
+    entries = []
+    for n, model in enumerate(models):
+        entry = F.col(f"e{n}")
+        entries.append(F.coalesce(entry["cost"], F.lit(model.unknown_cost)).alias(f"cost{n}"))
+        entries.append(F.coalesce(entry["pos"], F.lit(model.unknown_pos)).alias(f"pos{n}"))
+    token = F.when(
+        F.col("surface").isNotNull(), F.struct("g", "s", "i", "surface", *entries)
+    )
     # One group per article: no larger than the article itself. A shuffle does not keep
     # the token order, so the position travels along and is sorted on.
-    grouped = found.groupBy(key).agg(
-        F.sort_array(
-            F.collect_list(F.when(F.col("surface").isNotNull(), token))
-        ).alias("tokens")
+    grouped = found.select(key, token.alias("token")).groupBy(key).agg(
+        F.sort_array(F.collect_list("token")).alias("tokens")
     )
 
-    def result(n: int, slot: int) -> Column:
-        model, g = models[n], patterns.index(models[n].pattern)
-        own = F.filter("tokens", lambda t: (t["g"] == g) & (t["s"] == slot))
-        return fold_entries(
-            F.transform(
-                own,
-                lambda t: F.struct(
-                    t["surface"].alias("surface"),
-                    F.coalesce(t[f"e{n}"]["pos"], F.lit(model.unknown_pos)).alias("pos"),
-                    F.coalesce(t[f"e{n}"]["cost"], F.lit(model.unknown_cost)).alias("cost"),
-                ),
-            )
-        )
+    def part(g: int, s: int) -> Column:
+        return F.filter("tokens", lambda t: (t["g"] == g) & (t["s"] == s))
+
+    fields = [(g, s) for g in range(len(patterns)) for s in range(len(SLOTS))]
+    parted = grouped.select(key, *[part(g, s).alias(f"tokens_{g}_{s}") for g, s in fields])
+
+    def result(n: int, s: int) -> Column:
+        tokens = F.col(f"tokens_{patterns.index(models[n].pattern)}_{s}")
+        return fold_entries(tokens, pos=f"pos{n}", cost=f"cost{n}")
 
-    return grouped.select(
+    return parted.select(
         key,
         *[
             F.struct(*[result(n, s).alias(slot) for s, slot in enumerate(SLOTS)]).alias(name)

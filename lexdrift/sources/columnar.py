@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexdrift.functions.text import decode_utf8, derive_title, is_blank
+from lexdrift.functions.text import decode_utf8, derive_title
 
 # The three splits and their file names.
 SPLIT_FILES = {
@@ -19,6 +19,7 @@ ALL_SPLITS = "all"
 
 
 def with_sequence(rows: DataFrame, extra: Sequence[str]) -> DataFrame:
+    """``(seq, id, text)`` and ``extra`` over a Parquet scan."""
     first, second = rows.columns[0], rows.columns[1]
     meta = F.col("_metadata")
     return rows.select(
@@ -33,6 +34,14 @@ def with_sequence(rows: DataFrame, extra: Sequence[str]) -> DataFrame:
     )
 
 
+def drop_empty(rows: DataFrame, column: str) -> DataFrame:
+    """Rows whose text is neither NULL nor empty.
+
+    Applied to the stored column, before decoding, the test reaches the scan."""
+    empty = F.lit(b"") if dict(rows.dtypes)[column] == "binary" else F.lit("")
+    return rows.filter(F.col(column).isNotNull() & (F.col(column) != empty))
+
+
 def read_columns(
     spark: SparkSession, path: str | list[str], extra: Iterable[str] = ()
 ) -> DataFrame:
@@ -40,34 +49,30 @@ def read_columns(
 
     The rest is pruned at the scan unless named in ``extra``. ``seq`` is the file
     and row position, so it needs no sort and no shuffle to obtain."""
-    return with_sequence(spark.read.parquet(*([path] if isinstance(path, str) else path)),
-                          list(extra))
-
+    paths = [path] if isinstance(path, str) else path
+    return with_sequence(spark.read.parquet(*paths), list(extra))
 
-def drop_empty_text(articles: DataFrame) -> DataFrame:
-    """Rows whose text is neither NULL nor empty."""
-    return articles.filter(~is_blank(F.col("text")))
 
-
-def to_articles(rows: DataFrame) -> DataFrame:
-    """Articles of a Parquet corpus: empty text dropped, title from the first line,
-    text untouched. There is no annotation and no revision time in this format."""
-    rest = [c for c in rows.columns if c not in ("seq", "id", "text")]
-    return drop_empty_text(rows).select(
+def to_articles(scan: DataFrame, extra: Iterable[str] = ()) -> DataFrame:
+    """Articles of a Parquet scan: empty text dropped, title from the first line, text
+    untouched. There is no annotation and no revision time in this format."""
+    rows = with_sequence(drop_empty(scan, scan.columns[1]), list(extra))
+    return rows.select(
         "seq",
         "id",
         derive_title(F.col("text")).alias("title"),
         F.lit(None).cast("string").alias("title_annotation"),
         "text",
         F.lit(None).cast("timestamp_ntz").alias("last_modified"),
-        *rest,
+        *extra,
     )
 
 
 def read_articles(
     spark: SparkSession, path: str | list[str], extra: Iterable[str] = ()
 ) -> DataFrame:
-    return to_articles(read_columns(spark, path, extra))
+    paths = [path] if isinstance(path, str) else path
+    return to_articles(spark.read.parquet(*paths), list(extra))
 
 
 def split_names(split: str) -> list[str]:

@@ -16,6 +16,7 @@ from lexdrift.functions.text import (
     normalize_text,
     split_annotation,
 )
+from lexdrift.sources.spread import spread
 
 PAGE_END = "</page>"
 PAGE_START = r"(?s)<page[\s>].*"
@@ -62,8 +63,8 @@ def read_pages(spark: SparkSession, path: str | list[str], strict: bool = False)
         F.regexp_extract("value", PAGE_START, 0).alias("page"),
     ).filter(F.col("page") != "")
     if any(file.endswith(".gz") for file in lines.inputFiles()):
-        # gzip does not split: spread the pages right after the single reader.
-        pages = pages.repartition(F.col("seq"))
+        # gzip does not split: one task reads a whole file, however large.
+        return spread(pages, unsplittable=True)
     return pages
 
 

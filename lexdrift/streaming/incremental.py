@@ -27,7 +27,7 @@ def read_shards(
         .option("maxFilesPerTrigger", files_per_trigger)
         .parquet(path)
     )
-    return columnar.to_articles(columnar.with_sequence(rows, list(extra)))
+    return columnar.to_articles(rows, list(extra))
 
 
 def start_compare(
