@@ -75,23 +75,29 @@ def _token_rows(articles: DataFrame, key: str, patterns: list[str]) -> DataFrame
     return articles.select(key, F.explode_outer(F.concat(*arrays)).alias("t")).select(key, "t.*")
 
 
-def _salted_lookup(tokens: DataFrame, words: DataFrame, key: str, slices: int) -> DataFrame:
+def _salted_sides(
+    tokens: DataFrame, words: DataFrame, key: str, slices: int
+) -> tuple[DataFrame, DataFrame]:
+    """Tokens and dictionary with a ``salt`` column that bounds every join key."""
     counts = tokens.groupBy("surface").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n")).scalar()
-    share = F.ceil(F.col("n") * slices / total).cast("int")
-    salted = counts.filter(F.col("surface").isNotNull() & (F.col("n") * slices > total)).select(
-        "surface", share.alias("salts")
-    )
+    share = F.ceil(F.col("n") * slices / total)
     # Fewer than ``slices`` surfaces can each hold more than 1 / slices of the tokens.
-    salted = F.broadcast(salted)
-    spread = F.pmod(F.xxhash64(F.col(key)), F.coalesce("salts", F.lit(1)))
-    left = tokens.join(salted, "surface", "left").withColumn("salt", spread).drop("salts")
-    copies = F.sequence(F.lit(0).cast("bigint"), F.coalesce("salts", F.lit(1)).cast("bigint") - 1)
-    right = (
-        words.join(salted, "surface", "left")
-        .withColumn("salt", F.explode(copies))
-        .drop("salts")
+    salted = F.broadcast(
+        counts.filter(F.col("surface").isNotNull() & (F.col("n") * slices > total)).select(
+            "surface", share.alias("salts")
+        )
     )
+    salts = F.coalesce("salts", F.lit(1).cast("bigint"))
+    spread = F.pmod(F.xxhash64(F.col(key), F.col("i")), salts)
+    left = tokens.join(salted, "surface", "left").withColumn("salt", spread).drop("salts")
+    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))
+    right = words.join(salted, "surface", "left").withColumn("salt", copies).drop("salts")
+    return left, right
+
+
+def _salted_lookup(tokens: DataFrame, words: DataFrame, key: str, slices: int) -> DataFrame:
+    left, right = _salted_sides(tokens, words, key, slices)
     return left.join(right, ["surface", "salt"], "left").drop("salt")
 
 
