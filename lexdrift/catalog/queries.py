@@ -95,8 +95,9 @@ def outcome_columns() -> list[Column]:
     ]
 
 
-def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare_scan(derived.articles(spark, sf_dir), BASIC_1, BASIC_2)
+def compared(spark: SparkSession, sf_dir: str, all_results: bool = False) -> DataFrame:
+    articles = derived.articles(spark, sf_dir)
+    return compare_scan(articles, BASIC_1, BASIC_2, all_results=all_results)
 
 
 def run_info(**changes) -> RunInfo:
@@ -300,14 +301,14 @@ def analysis_result(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def analyze_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = compare_scan(derived.articles(spark, sf_dir), BASIC_2, BASIC_2)
+    rows = compare_scan(derived.articles(spark, sf_dir), BASIC_2, BASIC_2, all_results=True)
     return rows.select(
         "id", *[c for s in SLOTS for c in result_columns(f"new.{s}", f"new_{s}")]
     )
 
 
 def dual_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compared(spark, sf_dir).select("id", *record_columns())
+    return compared(spark, sf_dir, all_results=True).select("id", *record_columns())
 
 
 def _lexicon_pair(spark: SparkSession, sf_dir: str) -> list[tuple[str, LexiconAnalyzer]]:

@@ -29,11 +29,19 @@ _FACET_FIELD = {"cost": "total_cost", "term": "terms", "pos": "pos"}
 
 
 def analyze(
-    articles: DataFrame, old: Analyzer | str, new: Analyzer | str, key: str = "seq"
+    articles: DataFrame,
+    old: Analyzer | str,
+    new: Analyzer | str,
+    key: str = "seq",
+    all_results: bool = True,
 ) -> DataFrame:
     """Add ``old`` and ``new`` (``STRUCT<title, text>`` of results) and ``error``.
 
-    ``articles`` needs ``title`` and ``text``; ``key`` only for lexicon analyzers."""
+    ``articles`` needs ``title`` and ``text``; ``key`` only for lexicon analyzers.
+
+    Without ``all_results`` a record may have NULL results when both versions are known
+    to agree on it: two pattern analyzers with the same cost and part-of-speech rules
+    that cut a record into the same tokens. The rules are then not evaluated for it."""
     models = dict(zip(VERSIONS, (resolve(old), resolve(new))))
     kept = articles.columns
     df = articles
@@ -59,6 +67,13 @@ def analyze(
         ],
     )
 
+    needed = None
+    if not all_results and _same_rules(models["old"], models["new"]):
+        n, m = (patterns.index(model.pattern) for model in models.values())
+        agree = [F.col(f"_{slot}_{n}").eqNullSafe(F.col(f"_{slot}_{m}")) for slot in SLOTS]
+        df = df.select("*", (~(agree[0] & agree[1])).alias("_needed"))
+        needed = F.col("_needed")
+
     def result(version: str) -> Column:
         model = models[version]
         if isinstance(model, LexiconAnalyzer):
@@ -77,9 +92,10 @@ def analyze(
             )
             return F.when(flat["error"].isNull(), whole)
         n = patterns.index(model.pattern)
-        return F.struct(
+        whole = F.struct(
             *[fold_tokens(F.col(f"_{slot}_{n}"), model).alias(slot) for slot in SLOTS]
         )
+        return whole if needed is None else F.when(needed, whole)
 
     errors = [F.col(f"_py_{v}")["error"] for v in pythons] or [F.lit(None)]
     # ``inline`` fixes the results as a row of their own: a later filter on a comparison
@@ -97,6 +113,15 @@ def analyze(
     )
 
 
+def _same_rules(old: Analyzer, new: Analyzer) -> bool:
+    return (
+        isinstance(old, PatternAnalyzer)
+        and isinstance(new, PatternAnalyzer)
+        and old.pos is new.pos
+        and old.cost is new.cost
+    )
+
+
 def differs(slot: str, facet: str, old: str = "old", new: str = "new") -> Column:
     """True when one facet of one slot differs; lists are compared in order."""
     name = _FACET_FIELD[facet]
@@ -148,9 +173,13 @@ def compare(
     new: Analyzer | str,
     distinct_types: bool = False,
     key: str = "seq",
+    all_results: bool = True,
 ) -> DataFrame:
-    """One row per article with both results, the error and the comparison."""
-    results = analyze(articles, old, new, key)
+    """One row per article with both results, the error and the comparison.
+
+    ``all_results=False`` is for consumers that look at the results of differing records
+    only; see :func:`analyze`. The comparison is the same either way."""
+    results = analyze(articles, old, new, key, all_results)
     ok = F.col("error").isNull()
     return results.select(
         "*",

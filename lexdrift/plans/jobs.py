@@ -59,13 +59,14 @@ def compare_scan(
     old: Analyzer | str,
     new: Analyzer | str,
     distinct_types: bool = False,
+    all_results: bool = False,
 ) -> DataFrame:
     """:func:`compare` over articles straight from a scan, with enough tasks.
 
     A lexicon lookup partitions its input itself."""
     if not any(isinstance(resolve(a), LexiconAnalyzer) for a in (old, new)):
         articles = spread(articles)
-    return compare(articles, old, new, distinct_types)
+    return compare(articles, old, new, distinct_types, all_results=all_results)
 
 
 def _now() -> datetime:
@@ -79,7 +80,7 @@ def _run(articles: DataFrame, options: CompareOptions, source_type: str) -> Comp
     old, new = resolve(options.old), resolve(options.new)
 
     chosen = limit_records(articles, options.max_records)
-    compared = compare_scan(chosen, old, new, options.distinct_types)
+    compared = compare_scan(chosen, old, new, options.distinct_types, options.previews)
     compared_path = f"{root}/compared"
     table = stored(lean(compared, options.previews), "compared", compared_path)
 

@@ -14,6 +14,8 @@ def local_session(cores: int | str = "*", app: str = "lexdrift", **conf: str) ->
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
+        # Recording the Python call site of every column expression costs milliseconds each.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         **conf,
     }

@@ -47,7 +47,7 @@ def start_compare(
     for analyzer in (old, new):
         if isinstance(analyzer, LexiconAnalyzer):
             raise ValueError(f"{analyzer.name} is table-based and cannot run in a stream")
-    compared = lean(compare(shards, old, new, distinct_types))
+    compared = lean(compare(shards, old, new, distinct_types, all_results=False))
     return (
         compared.writeStream.format("parquet")
         .outputMode("append")

@@ -57,6 +57,29 @@ def test_empty_fields_give_empty_results(spark):
                 assert plain(row[version][slot]) == (0, [], [])
 
 
+def test_skipping_agreeing_records_changes_no_comparison(spark):
+    rng = random.Random(4)
+    rows = [tuple("".join(rng.choices("ab1 ,", k=rng.randint(0, 6))) for _ in range(2)) for _ in range(400)]
+    rows += [(None, None), (None, "a1"), ("a1", None)]
+    df = articles(spark, rows)
+    full = by_n(compare(df, BASIC_1, BASIC_2))
+    short = by_n(compare(df, BASIC_1, BASIC_2, all_results=False))
+    for a, b in zip(full, short):
+        assert (a["skipped"], a["has_difference"], a["diff_types"], a["error"]) == (
+            b["skipped"], b["has_difference"], b["diff_types"], b["error"])
+        if a["has_difference"]:
+            assert (a["old"], a["new"]) == (b["old"], b["new"])
+        else:
+            assert b["old"] is None and b["new"] is None
+    assert 0 < sum(r["has_difference"] for r in full) < len(rows)
+
+
+def test_other_rules_are_always_evaluated(spark):
+    dearer = PatternAnalyzer("dearer", BASIC_1.pattern, BASIC_1.pos, lambda t: F.length(t) + 1)
+    (row,) = by_n(compare(articles(spark, [("a", "b")]), BASIC_1, dearer, all_results=False))
+    assert row["has_difference"] and row["diff_types"] == ["cost", "cost"]
+
+
 def test_registry():
     assert resolve("basic-1") is BASIC_1
     mine = register(PatternAnalyzer("mine", r"\w", lambda t: t, lambda t: F.lit(1)))
