@@ -76,8 +76,8 @@ def page_text() -> Column:
 
 
 def page_time() -> Column:
-    moment = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id").cast("bigint"))
-    return F.date_format(moment, dump.REVISION_TIME)
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    return F.date_format(start + F.make_dt_interval(secs=F.col("id").cast("bigint")), dump.REVISION_TIME)
 
 
 def page_xml() -> Column:

@@ -440,7 +440,7 @@ ORACLES = {
     "xml_scan_compressed": f"WITH {PAGES} {DUMP_COLUMNS}",
     "xml_corrupt_filter": f"""
         SELECT {ID}, true AS intact, length({PAGE_TEXT})::BIGINT AS n FROM documents
-        UNION ALL SELECT 'rejected', false, NULL""",
+        UNION ALL SELECT 'rejected', false, -1""",
     "parquet_scan": f"""
         SELECT {ID}, md5(text) AS text_md5, length(text)::BIGINT AS n FROM documents""",
     "empty_text_filter": f"""
@@ -523,9 +523,9 @@ ORACLES = {
             OR list_distinct(old_text_pos_l) <> ['word'] OR list_distinct(old_title_pos_l) <> ['word']
             OR old_text_cost <> list_sum(list_transform(w, lambda x: length(x)))
           ) AS has_difference,
-          CASE WHEN NOT failed THEN list_sum(list_transform(w, lambda x: length(x)))::BIGINT
+          CASE WHEN failed THEN -1 ELSE list_sum(list_transform(w, lambda x: length(x)))::BIGINT
           END AS text_cost,
-          CASE WHEN NOT failed THEN len(w)::BIGINT END AS text_n
+          CASE WHEN failed THEN -1 ELSE len(w)::BIGINT END AS text_n
         FROM judged""",
     "facet_diffs": f"""
         {WITH_COMPARED} SELECT id, title_cost, title_term, title_pos, text_cost, text_term, text_pos

@@ -49,7 +49,7 @@ from lexdrift.plans import (
     html_rows,
     html_summary,
 )
-from lexdrift.plans.jobs import compare_scan, lean
+from lexdrift.plans.jobs import lean
 from lexdrift.plans.workspace import new_folder, stored
 from lexdrift.sources import audit_parquet, columnar, dump, read_split
 from lexdrift.streaming import read_shards, start_compare
@@ -97,7 +97,7 @@ def outcome_columns() -> list[Column]:
 
 def compared(spark: SparkSession, sf_dir: str, all_results: bool = False) -> DataFrame:
     articles = derived.articles(spark, sf_dir)
-    return compare_scan(articles, BASIC_1, BASIC_2, all_results=all_results)
+    return compare(articles, BASIC_1, BASIC_2, all_results=all_results)
 
 
 def run_info(**changes) -> RunInfo:
@@ -159,7 +159,7 @@ def xml_corrupt_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select(
         F.when(intact, F.col("id")).otherwise("rejected").alias("id"),
         intact.alias("intact"),
-        size(F.col("text")).alias("n"),
+        F.coalesce(size(F.col("text")), F.lit(-1)).alias("n"),
     )
 
 
@@ -301,7 +301,7 @@ def analysis_result(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def analyze_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = compare_scan(derived.articles(spark, sf_dir), BASIC_2, BASIC_2, all_results=True)
+    rows = compare(derived.articles(spark, sf_dir), BASIC_2, BASIC_2)
     return rows.select(
         "id", *[c for s in SLOTS for c in result_columns(f"new.{s}", f"new_{s}")]
     )
@@ -322,7 +322,7 @@ def _lexicon_pair(spark: SparkSession, sf_dir: str) -> list[tuple[str, LexiconAn
 
 def lexicon_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     (_, old), (_, new) = _lexicon_pair(spark, sf_dir)
-    rows = compare_scan(derived.articles(spark, sf_dir), old, new)
+    rows = compare(derived.articles(spark, sf_dir), old, new)
     return rows.select("id", *record_columns(), "has_difference")
 
 
@@ -364,15 +364,15 @@ def word_splitter(limit: int):
 
 def failed_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     picky = PythonAnalyzer("picky", word_splitter(WORD_LIMIT))
-    rows = compare_scan(derived.articles(spark, sf_dir), BASIC_1, picky)
+    rows = compare(derived.articles(spark, sf_dir), BASIC_1, picky)
     return rows.select(
         "id",
         "error",
         F.col("error").isNotNull().alias("failed"),
         "skipped",
         "has_difference",
-        F.col("new.text.total_cost").alias("text_cost"),
-        F.size("new.text.terms").cast("bigint").alias("text_n"),
+        F.coalesce(F.col("new.text.total_cost"), F.lit(-1)).alias("text_cost"),
+        F.coalesce(F.size("new.text.terms"), F.lit(-1)).cast("bigint").alias("text_n"),
     )
 
 

@@ -13,7 +13,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexdrift.operators.analyzers import Analyzer, LexiconAnalyzer, resolve
+from lexdrift.operators.analyzers import Analyzer, resolve
 from lexdrift.operators.compare import compare, preview
 from lexdrift.operators.sequence import limit_records
 from lexdrift.operators.summary import RunInfo, run_summary
@@ -23,7 +23,6 @@ from lexdrift.plans.text_report import write_text_report
 from lexdrift.plans.workspace import stored
 from lexdrift.sources import columnar, dump
 from lexdrift.sources.audit import require_parquet
-from lexdrift.sources.spread import spread
 
 XML, PARQUET = "XML", "Parquet"
 DETAIL_COLUMNS = ("text", "old", "new")
@@ -54,21 +53,6 @@ def lean(compared: DataFrame, keep_all: bool = False) -> DataFrame:
     )
 
 
-def compare_scan(
-    articles: DataFrame,
-    old: Analyzer | str,
-    new: Analyzer | str,
-    distinct_types: bool = False,
-    all_results: bool = False,
-) -> DataFrame:
-    """:func:`compare` over articles straight from a scan, with enough tasks.
-
-    A lexicon lookup partitions its input itself."""
-    if not any(isinstance(resolve(a), LexiconAnalyzer) for a in (old, new)):
-        articles = spread(articles)
-    return compare(articles, old, new, distinct_types, all_results=all_results)
-
-
 def _now() -> datetime:
     return datetime.now(timezone.utc).replace(tzinfo=None)
 
@@ -80,7 +64,9 @@ def _run(articles: DataFrame, options: CompareOptions, source_type: str) -> Comp
     old, new = resolve(options.old), resolve(options.new)
 
     chosen = limit_records(articles, options.max_records)
-    compared = compare_scan(chosen, old, new, options.distinct_types, options.previews)
+    compared = compare(
+        chosen, old, new, options.distinct_types, all_results=options.previews
+    )
     compared_path = f"{root}/compared"
     table = stored(lean(compared, options.previews), "compared", compared_path)
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexdrift.functions.text import decode_utf8, derive_title
+from lexdrift.sources.spread import spread
 
 # The three splits and their file names.
 SPLIT_FILES = {
@@ -56,7 +57,7 @@ def read_columns(
 def to_articles(scan: DataFrame, extra: Iterable[str] = ()) -> DataFrame:
     """Articles of a Parquet scan: empty text dropped, title from the first line, text
     untouched. There is no annotation and no revision time in this format."""
-    rows = with_sequence(drop_empty(scan, scan.columns[1]), list(extra))
+    rows = spread(with_sequence(drop_empty(scan, scan.columns[1]), list(extra)))
     return rows.select(
         "seq",
         "id",

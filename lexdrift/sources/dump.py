@@ -41,12 +41,15 @@ REVISION_TIME = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 _ROW_BITS = (1 << 33) - 1
 
 
-def read_pages(spark: SparkSession, path: str | list[str], strict: bool = False) -> DataFrame:
+def read_pages(
+    spark: SparkSession, path: str | list[str], strict: bool = False, admin_pages: bool = True
+) -> DataFrame:
     """``(seq, page)`` with the XML of one page per row, the last one possibly cut.
 
     ``seq`` is the file, the offset of its split and the running number in the task;
     within a split the running number follows the file. Unless ``strict``, a file
-    that breaks off (truncated archive) yields what was readable before the break."""
+    that breaks off (truncated archive) yields what was readable before the break.
+    ``admin_pages=False`` leaves out what :func:`drop_admin_pages` recognizes."""
     paths = [path] if isinstance(path, str) else path
     lines = (
         spark.read.option("lineSep", PAGE_END)
@@ -62,10 +65,10 @@ def read_pages(spark: SparkSession, path: str | list[str], strict: bool = False)
         ).alias("seq"),
         F.regexp_extract("value", PAGE_START, 0).alias("page"),
     ).filter(F.col("page") != "")
-    if any(file.endswith(".gz") for file in lines.inputFiles()):
-        # gzip does not split: one task reads a whole file, however large.
-        return spread(pages, unsplittable=True)
-    return pages
+    if not admin_pages:
+        pages = drop_admin_pages(pages)
+    # gzip does not split: one task reads a whole file, however large.
+    return spread(pages, unsplittable=any(f.endswith(".gz") for f in lines.inputFiles()))
 
 
 def drop_admin_pages(pages: DataFrame) -> DataFrame:
@@ -141,5 +144,5 @@ def rejected_pages(parsed: DataFrame) -> DataFrame:
 
 def read_articles(spark: SparkSession, path: str | list[str], strict: bool = False) -> DataFrame:
     """Articles of a dump, ready for analysis. Empty text is kept."""
-    pages = drop_admin_pages(read_pages(spark, path, strict))
+    pages = read_pages(spark, path, strict, admin_pages=False)
     return to_articles(parse_pages(pages), strict)

@@ -14,7 +14,10 @@ def spread(df: DataFrame, key: str = "seq", unsplittable: bool = False) -> DataF
     A scan with at least two tasks per core is left as it is, so a large corpus is never
     shuffled for this. Below that the input is less than about two splits per core and
     the shuffle is small. Files that cannot be split hide their size from the scan, so
-    their rows are always spread. Hashing on the position makes retries repeatable."""
+    their rows are always spread. Hashing on the position makes retries repeatable.
+
+    ``df`` must be a plain scan: asking a plan with a shuffle for its number of tasks
+    would run the shuffle."""
     if df.isStreaming:
         return df
     enough = TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
