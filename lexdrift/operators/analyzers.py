@@ -109,12 +109,15 @@ PYTHON_RESULT = (
 )
 
 
+PYTHON_ROWS = 256
+
+
 def python_results(analyzer: PythonAnalyzer) -> Column:
     """Flat results of both fields, or the error of the record, in one Arrow pass.
 
     Declared nondeterministic so that Spark evaluates it once and never copies it into
     a filter."""
-    factory = analyzer.factory
+    factory, rows_out = analyzer.factory, PYTHON_ROWS
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         analyze = factory()
@@ -138,11 +141,15 @@ def python_results(analyzer: PythonAnalyzer) -> Column:
             "text_cost", "text_terms", "text_pos", "error",
         ]
         for titles, texts in batches:
-            rows = [record(title, text) for title, text in zip(titles, texts)]
-            out = pd.DataFrame(rows, columns=columns, dtype=object)
-            for cost in ("title_cost", "text_cost"):
-                out[cost] = out[cost].astype("Int64")
-            yield out
+            # Tokens take far more room as Python objects than as text: hand them back in
+            # small frames, whatever the size of the incoming batch.
+            for at in range(0, len(titles), rows_out):
+                part = slice(at, at + rows_out)
+                rows = [record(*pair) for pair in zip(titles.iloc[part], texts.iloc[part])]
+                out = pd.DataFrame(rows, columns=columns, dtype=object)
+                for cost in ("title_cost", "text_cost"):
+                    out[cost] = out[cost].astype("Int64")
+                yield out
 
     # Types are declared here because annotations are strings in this module.
     run.__annotations__ = {

@@ -110,12 +110,13 @@ def compare_dump(
     report_format: str = "both",
     strict: bool = False,
     distinct_types: bool = False,
+    page_tag: str = dump.PAGE_TAG,
 ) -> CompareResult:
     """Compare two analyzers over a page dump. Empty articles take part."""
     options = CompareOptions(
         old, new, input_path, output_path, max_records, report_format, strict, distinct_types
     )
-    return _run(dump.read_articles(spark, input_path, strict), options, XML)
+    return _run(dump.read_articles(spark, input_path, strict, page_tag), options, XML)
 
 
 def compare_parquet(

@@ -18,9 +18,7 @@ from lexdrift.functions.text import (
 )
 from lexdrift.sources.spread import spread
 
-PAGE_END = "</page>"
-PAGE_START = r"(?s)<page[\s>].*"
-RAW_TITLE = r"<title[^>]*>([^<]*)"
+PAGE_TAG = "page"
 
 # ``revision`` is an array because a page may carry several of them.
 PAGE_SCHEMA = (
@@ -29,10 +27,10 @@ PAGE_SCHEMA = (
     "_corrupt_record STRING"
 )
 XML_OPTIONS = {
-    "rowTag": "page",
     "mode": "PERMISSIVE",
     "columnNameOfCorruptRecord": "_corrupt_record",
     "ignoreSurroundingSpaces": "false",
+    "ignoreNamespace": "true",
 }
 
 # Fixed value: revision time format.
@@ -42,9 +40,15 @@ _ROW_BITS = (1 << 33) - 1
 
 
 def read_pages(
-    spark: SparkSession, path: str | list[str], strict: bool = False, admin_pages: bool = True
+    spark: SparkSession,
+    path: str | list[str],
+    strict: bool = False,
+    admin_pages: bool = True,
+    page_tag: str = PAGE_TAG,
 ) -> DataFrame:
-    """``(seq, page)`` with the XML of one page per row, the last one possibly cut.
+    """``(seq, page)`` with the XML of one page per row, the last one without its end.
+
+    ``page_tag`` is the tag as written, with its prefix if the dump uses one.
 
     ``seq`` is the file, the offset of its split and the running number in the task;
     within a split the running number follows the file. Unless ``strict``, a file
@@ -52,7 +56,7 @@ def read_pages(
     ``admin_pages=False`` leaves out what :func:`drop_admin_pages` recognizes."""
     paths = [path] if isinstance(path, str) else path
     lines = (
-        spark.read.option("lineSep", PAGE_END)
+        spark.read.option("lineSep", f"</{page_tag}>")
         .option("ignoreCorruptFiles", str(not strict).lower())
         .text(paths)
     )
@@ -63,34 +67,34 @@ def read_pages(
             meta["file_block_start"].alias("block"),
             F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)).alias("idx"),
         ).alias("seq"),
-        F.regexp_extract("value", PAGE_START, 0).alias("page"),
+        F.regexp_extract("value", rf"(?s)<{page_tag}[\s>].*", 0).alias("page"),
     ).filter(F.col("page") != "")
     if not admin_pages:
-        pages = drop_admin_pages(pages)
+        pages = drop_admin_pages(pages, page_tag)
     # gzip does not split: one task reads a whole file, however large.
     return spread(pages, unsplittable=any(f.endswith(".gz") for f in lines.inputFiles()))
 
 
-def drop_admin_pages(pages: DataFrame) -> DataFrame:
+def drop_admin_pages(pages: DataFrame, page_tag: str = PAGE_TAG) -> DataFrame:
     """Drop pages with a colon in the raw title before their XML is parsed.
 
     Only a shortcut: the parsed title is tested again in :func:`to_articles`. Pages
     with comments or CDATA, where raw text may look like a title, are left to that."""
     page = F.col("page")
     plain = ~F.contains(page, F.lit("<![CDATA[")) & ~F.contains(page, F.lit("<!--"))
-    raw_title = F.regexp_extract(page, RAW_TITLE, 1)
+    prefix = page_tag.removesuffix(PAGE_TAG)
+    raw_title = F.regexp_extract(page, rf"<{prefix}title[^>]*>([^<]*)", 1)
     return pages.filter(~(plain & F.contains(raw_title, F.lit(":"))))
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
+def parse_pages(pages: DataFrame, page_tag: str = PAGE_TAG) -> DataFrame:
     """``(seq, title, id, timestamp, text, _corrupt_record)``, values as written.
 
-    The last revision that has the element wins. ``inline`` keeps the XML parse a
+    Elements are matched by local name. The last revision that has the element wins. ``inline`` keeps the XML parse a
     single step that later filters cannot duplicate."""
-    xml = F.concat(F.col("page"), F.lit(PAGE_END))
-    parsed = pages.select(
-        "seq", F.inline(F.array(F.from_xml(xml, PAGE_SCHEMA, XML_OPTIONS)))
-    )
+    xml = F.concat(F.col("page"), F.lit(f"</{page_tag}>"))
+    options = {"rowTag": page_tag, **XML_OPTIONS}
+    parsed = pages.select("seq", F.inline(F.array(F.from_xml(xml, PAGE_SCHEMA, options))))
 
     def last(field: str):
         values = F.filter(F.col(f"revision.{field}"), lambda v: v.isNotNull())
@@ -142,7 +146,9 @@ def rejected_pages(parsed: DataFrame) -> DataFrame:
     )
 
 
-def read_articles(spark: SparkSession, path: str | list[str], strict: bool = False) -> DataFrame:
+def read_articles(
+    spark: SparkSession, path: str | list[str], strict: bool = False, page_tag: str = PAGE_TAG
+) -> DataFrame:
     """Articles of a dump, ready for analysis. Empty text is kept."""
-    pages = read_pages(spark, path, strict, admin_pages=False)
-    return to_articles(parse_pages(pages), strict)
+    pages = read_pages(spark, path, strict, admin_pages=False, page_tag=page_tag)
+    return to_articles(parse_pages(pages, page_tag), strict)

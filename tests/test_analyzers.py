@@ -201,3 +201,10 @@ def test_python_analyzer_runs_once_per_record(spark):
     df = compare(articles(spark, rows), BASIC_1, PythonAnalyzer("p", failing_on("zz")))
     plan = df.filter("has_difference and skipped = 0")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_python_analyzer_on_more_rows_than_one_frame(spark):
+    rows = [(f"t{n}", f"a{n} bad" if n % 50 == 0 else f"a{n} b") for n in range(3000)]
+    got = by_n(compare(articles(spark, rows), BASIC_1, PythonAnalyzer("p", failing_on("bad"))))
+    assert [r["error"] is not None for r in got] == [n % 50 == 0 for n in range(3000)]
+    assert all(r["new"]["text"]["terms"] == [f"a{n}", "b"] for n, r in enumerate(got) if n % 50)

@@ -69,6 +69,15 @@ def test_id_only_in_revision(read):
     assert read(page(ident=""))[0]["id"] is None
 
 
+def test_prefixed_elements(read):
+    import re
+    prefixed = re.sub(r"<(/?)(\w)", r"<\1mw:\2", page("T (n)", "x &lt;b&gt;"))
+    admin = re.sub(r"<(/?)(\w)", r"<\1mw:\2", page("Help:T"))
+    (row,) = read(prefixed, admin, page_tag="mw:page")
+    assert (row["title"], row["title_annotation"], row["id"], row["text"]) == ("T", "n", "7", "x <b>")
+    assert row["last_modified"] == datetime.datetime(2023, 1, 1)
+
+
 def test_admin_pages_are_dropped(read):
     rows = read(page("Help:X"), page("Ａ：Ｂ"), page("a&#58;b"), page("ok", "see <![CDATA[<title>a:b</title>]]>"))
     assert [r["title"] for r in rows] == ["Ａ：Ｂ", "ok"]
