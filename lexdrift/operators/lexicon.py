@@ -25,6 +25,8 @@ from lexdrift.operators.analyzers import (
 BROADCAST_BYTES = 64 << 20
 SLICES = 1_000
 _ENTRY_OVERHEAD = 64
+# More positions than any text has.
+FIELD_SPAN = 1 << 40
 
 
 def _dictionary(analyzers: list[LexiconAnalyzer]) -> DataFrame:
@@ -57,16 +59,21 @@ def dictionary_bytes(analyzers: list[LexiconAnalyzer]) -> int:
     return total
 
 
+def _field(g: int, slot: int) -> int:
+    """Number of a field: slot ``slot`` cut by pattern ``g``."""
+    return g * len(SLOTS) + slot
+
+
 def _token_rows(articles: DataFrame, key: str, patterns: list[str]) -> DataFrame:
-    """``(key, g, s, i, surface)``: one row per token of pattern ``g`` in slot ``s``.
+    """``(key, at, surface)``: one row per token of every pattern in every slot; ``at`` is
+    the field number followed by the position, as one sortable number.
 
     An article without tokens keeps one row with a NULL surface."""
     def numbered(g: int, s: int, slot: str) -> Column:
+        start = F.lit(_field(g, s) * FIELD_SPAN).cast("bigint")
         return F.transform(
             tokenize(F.col(slot), patterns[g]),
-            lambda t, i: F.struct(
-                F.lit(g).alias("g"), F.lit(s).alias("s"), i.alias("i"), t.alias("surface")
-            ),
+            lambda t, i: F.struct((start + i).alias("at"), t.alias("surface")),
         )
 
     arrays = [
@@ -89,7 +96,7 @@ def _salted_sides(
         )
     )
     salts = F.coalesce("salts", F.lit(1).cast("bigint"))
-    spread = F.pmod(F.xxhash64(F.col(key), F.col("i")), salts)
+    spread = F.pmod(F.xxhash64(F.col(key), F.col("at")), salts)
     left = tokens.join(salted, "surface", "left").withColumn("salt", spread).drop("salts")
     copies = F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))
     right = words.join(salted, "surface", "left").withColumn("salt", copies).drop("salts")
@@ -126,22 +133,24 @@ def lexicon_results(
         entries.append(F.coalesce(entry["cost"], F.lit(model.unknown_cost)).alias(f"cost{n}"))
         entries.append(F.coalesce(entry["pos"], F.lit(model.unknown_pos)).alias(f"pos{n}"))
     token = F.when(
-        F.col("surface").isNotNull(), F.struct("g", "s", "i", "surface", *entries)
+        F.col("surface").isNotNull(), F.struct("at", "surface", *entries)
     )
     # One group per article: no larger than the article itself. A shuffle does not keep
-    # the token order, so the position travels along and is sorted on.
+    # the token order, so the place travels along and is sorted on.
     grouped = found.select(key, token.alias("token")).groupBy(key).agg(
         F.sort_array(F.collect_list("token")).alias("tokens")
     )
 
-    def part(g: int, s: int) -> Column:
-        return F.filter("tokens", lambda t: (t["g"] == g) & (t["s"] == s))
+    fields = [_field(g, s) for g in range(len(patterns)) for s in range(len(SLOTS))]
+
+    def part(field: int) -> Column:
+        low, high = field * FIELD_SPAN, (field + 1) * FIELD_SPAN
+        return F.filter("tokens", lambda t: (t["at"] >= low) & (t["at"] < high))
 
-    fields = [(g, s) for g in range(len(patterns)) for s in range(len(SLOTS))]
-    parted = grouped.select(key, *[part(g, s).alias(f"tokens_{g}_{s}") for g, s in fields])
+    parted = grouped.select(key, *[part(field).alias(f"tokens_{field}") for field in fields])
 
     def result(n: int, s: int) -> Column:
-        tokens = F.col(f"tokens_{patterns.index(models[n].pattern)}_{s}")
+        tokens = F.col(f"tokens_{_field(patterns.index(models[n].pattern), s)}")
         return fold_entries(tokens, pos=f"pos{n}", cost=f"cost{n}")
 
     return parted.select(

@@ -273,7 +273,9 @@ def write_html_report(compared: DataFrame, summary: DataFrame, path: str) -> Non
             F.when(any_difference, F.lit(TABLE_START)).otherwise(F.lit("")),
         ).alias("value")
     )
-    rows = html_rows(compared).orderBy("row_no").select(F.col("html").alias("value"))
+    # Sorted before formatting, so that the sampling pass of the sort formats nothing.
+    numbered = with_ordinal(differing(compared), "row_no").orderBy("row_no")
+    rows = numbered.select(record_html().alias("value"))
     tail = summary.filter(any_difference).select(F.lit(TABLE_END).alias("value"))
     # Every piece ends with a line end, which the text sink adds itself.
     pieces = head.union(rows).union(tail)

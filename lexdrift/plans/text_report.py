@@ -151,14 +151,10 @@ def frame_lines(summary: DataFrame) -> DataFrame:
 def write_text_report(compared: DataFrame, summary: DataFrame, path: str) -> None:
     """One line per row, in part files that follow each other.
 
-    Whole records are sorted and then unfolded into lines, which keeps the order without
-    sorting lines; header and summary stand before and behind as parts of their own."""
-    body = (
-        differing(compared)
-        .select("seq", record_lines().alias("lines"))
-        .orderBy("seq")
-        .select(F.explode("lines").alias("value"))
-    )
+    Records are sorted, then written out as lines: the sort moves no lines, and its
+    sampling pass formats none. Header and summary stand before and behind as parts of
+    their own."""
+    body = differing(compared).orderBy("seq").select(F.explode(record_lines()).alias("value"))
     head = summary.select(F.explode(header_lines()).alias("value"))
     tail = summary.select(F.explode(summary_lines()).alias("value"))
     head.union(body).union(tail).write.text(path)
