@@ -7,12 +7,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: ASCII white space that parts words; `bytes.split()` parts at exactly these bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def per_batch(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+def per_batch(df: DataFrame, function: Callable, schema: str | T.StructType) -> DataFrame:
     """`mapInArrow` with a function from one batch to one batch (or None)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexdrift.llm.arrow import per_batch, texts_of
 from lexdrift.llm.components import components
@@ -56,16 +57,19 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int(np.packbits(ones * 2 > count, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint's bits as a long."""
+def fingerprints(docs: DataFrame, width: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` of every row and fp, the fingerprint's bits as a long."""
+    columns = [c for c in keep if c != "fp"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.array([fingerprint(t, width) for t in texts_of(batch.column(1))], np.uint64)
+        fps = np.array([fingerprint(t, width) for t in texts_of(batch.column(len(columns)))], np.uint64)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"]
+            [*batch.columns[: len(columns)], pa.array(fps.view(np.int64))], names=[*columns, "fp"]
         )
 
-    return per_batch(docs.select("doc_id", "text"), run, "doc_id bigint, fp bigint")
+    kept = docs.select(*columns)
+    schema = T.StructType([*kept.schema.fields, T.StructField("fp", T.LongType())])
+    return per_batch(docs.select(*columns, F.col("text").alias("text to hash")), run, schema)
 
 
 def _cut(mask: int) -> list[int]:
@@ -175,7 +179,8 @@ def _chunked(rows: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) of every row; the component is its smallest doc_id."""
+    """(doc_id, fp, component, component_id) of every row: its class as the class's smallest
+    fingerprint and as its smallest doc_id."""
     prints = stored(fingerprints(docs, width), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = components(links(distinct.select("fp")))
@@ -183,5 +188,19 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
         "fp", F.coalesce("component", "fp").alias("component"), "first"
     )
     smallest = classed.groupBy("component").agg(F.min("first").alias("component_id"))
-    classes = classed.join(smallest, "component").select("fp", "component_id")
+    classes = classed.join(smallest, "component").select("fp", "component", "component_id")
     return prints.join(classes, "fp")
+
+
+def representatives(docs: DataFrame, width: int = 3) -> DataFrame:
+    """One document of each class: the one with the smallest id. Rows that repeat an id are
+    one document; of a class without ids one stays."""
+    # Other columns may be named like the operator's own: they travel as one.
+    docs = docs.select("doc_id", "text", F.struct("*").alias("row"))
+    found = stored(near_duplicates(docs, width), "classes")
+    ids = found.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    nameless = found.where("component_id IS NULL").select("fp", "component").distinct()
+    rest = fingerprints(docs.where("doc_id IS NULL"), width, ("row",))
+    rest = rest.join(nameless, "fp").dropDuplicates(["component"])
+    return kept.select("row.*").unionByName(rest.select("row.*"))
