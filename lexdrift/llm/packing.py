@@ -18,6 +18,8 @@ rows; other columns of the input are not read.
 
 from __future__ import annotations
 
+import gc
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,7 +37,10 @@ END = 2
 SENTENCE, INSIDE, WINDOW = 16, 48, 64
 GRID = 64
 BLOCK = 1 << 20
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 160 << 20
+SENTENCE_ENDS = b".!?"
+#: Letters below it are composed and have lower-case forms that do not depend on their neighbours.
+LATIN = "\u0130"
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 )
@@ -76,48 +81,73 @@ def cuts(places: np.ndarray, penalties: np.ndarray, width: int = WIDTH) -> list[
     return out[::-1]
 
 
+def _byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies write printable Latin-1 bytes as themselves and the others as
+    the code points from 256 on, in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + n for n, b in enumerate(others)}
+
+
+class _Words(dict):
+    """Codes of words, learned when they are first asked for."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = self.encoder.learn(word)
+        return code
+
+
 class Encoder:
     """Token ids of whole texts, word by word: the pre-tokenizer drops white space, so no
-    token crosses it. Words seen are kept, up to a bounded number of bytes."""
+    token crosses it. Words seen are kept, up to a bounded number of bytes.
+
+    A word of Latin letters is one pre-token, and so is a stop or comma after it; these go
+    to the vocabulary's model at once, all others through the whole tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.stops = {s: self._whole(s) for s in (b"", b".", b",")}
         self.clear()
 
     def clear(self) -> None:
-        self.codes: dict[bytes, int] = {}
+        self.codes, self.held = _Words(self), 0
         self.ids: list[bytes] = []
-        self.lengths: list[int] = []
-        self.ends: list[bool] = []
-        self.held = 0
-        self.table = np.zeros((2, 0), np.int64)
-
-    def learn(self, words: list[bytes]) -> None:
-        new = list(dict.fromkeys(w for w in words if w not in self.codes))
-        encoded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        for word, code in zip(new, encoded):
-            self.codes[word] = len(self.ids)
-            self.ids.append(np.array(code.ids, "<u4").tobytes())
-            self.lengths.append(len(code.ids))
-            self.ends.append(word.rstrip(b"\"')]")[-1:] in (b".", b"!", b"?"))
-            self.held += 150 + len(word) + 4 * len(code.ids)
-        self.table = None
+        self.table = array("q")  # twice the number of ids, and one if a sentence ends
+
+    def _whole(self, word: bytes) -> bytes:
+        found = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False)
+        return array("I", found.ids).tobytes()
+
+    def learn(self, word: bytes) -> int:
+        stop = word[-1:] if word[-1] in b".," else b""
+        core = word[: len(word) - len(stop)].decode("utf-8", "replace")
+        if core.isalpha() and max(core) < LATIN:
+            core = core.lower()
+            raw = core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)
+            ids = array("I", [t.id for t in self.model.tokenize(raw)]).tobytes() + self.stops[stop]
+        else:
+            ids = self._whole(word)
+        self.ids.append(ids)
+        self.table.append(len(ids) // 2 | (word[-1] in SENTENCE_ENDS))
+        self.held += 200 + len(word) + len(ids)
+        return len(self.ids) - 1
 
     def __call__(self, text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
         """Ids, and the places and penalties of all cuts."""
         if self.held > CACHE_BYTES:
             self.clear()
         words = text.split()
-        try:
-            codes = [self.codes[w] for w in words]
-        except KeyError:
-            self.learn(words)
-            codes = [self.codes[w] for w in words]
-        if self.table is None or self.table.shape[1] < len(self.ids):
-            self.table = np.array([self.lengths, self.ends], np.int64).reshape(2, -1)
-        lengths, ends = self.table[:, codes] if codes else (np.zeros(0, np.int64),) * 2
+        codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
+        lengths = np.frombuffer(self.table, np.int64)[codes] if words else codes
+        lengths, ends = lengths >> 1, lengths & 1
         upto = np.cumsum(lengths)
         total = int(upto[-1]) if len(upto) else 0
         sentence = upto[(ends == 1) & (upto > 0) & (upto < total)]
@@ -135,7 +165,7 @@ class Encoder:
         else:
             places, penalties = places[0], penalties[0]
         end = np.array([END], "<u4").tobytes()
-        return b"".join([self.ids[c] for c in codes]) + end, places, penalties
+        return b"".join([*map(self.ids.__getitem__, codes.tolist()), end]), places, penalties
 
 
 @dataclass
@@ -199,6 +229,7 @@ def pack(docs: DataFrame, tokenizer: str, width: int = WIDTH) -> DataFrame:
     tokenizer file that every machine has; ``ids`` are little-endian unsigned 32-bit ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here refers to itself, and the word tables are long to traverse
         encode = Encoder(tokenizer)
         number = TaskContext.get().partitionId() << 40
         parts: list[_Part] = []
