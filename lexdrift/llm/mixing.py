@@ -224,14 +224,16 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEE
     spark = docs.sparkSession
     made, documents = sources(docs, block)
     rows = stored(numbered(docs, documents), "numbered")
-    parts = slots(spark, made, shard, seed).join(pieces(rows, block), ["key", "index"])
+    # The planner takes the plan of slots for as small as the range it is made from.
+    plan = slots(spark, made, shard, seed).hint("merge")
+    parts = plan.join(pieces(rows, block).hint("merge"), ["key", "index"])
     return Mix(made, rows, parts)
 
 
 def taken(mixed: Mix) -> DataFrame:
     """Every document with its source's size and target and the words that the mix takes."""
     spark = mixed.rows.sparkSession
-    sums = mixed.parts.groupBy("key", "at").agg(F.sum("words").alias("taken"))
+    sums = mixed.parts.groupBy("key", "at").agg(F.sum("words").alias("taken")).hint("merge")
     # A document without words shares its place with the next one.
     rows = mixed.rows.withColumn("place", F.when(F.col("size") > 0, F.col("at")))
     rows = rows.join(sums.withColumnRenamed("at", "place"), ["key", "place"], "left")
@@ -246,7 +248,7 @@ def mixed_texts(mixed: Mix, text: str = "text") -> DataFrame:
     drawn = mixed.parts.groupBy("key", "at", "pass").agg(
         F.array_sort(F.collect_list(F.struct("start", "words"))).alias("drawn")
     )
-    rows = mixed.rows.where("size > 0").join(drawn, ["key", "at"])
+    rows = mixed.rows.where("size > 0").join(drawn.hint("merge"), ["key", "at"])
     words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
     kept = F.transform(
         "drawn", lambda d: F.slice(F.col("all_words"), (d["start"] + 1).cast("int"), d["words"].cast("int"))

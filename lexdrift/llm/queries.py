@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexdrift.llm import mixing, packing, secret_scan, simhash, toxicity
-from lexdrift.plans.workspace import new_folder
+from lexdrift.plans.workspace import new_folder, stored
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -21,6 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    sized = stored(sized, "sizes")  # words are counted once
     return mixing.taken(mixing.mix(sized)).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
