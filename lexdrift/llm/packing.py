@@ -19,10 +19,12 @@ rows; other columns of the input are not read.
 from __future__ import annotations
 
 import gc
+import sys
 from array import array
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ END = 2
 SENTENCE, INSIDE, WINDOW = 16, 48, 64
 GRID = 64
 BLOCK = 1 << 20
-CACHE_BYTES = 160 << 20
+CACHE_BYTES = 256 << 20
 SENTENCE_ENDS = b".!?"
 #: Letters below it are composed and have lower-case forms that do not depend on their neighbours.
 LATIN = "\u0130"
@@ -117,14 +119,22 @@ class Encoder:
         self.stops = {s: self._whole(s) for s in (b"", b".", b",")}
         self.clear()
 
+    @staticmethod
+    def of_process(path: str) -> Encoder:
+        """The encoder of this worker process, which later tasks go on with."""
+        kept = sys.modules.setdefault("lexdrift encoders", ModuleType("lexdrift encoders")).__dict__
+        if path not in kept:
+            kept[path] = Encoder(path)
+        return kept[path]
+
     def clear(self) -> None:
         self.codes, self.held = _Words(self), 0
-        self.ids: list[bytes] = []
-        self.table = array("q")  # twice the number of ids, and one if a sentence ends
+        self.ids = array("I")  # of all words, one after the other
+        self.starts = array("q")
+        self.sizes = array("q")  # twice the number of ids, and one if a sentence ends
 
-    def _whole(self, word: bytes) -> bytes:
-        found = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False)
-        return array("I", found.ids).tobytes()
+    def _whole(self, word: bytes) -> list[int]:
+        return self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
 
     def learn(self, word: bytes) -> int:
         stop = word[-1:] if word[-1] in b".," else b""
@@ -132,13 +142,14 @@ class Encoder:
         if core.isalpha() and max(core) < LATIN:
             core = core.lower()
             raw = core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)
-            ids = array("I", [t.id for t in self.model.tokenize(raw)]).tobytes() + self.stops[stop]
+            ids = [t.id for t in self.model.tokenize(raw)] + self.stops[stop]
         else:
             ids = self._whole(word)
-        self.ids.append(ids)
-        self.table.append(len(ids) // 2 | (word[-1] in SENTENCE_ENDS))
-        self.held += 200 + len(word) + len(ids)
-        return len(self.ids) - 1
+        self.starts.append(len(self.ids))
+        self.ids.extend(ids)
+        self.sizes.append(2 * len(ids) | (word[-1] in SENTENCE_ENDS))
+        self.held += 160 + len(word) + 4 * len(ids)
+        return len(self.starts) - 1
 
     def __call__(self, text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
         """Ids, and the places and penalties of all cuts."""
@@ -146,8 +157,8 @@ class Encoder:
             self.clear()
         words = text.split()
         codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
-        lengths = np.frombuffer(self.table, np.int64)[codes] if words else codes
-        lengths, ends = lengths >> 1, lengths & 1
+        sizes = np.frombuffer(self.sizes, np.int64)[codes] if words else codes
+        lengths, ends = sizes >> 1, sizes & 1
         upto = np.cumsum(lengths)
         total = int(upto[-1]) if len(upto) else 0
         sentence = upto[(ends == 1) & (upto > 0) & (upto < total)]
@@ -164,8 +175,11 @@ class Encoder:
             places, penalties = places[order], penalties[order]
         else:
             places, penalties = places[0], penalties[0]
-        end = np.array([END], "<u4").tobytes()
-        return b"".join([*map(self.ids.__getitem__, codes.tolist()), end]), places, penalties
+        ids = np.full(total + 1, END, "<u4")
+        if total:
+            first = np.frombuffer(self.starts, np.int64)[codes] - (upto - lengths)
+            np.take(np.frombuffer(self.ids, np.uint32), np.repeat(first, lengths) + np.arange(total), out=ids[:-1])
+        return ids.tobytes(), places, penalties
 
 
 @dataclass
@@ -230,7 +244,7 @@ def pack(docs: DataFrame, tokenizer: str, width: int = WIDTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # nothing here refers to itself, and the word tables are long to traverse
-        encode = Encoder(tokenizer)
+        encode = Encoder.of_process(tokenizer)
         number = TaskContext.get().partitionId() << 40
         parts: list[_Part] = []
         held = 0
