@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexdrift.llm import inner_product, mixing, neighbours, packing, secret_scan, simhash, toxicity
+from lexdrift.llm import inner_product, mixing, neighbours, packing, secret_scan, simhash, substrings, toxicity
 from lexdrift.plans.workspace import new_folder, stored
 
 TOKENIZER = "word_bpe_49k.json"
@@ -22,6 +22,12 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inner_product.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.deduplicated(table(spark, sf_dir, "documents"))
+    kept = F.sha2(F.col("kept").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
+
+
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -85,6 +91,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op3_mix": op3_mix,
+    "op4_substrings": op4_substrings,
     "op5_neighbours": op5_neighbours,
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
