@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexdrift.llm import inner_product, mixing, neighbours, packing, secret_scan, simhash, substrings, toxicity
+from lexdrift.llm import inner_product, katz, mixing, neighbours, packing, secret_scan, simhash, substrings, toxicity
 from lexdrift.plans.workspace import new_folder, stored
 
 TOKENIZER = "word_bpe_49k.json"
@@ -75,6 +75,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     return pieces.select(
@@ -96,5 +100,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
     "op8_secrets": op8_secrets,
+    "op9_katz": op9_katz,
     "op10_pack": op10_pack,
 }
