@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from lexdrift.llm.arrow import texts_of
 from lexdrift.plans.workspace import stored
 
-BLOCK = 2_000_000
+BLOCK = 800_000
 K = 5
 LEAST_HISTORY = 5
 #: Partitions of a table: at least so many, and about so many n-grams in each.

@@ -54,7 +54,7 @@ class Brute:
         return sum(math.log10(self.p(w, h)) for w, h in zip(tokens, ["<", *tokens]))
 
 
-@pytest.mark.parametrize("block", [2_000_000, 500])
+@pytest.mark.parametrize("block", [800_000, 500])
 def test_against_brute_force(spark, sf_dir, block, monkeypatch):
     monkeypatch.setattr(katz, "BLOCK", block)
     docs = documents(sf_dir)
