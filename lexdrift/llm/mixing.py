@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexdrift.llm.arrow import WORD
+from lexdrift.llm.arrow import WORD, per_batch, texts_of
 from lexdrift.plans.workspace import stored
 
 WEIGHTS = (5, 2, 1)
@@ -249,12 +249,20 @@ def mixed_texts(mixed: Mix, text: str = "text") -> DataFrame:
         F.array_sort(F.collect_list(F.struct("start", "words"))).alias("drawn")
     )
     rows = mixed.rows.where("size > 0").join(drawn.hint("merge"), ["key", "at"])
-    words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
-    kept = F.transform(
-        "drawn", lambda d: F.slice(F.col("all_words"), (d["start"] + 1).cast("int"), d["words"].cast("int"))
-    )
-    return (
-        rows.withColumn("all_words", words)
-        .withColumn(text, F.array_join(F.flatten(kept), " "))
-        .drop("all_words", "drawn", "pass")
-    )
+    # Starts and numbers of words travel as two lists beside the text.
+    rows = rows.withColumn("starts", F.col("drawn.start")).withColumn("counts", F.col("drawn.words"))
+    columns = mixed.rows.columns
+    place = columns.index(text)
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n, made = len(columns), []
+        for body, starts, counts in zip(
+            texts_of(batch.column(place)), batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()
+        ):
+            words = body.split()
+            made.append(b" ".join([w for a, k in zip(starts, counts) for w in words[a : a + k]]))
+        kept = batch.columns[:n]
+        kept[place] = pa.array(made, pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays(kept, names=columns)
+
+    return per_batch(rows.select(*columns, "starts", "counts"), cut, mixed.rows.schema)
