@@ -107,7 +107,7 @@ def write_compressed_dump(spark: SparkSession, sf_dir: str) -> list[str]:
     """English pages as bzip2, the others as gzip."""
     paths = []
     rows = corpus(spark, sf_dir)
-    english = F.col("lang") == "en"
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
     for codec, chosen in (("bzip2", english), ("gzip", ~english)):
         path = new_folder(spark, f"dump-{codec}")
         rows.filter(chosen).select(page_xml().alias("value")).write.text(path, compression=codec)
@@ -137,7 +137,7 @@ def write_splits(spark: SparkSession, sf_dir: str) -> str:
     for name, chosen in (
         ("train", lang == "en"),
         ("validation", lang == "fr"),
-        ("test", ~lang.isin("en", "fr")),
+        ("test", F.coalesce(~lang.isin("en", "fr"), F.lit(True))),
     ):
         rows.filter(chosen).write.parquet(f"{root}/{columnar.SPLIT_FILES[name]}")
     return root
@@ -147,8 +147,10 @@ def write_shards(spark: SparkSession, sf_dir: str) -> str:
     """The corpus as Parquet shards in one folder, language after language."""
     root = new_folder(spark, "shards")
     rows = corpus(spark, sf_dir).select("id", "text", "lang")
-    for lang in ("en", "fr", "de", "es"):
-        rows.filter(F.col("lang") == lang).write.mode("append").parquet(root)
+    lang, named = F.col("lang"), ("en", "fr", "de", "es")
+    rest = F.coalesce(~lang.isin(*named), F.lit(True))
+    for chosen in (*[lang == name for name in named], rest):
+        rows.filter(chosen).write.mode("append").parquet(root)
     return root
 
 

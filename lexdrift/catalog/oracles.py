@@ -541,6 +541,11 @@ ORACLES = {
           total_processed, difference_count, match_count, skipped_count, failed_count,
           diff_rate, match_rate
         FROM summary""",
+    # An administrative page is dropped before its XML is parsed, cut or not.
+    "xml_reject_counts": f"""
+        WITH {PAGES} SELECT count(*) AS total_processed, 0::BIGINT AS failed_count,
+          (count(*) FILTER (doc_id = (SELECT max(doc_id) FROM documents)))::BIGINT AS rejected_count
+        FROM page_rows""",
     "html_summary": f"""
         {WITH_COMPARED}, {COUNTS}
         SELECT {_html_info()} AS info, {_html_cards()} AS cards,

@@ -395,10 +395,17 @@ def diff_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_summary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_summary(compared(spark, sf_dir), run_info()).drop(
-        "old_components", "new_components"
+        "old_components", "new_components", "rejected_count"
     )
 
 
+def xml_reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job over a dump whose last page breaks off and comes as a reject."""
+    dump_path, output = derived.write_cut_dump(spark, sf_dir), new_folder(spark, "run")
+    run = compare_dump(spark, dump_path, output, BASIC_1, BASIC_2, report_format="text")
+    return run.summary.select("total_processed", "failed_count", "rejected_count")
+
+
 # Order and limit
 
 
@@ -510,6 +517,7 @@ QUERIES = {
     "diff_records": diff_records,
     "diff_types": diff_types,
     "run_summary": run_summary_query,
+    "xml_reject_counts": xml_reject_counts,
     "html_summary": html_summary_query,
     "limit_records": limit_records_query,
     "input_order": input_order,

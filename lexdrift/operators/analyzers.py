@@ -124,11 +124,13 @@ def python_results(analyzer: PythonAnalyzer) -> Column:
 
         def field_result(text):
             tokens = list(analyze(text)) if text else []
-            return (
-                sum(int(cost) for _, _, cost in tokens),
-                [str(surface) for surface, _, _ in tokens],
-                [str(pos) for _, pos, _ in tokens],
-            )
+            total = sum(int(cost) for _, _, cost in tokens)
+            if not -(1 << 63) <= total < 1 << 63:
+                raise OverflowError("the total cost does not fit 64 bits")
+            terms, pos = [str(t[0]) for t in tokens], [str(t[1]) for t in tokens]
+            for value in (*terms, *pos):
+                value.encode("utf-8")  # a lone surrogate is no text
+            return total, terms, pos
 
         def record(title, text):
             try:

@@ -180,6 +180,10 @@ def compare(
     ``all_results=False`` is for consumers that look at the results of differing records
     only; see :func:`analyze`. The comparison is the same either way."""
     results = analyze(articles, old, new, key, all_results)
+    if "reject" in results.columns:
+        # A page that could not be read is no record: it is neither compared nor processed.
+        rejected = F.concat(F.lit("malformed page: "), F.col("reject"))
+        results = results.withColumn("error", F.coalesce(rejected, "error"))
     ok = F.col("error").isNull()
     return results.select(
         "*",

@@ -72,19 +72,25 @@ def with_ordinal(
 
 
 def limit_records(
-    df: DataFrame, max_records: int, seq: str = "seq", rows: int = CHUNK_ROWS
+    df: DataFrame,
+    max_records: int,
+    seq: str = "seq",
+    rows: int = CHUNK_ROWS,
+    counted: Column | None = None,
 ) -> DataFrame:
     """The first ``max_records`` rows in input order; -1 keeps all.
 
     Finds the ``seq`` of the last wanted row from chunk counts and filters on it, so
     the kept rows are neither shuffled nor gathered in one task, however many they
-    are. The condition on the file name also skips later Parquet files at listing."""
+    are. The condition on the file name also skips later Parquet files at listing.
+    Rows for which ``counted`` does not hold are kept up to there without being counted."""
     if max_records == -1:
         return df
     if max_records < 1:
         raise ValueError("max_records must be -1 (no limit) or positive")
+    records = df if counted is None else df.filter(counted)
     last = (
-        chunk_offsets(df, seq, rows)
+        chunk_offsets(records, seq, rows)
         .filter(
             (F.col("_offset") < max_records)
             & (F.col("_offset") + F.col("_rows") >= max_records)
@@ -96,7 +102,7 @@ def limit_records(
     key = F.col(seq)
     low = last["_part"] * rows
     cut = (
-        df.select(seq)
+        records.select(seq)
         .filter(
             (key["file"] == last["_file"])
             & (key["block"] == last["_block"])

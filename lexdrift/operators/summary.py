@@ -44,15 +44,18 @@ def _texts(values: Sequence[str]) -> Column:
 def count_records(compared: DataFrame) -> DataFrame:
     """The counters in one pass: partial counts per task, one small final row.
 
-    Failed records count only as failed; skipped ones count as processed."""
+    Failed records count only as failed; skipped ones count as processed. Pages that were
+    rejected (column ``reject``, where the source has one) count only as rejected."""
     ok = F.col("error").isNull()
+    rejected = F.col("reject").isNotNull() if "reject" in compared.columns else F.lit(False)
     return compared.agg(
         F.count_if(ok).alias("total_processed"),
         F.count_if(ok & F.col("has_difference")).alias("difference_count"),
         F.coalesce(F.sum(F.when(ok, F.col("skipped").cast("bigint"))), F.lit(0)).alias(
             "skipped_count"
         ),
-        F.count_if(~ok).alias("failed_count"),
+        F.count_if(~ok & ~rejected).alias("failed_count"),
+        F.count_if(rejected).alias("rejected_count"),
     )
 
 
@@ -80,6 +83,7 @@ def run_summary(compared: DataFrame, info: RunInfo) -> DataFrame:
         "match_count",
         "skipped_count",
         "failed_count",
+        "rejected_count",
         _rate(different, total).alias("diff_rate"),
         _rate(F.col("match_count"), total).alias("match_rate"),
     )

@@ -30,7 +30,8 @@ DETAIL_COLUMNS = ("text", "old", "new")
 
 @dataclass(frozen=True)
 class CompareResult:
-    """Stored outcome of a run; ``preview`` only for runs of up to 10 records."""
+    """Stored outcome of a run. ``preview``, only for runs of up to 10 records, is a table of
+    its own: what ``compared`` holds does not depend on the number of records."""
 
     compared: DataFrame
     summary: DataFrame
@@ -42,12 +43,14 @@ class CompareResult:
 
 
 def lean(compared: DataFrame, keep_all: bool = False) -> DataFrame:
-    """``compared`` with text and results only where a report needs them."""
+    """``compared`` with text and results only where a report needs them; a failed record
+    keeps its text, so that the failure can be repeated."""
     if keep_all:
         return compared
+    needed = F.col("has_difference") | F.col("error").isNotNull()
     return compared.select(
         *[
-            F.when(F.col("has_difference"), F.col(c)).alias(c) if c in DETAIL_COLUMNS else c
+            F.when(needed, F.col(c)).alias(c) if c in DETAIL_COLUMNS else c
             for c in compared.columns
         ]
     )
@@ -63,12 +66,16 @@ def _run(articles: DataFrame, options: CompareOptions, source_type: str) -> Comp
     root = options.output_path.rstrip("/")
     old, new = resolve(options.old), resolve(options.new)
 
-    chosen = limit_records(articles, options.max_records)
-    compared = compare(
-        chosen, old, new, options.distinct_types, all_results=options.previews
-    )
+    counted = F.col("reject").isNull() if "reject" in articles.columns else None
+    chosen = limit_records(articles, options.max_records, counted=counted)
+    keep_all = options.keep_results == "all"
+    compared = compare(chosen, old, new, options.distinct_types, all_results=keep_all)
     compared_path = f"{root}/compared"
-    table = stored(lean(compared, options.previews), "compared", compared_path)
+    table = stored(lean(compared, keep_all), "compared", compared_path)
+    shown = None
+    if options.previews:
+        whole = compare(chosen, old, new, options.distinct_types)
+        shown = stored(preview(whole, options.max_records), "preview", f"{root}/preview")
 
     info = RunInfo(
         old_analyzer=old.name,
@@ -96,7 +103,7 @@ def _run(articles: DataFrame, options: CompareOptions, source_type: str) -> Comp
         summary_path=summary_path,
         text_report_path=text_path,
         html_report_path=html_path,
-        preview=preview(table, options.max_records) if options.previews else None,
+        preview=shown,
     )
 
 
@@ -111,12 +118,23 @@ def compare_dump(
     strict: bool = False,
     distinct_types: bool = False,
     page_tag: str = dump.PAGE_TAG,
+    keep_results: str = "differing",
+    skip_broken_files: bool = False,
 ) -> CompareResult:
-    """Compare two analyzers over a page dump. Empty articles take part."""
+    """Compare two analyzers over a page dump. Empty articles take part.
+
+    Pages that cannot be parsed are rows of ``compared`` with their XML's start in ``reject``
+    and are counted in the summary; ``strict`` makes them, and a dump without any page, an error."""
     options = CompareOptions(
-        old, new, input_path, output_path, max_records, report_format, strict, distinct_types
+        old, new, input_path, output_path, max_records, report_format, strict, distinct_types, keep_results
     )
-    return _run(dump.read_articles(spark, input_path, strict, page_tag), options, XML)
+    articles = dump.read_articles(spark, input_path, strict, page_tag, skip_broken_files, keep_rejects=True)
+    result = _run(articles, options, XML)
+    if strict:
+        counts = result.summary.select("total_processed", "failed_count").head()
+        if not sum(counts):
+            raise ValueError(f"no <{page_tag}> elements in {input_path}")
+    return result
 
 
 def compare_parquet(
@@ -129,10 +147,11 @@ def compare_parquet(
     report_format: str = "text",
     strict: bool = False,
     distinct_types: bool = False,
+    keep_results: str = "differing",
 ) -> CompareResult:
     """Compare two analyzers over Parquet articles. Empty articles are left out."""
     options = CompareOptions(
-        old, new, input_path, output_path, max_records, report_format, strict, distinct_types
+        old, new, input_path, output_path, max_records, report_format, strict, distinct_types, keep_results
     )
     require_parquet(spark, input_path)
     return _run(columnar.read_articles(spark, input_path), options, PARQUET)

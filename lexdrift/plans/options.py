@@ -20,6 +20,7 @@ class CompareOptions:
     report_format: str = "both"
     strict: bool = False
     distinct_types: bool = False
+    keep_results: str = "differing"
 
     def __post_init__(self):
         for name in ("old", "new", "input_path", "output_path"):
@@ -29,12 +30,14 @@ class CompareOptions:
             raise ValueError("max_records must be -1 (no limit) or positive")
         if self.report_format not in REPORT_FORMATS:
             raise ValueError(f"report_format must be one of {', '.join(REPORT_FORMATS)}")
+        if self.keep_results not in ("differing", "all"):
+            raise ValueError("keep_results must be differing or all")
         resolve(self.old)
         resolve(self.new)
 
     @property
     def previews(self) -> bool:
-        """Small runs show every record."""
+        """Small runs show every record, in a table of their own."""
         return 1 <= self.max_records <= PREVIEW_LIMIT
 
     def wants(self, report: str) -> bool:

@@ -1,4 +1,7 @@
-"""Parquet file check: size and magic bytes at both ends, as a distributed job."""
+"""Parquet file check: size and magic bytes at both ends, as a distributed job.
+
+A file in a store that Arrow has no driver for is not checked (``valid`` is NULL) and stops no
+job: what Spark's own reader can open is left to that."""
 
 from __future__ import annotations
 
@@ -12,6 +15,8 @@ from pyspark.sql import functions as F
 MAGIC = "PAR1"
 MIN_LENGTH = 8
 
+UNCHECKED = "not checked"
+
 AUDIT_SCHEMA = "path STRING, length BIGINT, valid BOOLEAN, reason STRING"
 
 
@@ -32,6 +37,7 @@ def audit_parquet(spark: SparkSession, path: str | list[str], pattern: str = "*"
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import re
+        from urllib.parse import quote
 
         from pyarrow import fs
 
@@ -39,9 +45,15 @@ def audit_parquet(spark: SparkSession, path: str | list[str], pattern: str = "*"
             if length < min_length:
                 return "too small"
             # Hadoop spells local and S3 locations differently from Arrow.
-            uri = re.sub(r"^file:/+", "file:///", re.sub(r"^s3a?:", "s3:", location))
+            uri = re.sub(r"^s3a?:", "s3:", location)
+            try:
+                if uri.startswith(("file:", "/")):
+                    source, name = fs.LocalFileSystem(), re.sub(r"^file:/+", "/", uri)
+                else:
+                    source, name = fs.FileSystem.from_uri(quote(uri, safe="/:@=,+"))
+            except (OSError, ValueError, ImportError, NotImplementedError) as error:
+                return f"{UNCHECKED}: {error}"
             try:
-                source, name = fs.FileSystem.from_uri(uri)
                 with source.open_input_file(name) as handle:
                     head = handle.read(len(magic))
                     handle.seek(length - len(magic))
@@ -55,7 +67,7 @@ def audit_parquet(spark: SparkSession, path: str | list[str], pattern: str = "*"
             yield pd.DataFrame({
                 "path": batch["path"],
                 "length": batch["length"],
-                "valid": [r is None for r in reasons],
+                "valid": [None if r and r.startswith(UNCHECKED) else r is None for r in reasons],
                 "reason": reasons,
             })
 

@@ -36,6 +36,9 @@ XML_OPTIONS = {
 # Fixed value: revision time format.
 REVISION_TIME = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
+# A comment, which may go on in the next chunk, or a CDATA section to be left as it is.
+COMMENT = r"(?s)(<!\[CDATA\[.*?\]\]>)|<!--.*?(?:-->|\z)"
+
 _ROW_BITS = (1 << 33) - 1
 
 
@@ -45,30 +48,41 @@ def read_pages(
     strict: bool = False,
     admin_pages: bool = True,
     page_tag: str = PAGE_TAG,
+    skip_broken_files: bool = False,
 ) -> DataFrame:
     """``(seq, page)`` with the XML of one page per row, the last one without its end.
 
     ``page_tag`` is the tag as written, with its prefix if the dump uses one.
 
     ``seq`` is the file, the offset of its split and the running number in the task;
-    within a split the running number follows the file. Unless ``strict``, a file
-    that breaks off (truncated archive) yields what was readable before the break.
-    ``admin_pages=False`` leaves out what :func:`drop_admin_pages` recognizes."""
+    within a split the running number follows the file. A file that cannot be read to
+    its end (truncated archive, failing store) stops the job; only with
+    ``skip_broken_files``, and never if ``strict``, it yields what was readable before.
+    End tags may hold blanks; comments outside CDATA are removed
+    first (of several pages in one comment only the first one). Text with NUL
+    characters is no XML in UTF-8 (another encoding, as a rule) and comes out as a page that
+    cannot be parsed. ``admin_pages=False`` leaves out what :func:`drop_admin_pages` recognizes."""
     paths = [path] if isinstance(path, str) else path
     lines = (
         spark.read.option("lineSep", f"</{page_tag}>")
-        .option("ignoreCorruptFiles", str(not strict).lower())
+        .option("ignoreCorruptFiles", str(skip_broken_files and not strict).lower())
         .text(paths)
     )
-    meta = F.col("_metadata")
-    pages = lines.select(
-        F.struct(
-            meta["file_path"].alias("file"),
-            meta["file_block_start"].alias("block"),
-            F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)).alias("idx"),
-        ).alias("seq"),
-        F.regexp_extract("value", rf"(?s)<{page_tag}[\s>].*", 0).alias("page"),
-    ).filter(F.col("page") != "")
+    meta, value = F.col("_metadata"), F.col("value")
+    bare = F.when(F.contains(value, F.lit("<!--")), F.regexp_replace(value, COMMENT, "$1")).otherwise(value)
+    chunks = lines.select(
+        meta["file_path"].alias("file"),
+        meta["file_block_start"].alias("block"),
+        # Most chunks hold one page; an end tag written with blanks leaves several together.
+        F.explode(F.split(bare, rf"</{page_tag}\s+>")).alias("value"),
+    )
+    page = F.when(F.contains(value, F.lit("\0")), value).otherwise(
+        F.regexp_extract(value, rf"(?s)<{page_tag}[\s>].*", 0)
+    )
+    idx = F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)).alias("idx")
+    pages = chunks.select(F.struct("file", "block", idx).alias("seq"), page.alias("page")).filter(
+        F.col("page") != ""
+    )
     if not admin_pages:
         pages = drop_admin_pages(pages, page_tag)
     # gzip does not split: one task reads a whole file, however large.
@@ -110,10 +124,11 @@ def parse_revision_time(text, strict: bool = False):
     return parse(text, fmt).cast("timestamp_ntz")
 
 
-def to_articles(parsed: DataFrame, strict: bool = False) -> DataFrame:
+def to_articles(parsed: DataFrame, strict: bool = False, keep_rejects: bool = False) -> DataFrame:
     """Cleaned articles; rejected XML and administrative pages are left out.
 
-    With ``strict`` a rejected page or a malformed time stops the job instead."""
+    With ``keep_rejects`` a rejected page stays as a row that has nothing but its place and
+    the start of its XML in a further column ``reject``, which is NULL for articles. With ``strict`` a rejected page or a malformed time stops the job instead."""
     if strict:
         reject = F.raise_error(F.concat(F.lit("malformed page: "),
                                         F.left(F.col("_corrupt_record"), F.lit(200))))
@@ -121,21 +136,34 @@ def to_articles(parsed: DataFrame, strict: bool = False) -> DataFrame:
             reject.cast("boolean"))
     else:
         intact = F.col("_corrupt_record").isNull()
-    kept = parsed.filter(intact).select(
+    reject = [F.left("_corrupt_record", F.lit(200)).alias("reject")] if keep_rejects else []
+    rows = parsed if keep_rejects and not strict else parsed.filter(intact)
+    kept = rows.select(
         "seq",
+        *reject,
         ascii_trim(F.col("id")).alias("id"),
         ascii_trim(F.col("title")).alias("full_title"),
         normalize_text(F.col("text")).alias("text"),
         parse_revision_time(ascii_trim(F.col("timestamp")), strict).alias("last_modified"),
     )
     title, annotation = split_annotation(F.col("full_title"))
-    return kept.filter(~is_admin_title(F.col("full_title"))).select(
+    article = ~is_admin_title(F.col("full_title"))
+    if not keep_rejects:
+        return kept.filter(article).select(
+            "seq", "id", title.alias("title"), annotation.alias("title_annotation"), "text", "last_modified"
+        )
+
+    def intact_only(value):
+        return F.when(F.col("reject").isNull(), value)
+
+    return kept.filter(F.col("reject").isNotNull() | article).select(
         "seq",
-        "id",
-        title.alias("title"),
-        annotation.alias("title_annotation"),
-        "text",
-        "last_modified",
+        intact_only(F.col("id")).alias("id"),
+        intact_only(title).alias("title"),
+        intact_only(annotation).alias("title_annotation"),
+        intact_only(F.col("text")).alias("text"),
+        intact_only(F.col("last_modified")).alias("last_modified"),
+        "reject",
     )
 
 
@@ -147,8 +175,13 @@ def rejected_pages(parsed: DataFrame) -> DataFrame:
 
 
 def read_articles(
-    spark: SparkSession, path: str | list[str], strict: bool = False, page_tag: str = PAGE_TAG
+    spark: SparkSession,
+    path: str | list[str],
+    strict: bool = False,
+    page_tag: str = PAGE_TAG,
+    skip_broken_files: bool = False,
+    keep_rejects: bool = False,
 ) -> DataFrame:
     """Articles of a dump, ready for analysis. Empty text is kept."""
-    pages = read_pages(spark, path, strict, admin_pages=False, page_tag=page_tag)
-    return to_articles(parse_pages(pages, page_tag), strict)
+    pages = read_pages(spark, path, strict, False, page_tag, skip_broken_files)
+    return to_articles(parse_pages(pages, page_tag), strict, keep_rejects)

@@ -118,7 +118,10 @@ def test_truncated_archive(spark, tmp_path):
     pages = [page(f"T{n}", "".join(rng.choices("abcdefgh ", k=2000))) for n in range(300)]
     packed = gzip.compress((HEAD + "\n".join(pages) + TAIL).encode())
     (tmp_path / "d.xml.gz").write_bytes(packed[: len(packed) // 2])
-    titles = [r["title"] for r in dump.read_articles(spark, str(tmp_path / "d.xml.gz")).orderBy("seq").collect()]
+    path = str(tmp_path / "d.xml.gz")
+    with pytest.raises(Exception):
+        dump.read_articles(spark, path).collect()
+    titles = [r["title"] for r in dump.read_articles(spark, path, skip_broken_files=True).orderBy("seq").collect()]
     assert 0 < len(titles) < 300
     assert titles == [f"T{n}" for n in range(len(titles))]
     with pytest.raises(Exception):
@@ -143,3 +146,20 @@ def test_many_splits_keep_every_page_once_and_in_order(spark, tmp_path, name, wr
         for key, value in old.items():
             spark.conf.set(key, value)
     assert titles == [f"T{i}" for i in range(n)]
+
+
+def test_page_forms(read):
+    """Blanked end tags leave several pages in a chunk; comments are no pages; CDATA is text."""
+    hidden = "<!-- " + page("hidden") + " -->"
+    rows = read(page("A").replace("</page>", "</page >"), page("B").replace("</page>", "</page\n>"), hidden,
+                page("C", "<![CDATA[<!-- kept -->]]>"))
+    assert [r["title"] for r in rows] == ["A", "B", "C"]
+    assert rows[2]["text"] == "<!-- kept -->"
+
+
+def test_other_encoding_is_a_reject(spark, tmp_path):
+    (tmp_path / "d.xml").write_bytes((HEAD + page("A") + TAIL).encode("utf-16"))
+    parsed = dump.parse_pages(dump.read_pages(spark, str(tmp_path / "d.xml")))
+    assert dump.rejected_pages(parsed).count() >= 1
+    with pytest.raises(Exception, match="malformed page"):
+        dump.to_articles(parsed, strict=True).collect()

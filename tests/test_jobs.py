@@ -132,3 +132,65 @@ def test_stream_refuses_tables(spark, tmp_path):
         start_compare(
             read_shards(spark, str(tmp_path)), "s", "c", BASIC_1, LexiconAnalyzer("l", "x", lexicon, "v")
         )
+
+
+def test_rejects_are_counted_and_not_processed(spark, tmp_path):
+    bad = page("B").replace("</title>", "</title><bad>")
+    (tmp_path / "d.xml").write_text(HEAD + page("A", "x1") + bad + page("C", "y2") + page("D").split("</text>")[0])
+    run = compare_dump(spark, str(tmp_path / "d.xml"), str(tmp_path / "out"), BASIC_1, BASIC_2)
+    (row,) = run.summary.collect()
+    assert (row["total_processed"], row["failed_count"], row["rejected_count"], row["skipped_count"]) == (2, 0, 2, 0)
+    assert [bool(r["reject"]) for r in run.compared.orderBy("seq").collect()] == [False, True, False, True]
+    limited = compare_dump(
+        spark, str(tmp_path / "d.xml"), str(tmp_path / "two"), BASIC_1, BASIC_2, max_records=2
+    ).summary.collect()[0]
+    assert limited["total_processed"] == 2
+    with pytest.raises(Exception, match="malformed page"):
+        compare_dump(spark, str(tmp_path / "d.xml"), str(tmp_path / "s"), BASIC_1, BASIC_2, strict=True)
+
+
+def test_strict_refuses_a_dump_without_pages(spark, tmp_path):
+    (tmp_path / "d.xml").write_text(HEAD + page("A") + TAIL)
+    with pytest.raises(ValueError, match="no <wiki> elements"):
+        compare_dump(spark, str(tmp_path / "d.xml"), str(tmp_path / "out"), BASIC_1, BASIC_2, strict=True, page_tag="wiki")
+
+
+def test_stored_results_do_not_depend_on_the_limit(spark, tmp_path):
+    write_parquet(tmp_path / "a.parquet", [(n, "same" if n % 2 else f"t{n}") for n in range(30)])
+    runs = [
+        compare_parquet(spark, str(tmp_path / "a.parquet"), str(tmp_path / f"o{n}"), BASIC_1, BASIC_2, max_records=n)
+        for n in (10, 11)
+    ]
+    small, large = (r.compared.orderBy("seq").collect() for r in runs)
+    assert runs[0].compared.schema == runs[1].compared.schema
+    assert small == large[:10] and runs[0].preview.count() == 10 and runs[1].preview is None
+    kept = compare_parquet(
+        spark, str(tmp_path / "a.parquet"), str(tmp_path / "all"), BASIC_1, BASIC_2, keep_results="all"
+    )
+    assert all(r["text"] for r in kept.compared.collect())
+
+
+@pytest.mark.parametrize("name", ["a b.parquet", "50% ü.parquet"])
+def test_parquet_names(spark, tmp_path, name):
+    write_parquet(tmp_path / name, [(1, "t1")])
+    run = compare_parquet(spark, str(tmp_path), str(tmp_path.parent / f"{tmp_path.name}-out"), BASIC_1, BASIC_2)
+    assert run.summary.collect()[0]["total_processed"] == 1
+
+
+def test_results_that_are_no_data_fail_their_record(spark, tmp_path):
+    def factory():
+        def run(text):
+            if text == "t1":
+                return [("\ud800", "x", 1)]
+            return [(text, "x", 1 << 70 if text == "t2" else 1)]
+
+        return run
+
+    write_parquet(tmp_path / "a.parquet", [(n, f"t{n}") for n in range(4)])
+    run = compare_parquet(
+        spark, str(tmp_path / "a.parquet"), str(tmp_path / "out"),
+        PythonAnalyzer("q1", factory), PythonAnalyzer("q2", factory),
+    )
+    assert run.summary.collect()[0]["failed_count"] == 2
+    texts = {r["text"] for r in run.compared.where("error IS NOT NULL").collect()}
+    assert texts == {"t1", "t2"}
