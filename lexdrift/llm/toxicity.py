@@ -107,7 +107,11 @@ def train(texts: list[bytes], labels: list[int], prior: float, seed: int = 7) ->
     softmax, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
     seen_softmax, seen_bias = np.full((2, DIM), 1e-8, np.float32), np.full(2, 1e-8, np.float32)
     known: dict[str, list[int]] = {}
-    bags = [_bag(t, known) for t in texts]
+    bags = []
+    for text in texts:
+        if len(known) > 100_000:
+            known.clear()
+        bags.append(_bag(text, known))
     known.clear()
     # A bucket that few documents have can only be learned by heart: it stays at zero.
     common = np.bincount(np.concatenate([b for b, _ in bags]), minlength=BUCKETS) >= LEAST_DOCS
