@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexdrift.llm import inner_product, katz, mixing, neighbours, packing, secret_scan, simhash, substrings, toxicity
+from lexdrift.llm import inner_product, katz, language_id, mixing, neighbours, packing, secret_scan, simhash, substrings, toxicity
 from lexdrift.plans.workspace import new_folder, stored
 
 TOKENIZER = "word_bpe_49k.json"
@@ -28,6 +28,10 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -94,6 +98,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
+    "op2_language_id": op2_language_id,
     "op3_mix": op3_mix,
     "op4_substrings": op4_substrings,
     "op5_neighbours": op5_neighbours,

@@ -59,6 +59,10 @@ def edge_dir(tmp_path_factory):
     labels = {"doc_id": pa.array([k for k in range(n)], pa.int64())}
     labels |= {"quality": pa.array([None] * n, pa.int32()), "toxic": pa.array([k % 2 if k % 5 else None for k in range(n)], pa.int32())}
     pq.write_table(pa.table(labels), f"{path}/labels.parquet")
+    urls = [None, "", "no url", "http://a.b.de/x", "https://u@H.example.FR:80/?q", "http://10.0.0.1/", "http://a.b.de/y", "http://a.b.de/y"]
+    html = [None, "", "<html lang=en>", "<p>" + made[20] + "</p>", "<html lang='fr'><script>x</script>" + made[50], "<!-- a", "x" * 50000, "x" * 50000]
+    pages = {"page_id": pa.array([0, 1, 2, 3, 4, 5, None, None], pa.int64()), "url": pa.array(urls), "html": pa.array(html)}
+    pq.write_table(pa.table(pages | {"lang": pa.array(["clash"] * 8), "host": pa.array(["clash"] * 8)}), f"{path}/pages.parquet")
     nan, inf = float("nan"), float("inf")
     rng = random.Random(5)
     vectors = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(300)]
@@ -73,7 +77,7 @@ def edge_dir(tmp_path_factory):
 @pytest.fixture(scope="session")
 def empty_dir(tmp_path_factory, edge_dir):
     path = str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "labels", "embeddings"):
+    for name in ("documents", "labels", "embeddings", "pages"):
         pq.write_table(pq.read_table(f"{edge_dir}/{name}.parquet").slice(0, 0), f"{path}/{name}.parquet")
     return path
 
