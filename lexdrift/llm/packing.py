@@ -39,7 +39,7 @@ END = 2
 SENTENCE, INSIDE, WINDOW = 16, 48, 64
 GRID = 64
 BLOCK = 1 << 20
-CACHE_BYTES = 256 << 20
+CACHE_BYTES = 96 << 20
 SENTENCE_ENDS = b".!?"
 #: Letters below it are composed and have lower-case forms that do not depend on their neighbours.
 LATIN = "\u0130"
@@ -242,8 +242,7 @@ def pack(docs: DataFrame, tokenizer: str, width: int = WIDTH) -> DataFrame:
     """One row per piece of a document in a sequence. ``tokenizer`` is the path of a
     tokenizer file that every machine has; ``ids`` are little-endian unsigned 32-bit ids."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # nothing here refers to itself, and the word tables are long to traverse
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder.of_process(tokenizer)
         number = TaskContext.get().partitionId() << 40
         parts: list[_Part] = []
@@ -262,4 +261,11 @@ def pack(docs: DataFrame, tokenizer: str, width: int = WIDTH) -> DataFrame:
         if parts:
             yield _batch(_packed(parts, width, True)[0], number)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here refers to itself, and the word tables are long to traverse
+        try:
+            yield from packed(batches)
+        finally:
+            gc.enable()  # the process goes on with other tasks
+
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
