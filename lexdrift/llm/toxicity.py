@@ -79,20 +79,21 @@ class Model:
         return 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, logit))))
 
 
-def _bag(text: bytes, known: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def _bag(text: bytes, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text, each once, and their shares of the average."""
     words = words_of(text)
-    places, shares = [], []
+    places = []
     for w in words:
         found = known.get(w)
         if found is None:
-            found = known[w] = features(w)
+            found = known[w] = np.array(features(w), np.int32)
         places.append(found)
-        shares.append(np.full(len(found), 1.0 / (len(found) * len(words)), np.float32))
     if not words:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
+    sizes = np.array([len(p) for p in places])
+    shares = np.repeat((1.0 / (sizes * len(words))).astype(np.float32), sizes)
     buckets, where = np.unique(np.concatenate(places), return_inverse=True)
-    return buckets.astype(np.int32), np.bincount(where, np.concatenate(shares)).astype(np.float32)
+    return buckets, np.bincount(where, shares).astype(np.float32)
 
 
 def train(texts: list[bytes], labels: list[int], prior: float, seed: int = 7) -> Model:
@@ -106,10 +107,10 @@ def train(texts: list[bytes], labels: list[int], prior: float, seed: int = 7) ->
     seen = np.full(BUCKETS, 1e-10, np.float32)
     softmax, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
     seen_softmax, seen_bias = np.full((2, DIM), 1e-8, np.float32), np.full(2, 1e-8, np.float32)
-    known: dict[str, list[int]] = {}
+    known: dict[str, np.ndarray] = {}
     bags = []
     for text in texts:
-        if len(known) > 100_000:
+        if len(known) > 50_000:
             known.clear()
         bags.append(_bag(text, known))
     known.clear()
