@@ -23,7 +23,9 @@ from lexdrift.operators.analyzers import (
 )
 
 BROADCAST_BYTES = 64 << 20
+#: No join key holds more than about this share of the tokens, or this many of them.
 SLICES = 1_000
+SLICE_ROWS = 50_000_000
 _ENTRY_OVERHEAD = 64
 # More positions than any text has.
 FIELD_SPAN = 1 << 40
@@ -88,15 +90,18 @@ def _salted_sides(
     """Tokens and dictionary with a ``salt`` column that bounds every join key."""
     counts = tokens.groupBy("surface").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n")).scalar()
-    share = F.ceil(F.col("n") * slices / total)
-    # Fewer than ``slices`` surfaces can each hold more than 1 / slices of the tokens.
+    limit = F.least(total / slices, F.lit(float(SLICE_ROWS)))
+    # Fewer than total / limit surfaces can each hold more than the limit: 1,000 below 5 * 10^10
+    # tokens, 200,000 (some 12 MB) at 10^13.
     salted = F.broadcast(
-        counts.filter(F.col("surface").isNotNull() & (F.col("n") * slices > total)).select(
-            "surface", share.alias("salts")
+        counts.filter(F.col("surface").isNotNull() & (F.col("n") > limit)).select(
+            "surface", F.ceil(F.col("n") / limit).alias("salts")
         )
     )
     salts = F.coalesce("salts", F.lit(1).cast("bigint"))
-    spread = F.pmod(F.xxhash64(F.col(key), F.col("at")), salts)
+    # Articles without tokens match no word: they are spread over as many keys as a word could be.
+    places = F.when(F.col("surface").isNull(), F.lit(slices).cast("bigint")).otherwise(salts)
+    spread = F.pmod(F.xxhash64(F.col(key), F.col("at")), places)
     left = tokens.join(salted, "surface", "left").withColumn("salt", spread).drop("salts")
     copies = F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))
     right = words.join(salted, "surface", "left").withColumn("salt", copies).drop("salts")
