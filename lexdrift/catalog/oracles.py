@@ -1,6 +1,8 @@
 """The catalogue queries as DuckDB SQL, written from the rules and not from the Spark
 expressions. Texts of ``documents`` have no whitespace but space and LF, which lets the
-line-break rule be stated without look-behind."""
+line-break rule be stated without look-behind.
+
+Marks, patterns and report texts in the statements are fixed values: they must equal those of the queries."""
 
 from __future__ import annotations
 
