@@ -548,6 +548,11 @@ ORACLES = {
         WITH {PAGES} SELECT count(*) AS total_processed, 0::BIGINT AS failed_count,
           (count(*) FILTER (doc_id = (SELECT max(doc_id) FROM documents)))::BIGINT AS rejected_count
         FROM page_rows""",
+    "run_info_components": f"""
+        {WITH_COMPARED}
+        SELECT 'basic-1' AS old_analyzer, 'basic-2' AS new_analyzer, 'letters,digits' AS old_components,
+          'letters & digits' AS new_components, 32::BIGINT AS run_id_length, count(*) AS total_processed
+        FROM compared""",
     "html_summary": f"""
         {WITH_COMPARED}, {COUNTS}
         SELECT {_html_info()} AS info, {_html_cards()} AS cards,

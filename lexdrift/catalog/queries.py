@@ -6,6 +6,7 @@ that results stay small and compare exactly.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -395,7 +396,7 @@ def diff_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_summary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_summary(compared(spark, sf_dir), run_info()).drop(
-        "old_components", "new_components", "rejected_count"
+        "run_id", "old_components", "new_components", "rejected_count"
     )
 
 
@@ -406,6 +407,22 @@ def xml_reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.summary.select("total_processed", "failed_count", "rejected_count")
 
 
+def run_info_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run metadata as a whole job stores it, with the parts that the analyzers name."""
+    old = replace(BASIC_1, components=("letters", "digits"))
+    new = replace(BASIC_2, components=("letters & digits",))
+    output = new_folder(spark, "run")
+    run = compare_parquet(spark, derived.corpus_path(sf_dir), output, old, new, report_format="text")
+    return run.summary.select(
+        "old_analyzer",
+        "new_analyzer",
+        F.array_join("old_components", ",").alias("old_components"),
+        F.array_join("new_components", ",").alias("new_components"),
+        F.length("run_id").cast("bigint").alias("run_id_length"),
+        "total_processed",
+    )
+
+
 # Order and limit
 
 
@@ -518,6 +535,7 @@ QUERIES = {
     "diff_types": diff_types,
     "run_summary": run_summary_query,
     "xml_reject_counts": xml_reject_counts,
+    "run_info_components": run_info_components,
     "html_summary": html_summary_query,
     "limit_records": limit_records_query,
     "input_order": input_order,

@@ -9,6 +9,8 @@ version of a run:
   a table (see :mod:`lexdrift.operators.lexicon`);
 * :class:`PythonAnalyzer` - any Python tokenizer, run over Arrow batches, with errors
   captured per record.
+
+``components`` names what a version is made of; jobs list it in the run's metadata.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ class PatternAnalyzer:
     pattern: str
     pos: Callable[[Column], Column]
     cost: Callable[[Column], Column]
+    components: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -45,6 +48,7 @@ class LexiconAnalyzer:
     version: str
     unknown_pos: str = "unknown"
     unknown_cost: int = 0
+    components: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -54,6 +58,7 @@ class PythonAnalyzer:
 
     name: str
     factory: Callable[[], Callable[[str], Iterable[tuple[str, str, int]]]]
+    components: tuple[str, ...] = ()
 
 
 Analyzer = PatternAnalyzer | LexiconAnalyzer | PythonAnalyzer

@@ -23,6 +23,7 @@ class RunInfo:
     end_time: datetime | None = None
     old_components: Sequence[str] = field(default_factory=tuple)
     new_components: Sequence[str] = field(default_factory=tuple)
+    run_id: str | None = None
 
     @property
     def duration_ms(self) -> int:
@@ -68,6 +69,7 @@ def run_summary(compared: DataFrame, info: RunInfo) -> DataFrame:
     total, different = F.col("total_processed"), F.col("difference_count")
     counts = count_records(compared).withColumn("match_count", total - different)
     return counts.select(
+        F.lit(info.run_id).cast("string").alias("run_id"),
         F.lit(info.old_analyzer).alias("old_analyzer"),
         F.lit(info.new_analyzer).alias("new_analyzer"),
         _texts(info.old_components).alias("old_components"),

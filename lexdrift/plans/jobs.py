@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from lexdrift.plans.text_report import write_text_report
 from lexdrift.plans.workspace import stored
 from lexdrift.sources import columnar, dump
 from lexdrift.sources.audit import require_parquet
+from lexdrift.sources.leading import leading_files
 
 XML, PARQUET = "XML", "Parquet"
 DETAIL_COLUMNS = ("text", "old", "new")
@@ -80,6 +82,9 @@ def _run(articles: DataFrame, options: CompareOptions, source_type: str) -> Comp
     info = RunInfo(
         old_analyzer=old.name,
         new_analyzer=new.name,
+        old_components=old.components,
+        new_components=new.components,
+        run_id=uuid4().hex,
         source_path=options.input_path,
         source_type=source_type,
         max_records=options.max_records,
@@ -128,8 +133,15 @@ def compare_dump(
     options = CompareOptions(
         old, new, input_path, output_path, max_records, report_format, strict, distinct_types, keep_results
     )
-    articles = dump.read_articles(spark, input_path, strict, page_tag, skip_broken_files, keep_rejects=True)
-    result = _run(articles, options, XML)
+
+    def read(paths: str | list[str]) -> DataFrame:
+        return dump.read_articles(spark, paths, strict, page_tag, skip_broken_files, keep_rejects=True)
+
+    paths = input_path
+    if max_records != -1:
+        files = spark.read.text(input_path).inputFiles()
+        paths = leading_files(read, files, max_records, F.col("reject").isNull()) or input_path
+    result = _run(read(paths), options, XML)
     if strict:
         counts = result.summary.select("total_processed", "failed_count").head()
         if not sum(counts):
@@ -154,4 +166,8 @@ def compare_parquet(
         old, new, input_path, output_path, max_records, report_format, strict, distinct_types, keep_results
     )
     require_parquet(spark, input_path)
-    return _run(columnar.read_articles(spark, input_path), options, PARQUET)
+    paths = input_path
+    if max_records != -1:
+        files = spark.read.parquet(input_path).inputFiles()
+        paths = leading_files(lambda part: columnar.read_articles(spark, part), files, max_records)
+    return _run(columnar.read_articles(spark, paths or input_path), options, PARQUET)

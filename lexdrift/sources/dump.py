@@ -68,6 +68,19 @@ def read_pages(
         .option("ignoreCorruptFiles", str(skip_broken_files and not strict).lower())
         .text(paths)
     )
+    file = F.col("_metadata.file_path")
+    gzip = F.endswith(file, F.lit(".gz"))
+    packed, plain = (_cut_pages(lines.filter(kind), page_tag) for kind in (gzip, ~gzip))
+    if not admin_pages:
+        packed, plain = drop_admin_pages(packed, page_tag), drop_admin_pages(plain, page_tag)
+    # One task reads a whole gzip file, however large, so these are spread by themselves.
+    if not packed.rdd.getNumPartitions():
+        return spread(plain)
+    return spread(packed).unionAll(spread(plain)) if plain.rdd.getNumPartitions() else spread(packed)
+
+
+def _cut_pages(lines: DataFrame, page_tag: str) -> DataFrame:
+    """``(seq, page)`` of lines that end at the closing page tag."""
     meta, value = F.col("_metadata"), F.col("value")
     bare = F.when(F.contains(value, F.lit("<!--")), F.regexp_replace(value, COMMENT, "$1")).otherwise(value)
     chunks = lines.select(
@@ -80,13 +93,9 @@ def read_pages(
         F.regexp_extract(value, rf"(?s)<{page_tag}[\s>].*", 0)
     )
     idx = F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)).alias("idx")
-    pages = chunks.select(F.struct("file", "block", idx).alias("seq"), page.alias("page")).filter(
+    return chunks.select(F.struct("file", "block", idx).alias("seq"), page.alias("page")).filter(
         F.col("page") != ""
     )
-    if not admin_pages:
-        pages = drop_admin_pages(pages, page_tag)
-    # gzip does not split: one task reads a whole file, however large.
-    return spread(pages, unsplittable=any(f.endswith(".gz") for f in lines.inputFiles()))
 
 
 def drop_admin_pages(pages: DataFrame, page_tag: str = PAGE_TAG) -> DataFrame:

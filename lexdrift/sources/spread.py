@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 TASKS_PER_CORE = 2
 
 
-def spread(df: DataFrame, key: str = "seq", unsplittable: bool = False) -> DataFrame:
+def spread(df: DataFrame, key: str = "seq") -> DataFrame:
     """Give the analysis enough tasks when the scan alone would not.
 
     A scan with at least two tasks per core is left as it is, so a large corpus is never
     shuffled for this. Below that the input is less than about two splits per core and
-    the shuffle is small. Files that cannot be split hide their size from the scan, so
-    their rows are always spread. Hashing on the position makes retries repeatable.
+    the shuffle is small, or it comes from a few files that cannot be split. Hashing on the
+    position makes retries repeatable.
 
     ``df`` must be a plain scan: asking a plan with a shuffle for its number of tasks
     would run the shuffle."""
@@ -22,6 +22,6 @@ def spread(df: DataFrame, key: str = "seq", unsplittable: bool = False) -> DataF
         return df
     enough = TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
     tasks = df.rdd.getNumPartitions()
-    if tasks >= enough and not unsplittable:
+    if tasks == 0 or tasks >= enough:
         return df
-    return df.repartition(max(enough, TASKS_PER_CORE * tasks), F.col(key))
+    return df.repartition(enough, F.col(key))

@@ -163,3 +163,21 @@ def test_other_encoding_is_a_reject(spark, tmp_path):
     assert dump.rejected_pages(parsed).count() >= 1
     with pytest.raises(Exception, match="malformed page"):
         dump.to_articles(parsed, strict=True).collect()
+
+
+def test_only_gzip_files_are_spread(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    for n in range(3 * cores):
+        pages = (HEAD + "\n".join(page(f"T{n}x{i}", "y") for i in range(3)) + TAIL).encode()
+        (tmp_path / f"d{n}.xml.bz2").write_bytes(bz2.compress(pages))
+    (tmp_path / "last.xml.gz").write_bytes(gzip.compress((HEAD + page("Z", "y") + TAIL).encode()))
+    size = "spark.sql.files.maxPartitionBytes"
+    spark.conf.set(size, "1k")
+    try:
+        pages = dump.read_pages(spark, str(tmp_path))
+        plan = pages._jdf.queryExecution().executedPlan().toString()
+        titles = {r["title"] for r in dump.read_articles(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset(size)
+    assert plan.count("FileScan") == 2 and plan.count("Exchange") == 1
+    assert titles == {"Z"} | {f"T{n}x{i}" for n in range(3 * cores) for i in range(3)}

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import gzip
+from dataclasses import replace
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -194,3 +197,48 @@ def test_results_that_are_no_data_fail_their_record(spark, tmp_path):
     assert run.summary.collect()[0]["failed_count"] == 2
     texts = {r["text"] for r in run.compared.where("error IS NOT NULL").collect()}
     assert texts == {"t1", "t2"}
+
+
+def test_limit_leaves_later_files_unopened(spark, tmp_path):
+    """The last files cannot be read to their end: opening one would stop the job."""
+    dumps, tables = tmp_path / "dumps", tmp_path / "tables"
+    dumps.mkdir(), tables.mkdir()
+    for n in range(8):
+        pages = HEAD + "\n".join(page(f"T{n}x{i}", f"y{i}") for i in range(3)) + TAIL
+        packed = gzip.compress(pages.encode())
+        (dumps / f"d{n}.xml.gz").write_bytes(packed if n < 4 else packed[:-20])
+        write_parquet(tables / f"p{n}.parquet", [(n * 3 + i, f"T{n}x{i}") for i in range(3)])
+    whole = (tables / "p7.parquet").read_bytes()
+    # The data page is spoilt, the footer is not.
+    (tables / "p7.parquet").write_bytes(whole[:4] + b"\0" * 40 + whole[44:])
+
+    wanted = {"T0x0", "T0x1", "T0x2", "T1x0", "T1x1"}
+    of_dumps = compare_dump(spark, str(dumps), str(tmp_path / "o1"), BASIC_1, BASIC_2, max_records=5)
+    assert {r["title"] for r in of_dumps.compared.collect()} == wanted
+    of_tables = compare_parquet(spark, str(tables), str(tmp_path / "o2"), BASIC_1, BASIC_2, max_records=5)
+    assert {r["title"] for r in of_tables.compared.collect()} == wanted
+    with pytest.raises(Exception):
+        compare_dump(spark, str(dumps), str(tmp_path / "o3"), BASIC_1, BASIC_2, max_records=23)
+    with pytest.raises(Exception):
+        compare_parquet(spark, str(tables), str(tmp_path / "o4"), BASIC_1, BASIC_2, max_records=24)
+
+
+def test_limit_with_names_that_are_patterns(spark, tmp_path):
+    (tmp_path / "in dir").mkdir()
+    for n in range(3):
+        write_parquet(tmp_path / "in dir" / f"p[{n}].parquet", [(n * 3 + i, f"T{n}x{i}") for i in range(3)])
+    run = compare_parquet(
+        spark, str(tmp_path / "in dir"), str(tmp_path / "o"), BASIC_1, BASIC_2, max_records=4
+    )
+    assert {r["title"] for r in run.compared.collect()} == {"T0x0", "T0x1", "T0x2", "T1x0"}
+
+
+def test_components_and_run_id(spark, tmp_path):
+    write_parquet(tmp_path / "a.parquet", [(0, "t")])
+    old = replace(BASIC_1, components=("a", "b"))
+    runs = [
+        compare_parquet(spark, str(tmp_path / "a.parquet"), str(tmp_path / out), old, BASIC_2).summary.head()
+        for out in ("o1", "o2")
+    ]
+    assert runs[0]["old_components"] == ["a", "b"] and runs[0]["new_components"] == []
+    assert runs[0]["run_id"] != runs[1]["run_id"]
