@@ -57,3 +57,33 @@ def test_random_repeats(spark, monkeypatch):
     rows = substrings.deduplicated(frame).collect()
     got = Counter((r[0], r[1], r[2], hashlib.sha256(r[3].encode()).hexdigest()) for r in rows)
     assert got == brute(docs)
+
+
+def test_rows_without_ids_and_repeated_ids(spark):
+    """Rows are told apart where ids don't: null ids, and one id with two texts."""
+    passage, other = ([f"{c}{k}" for k in range(25)] for c in "pq")
+    clean = [f"c{k}" for k in range(60)]
+    docs = [
+        (None, " ".join(passage + clean[:30])),
+        (None, " ".join(clean[30:] + [f"d{k}" for k in range(30)])),
+        (None, " ".join(other)),
+        (None, " ".join(other)),
+        (None, "short text"),
+        (None, "short text"),
+        (1, " ".join(passage)),
+        (2, " ".join([*passage, "x", "y"])),
+        (2, " ".join([f"e{k}" for k in range(40)])),
+    ]
+    rows = substrings.deduplicated(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)).collect()
+    want = [
+        (None, 55, 25, " ".join(clean[:30])),
+        (None, 60, 0, docs[1][1]),
+        (None, 25, 0, docs[2][1]),
+        (None, 25, 25, ""),
+        (None, 2, 0, "short text"),
+        (None, 2, 0, "short text"),
+        (1, 25, 0, docs[6][1]),
+        (2, 27, 25, "x y"),
+        (2, 40, 0, docs[8][1]),
+    ]
+    assert Counter(map(tuple, rows)) == Counter(want)
