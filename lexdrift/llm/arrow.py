@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -26,6 +27,16 @@ def per_batch(df: DataFrame, function: Callable, schema: str | T.StructType) ->
     return df.mapInArrow(run, schema)
 
 
+def byte_slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``limit`` bytes of a string column, one row at least."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(lengths, dtype=np.int64) // limit
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    for low, high in zip(cuts, cuts[1:]):
+        if low < high:
+            yield batch.slice(low, high - low)
+
+
 def texts_of(column: pa.Array) -> Iterator[bytes]:
     """UTF-8 texts of a string column, one at a time; null is empty."""
     for item in column.cast(pa.large_binary()):

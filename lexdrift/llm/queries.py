@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexdrift.llm import inner_product, katz, language_id, mixing, neighbours, packing, secret_scan, simhash, substrings, toxicity
+from lexdrift.llm import inner_product, katz, language_id, mixing, neighbours, packing, secret_scan, simhash, substrings, token_codes, toxicity
 from lexdrift.plans.workspace import new_folder, stored
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,6 +97,12 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "tokens")
+    token_codes.write(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER), folder)
+    return token_codes.read(spark, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_language_id": op2_language_id,
@@ -107,4 +114,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_katz": op9_katz,
     "op10_pack": op10_pack,
+    "op12_token_codes": op12_token_codes,
 }
