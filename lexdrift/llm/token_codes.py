@@ -28,7 +28,6 @@ documents of their own, ordered by text; an empty table gives no rows; other col
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -39,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexdrift.llm.arrow import byte_slices
+from lexdrift.llm.pieces import PieceIds, joined, whole_tokenizer
 
 END = 2
 SEGMENT = 1 << 18
@@ -47,7 +47,7 @@ STRETCH = 1 << 16
 MAGIC = b"DAC1"
 BLOCK_BITS = 512
 #: Text that is tokenized at a time.
-TEXT_BYTES = 32 << 20
+TEXT_BYTES = 16 << 20
 
 SEGMENTS = "part bigint, number bigint, first bigint, doc_ids array<bigint>, starts array<bigint>, sizes array<bigint>, codes binary"
 DOCUMENTS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
@@ -137,39 +137,33 @@ def cut_places(data: np.ndarray) -> np.ndarray:
 
 
 class PieceTokenizer:
-    """Ids of texts by the tokenizers library, each distinct piece of a call tokenized once."""
+    """Ids of texts by the tokenizers library, piece by piece."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        kind = type(self.tokenizer.pre_tokenizer).__name__
-        if self.tokenizer.normalizer is not None or kind != "ByteLevel" or self.tokenizer.pre_tokenizer.add_prefix_space:
+        tokenizer = whole_tokenizer(path)
+        kind = type(tokenizer.pre_tokenizer).__name__
+        if tokenizer.normalizer is not None or kind != "ByteLevel" or tokenizer.pre_tokenizer.add_prefix_space:
             raise ValueError(f"{path}: only byte-level tokenizers without normalizer or prefix can be cut into pieces")
 
+        def encode(texts: list[str]) -> list[list[int]]:
+            return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+        self.pieces = PieceIds.of_process(path, lambda: PieceIds(encode))
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts with an end id after each, and how many each text has."""
         texts = texts.cast(pa.large_binary()).fill_null(b"")
         bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        data = texts.buffers()[2]
-        held = np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
-        places = cut_places(held[bounds[0] : bounds[-1]]) + bounds[0]
-        cuts = np.union1d(bounds, places)
-        pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), data or pa.py_buffer(b"")])
-        pieces = pieces.dictionary_encode()
-        distinct = pieces.dictionary.cast(pa.large_string()).to_pylist()
-        found = self.tokenizer.encode_batch_fast(distinct, add_special_tokens=False)
-        lists = pa.array([e.ids for e in found], pa.large_list(pa.uint32()))
-        ids = lists.flatten().to_numpy(zero_copy_only=False)
-        first = np.frombuffer(lists.buffers()[1], np.int64)[: len(lists) + 1]
-        codes = pieces.indices.to_numpy()
-        lengths = np.diff(first)[codes]
-        upto = np.concatenate([[0], np.cumsum(lengths)])
-        taken = ids[np.repeat(first[:-1][codes] - upto[:-1], lengths) + np.arange(upto[-1])]
-        ends = upto[np.searchsorted(cuts, bounds[1:])]
-        return np.insert(taken, ends, END).astype(np.uint32), np.diff(ends, prepend=0) + 1
+        data = texts.buffers()[2] or pa.py_buffer(b"")
+        held = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]]
+        cut = np.zeros(len(held) + 1, bool)
+        cut[cut_places(held)] = True
+        cut[bounds - bounds[0]] = True
+        cuts = np.flatnonzero(cut) + bounds[0]
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), data])
+        ids, upto = joined(*self.pieces(pieces))
+        ends = np.concatenate([[0], upto])[np.searchsorted(cuts, bounds[1:])]
+        return np.insert(ids, ends, END), np.diff(ends, prepend=0) + 1
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str) -> None:
