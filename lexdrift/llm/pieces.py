@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a process keeps, and how many are tokenized at a time.
-KEPT, CHUNK = 1 << 20, 1 << 14
+KEPT, CHUNK = 1 << 19, 1 << 13
 
 
 class PieceIds:
@@ -82,10 +82,8 @@ def joined(codes: np.ndarray, values: np.ndarray, first: np.ndarray) -> tuple[np
 
 
 def whole_tokenizer(path: str):
-    """A tokenizer file as the tokenizers library reads it, special tokens as ordinary text."""
+    """A tokenizer file as the tokenizers library reads it."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(path)

@@ -21,6 +21,7 @@ directory (uint64), each starting at a multiple of 8 bytes.
 
 Texts are tokenized by the tokenizers library. Its pre-tokenizer never joins what stands before a run
 of white space with the run, so texts are cut there, and each distinct piece of a batch is tokenized once.
+Strings of special tokens in a text are ordinary text.
 
 Defined cases: a null or empty text is the end id alone; null ids come last; repeated ids and rows are
 documents of their own, ordered by text; an empty table gives no rows; other columns are not read.
@@ -47,7 +48,7 @@ STRETCH = 1 << 16
 MAGIC = b"DAC1"
 BLOCK_BITS = 512
 #: Text that is tokenized at a time.
-TEXT_BYTES = 16 << 20
+TEXT_BYTES = 8 << 20
 
 SEGMENTS = "part bigint, number bigint, first bigint, doc_ids array<bigint>, starts array<bigint>, sizes array<bigint>, codes binary"
 DOCUMENTS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
@@ -141,6 +142,7 @@ class PieceTokenizer:
 
     def __init__(self, path: str):
         tokenizer = whole_tokenizer(path)
+        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         kind = type(tokenizer.pre_tokenizer).__name__
         if tokenizer.normalizer is not None or kind != "ByteLevel" or tokenizer.pre_tokenizer.add_prefix_space:
             raise ValueError(f"{path}: only byte-level tokenizers without normalizer or prefix can be cut into pieces")
@@ -196,6 +198,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str) -> None:
                         ids, doc_ids, starts, sizes = [], [], [], []
         if ids:
             yield row()
+        pa.default_memory_pool().release_unused()
 
     order = [F.col("doc_id").asc_nulls_last(), F.col("by_text"), F.col("by_place")]
     placed = docs.select(
