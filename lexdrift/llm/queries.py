@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexdrift.llm import inner_product, katz, language_id, mixing, neighbours, packing, secret_scan, simhash, substrings, token_codes, toxicity
+from lexdrift.llm import inner_product, katz, language_id, lexical_search, mixing, neighbours, packing, secret_scan, simhash, spelling, substrings, token_codes, toxicity
 from lexdrift.plans.workspace import new_folder, stored
 
 TOKENIZER = "word_bpe_49k.json"
@@ -97,12 +97,21 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
 def op12_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "tokens")
     token_codes.write(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER), folder)
     return token_codes.read(spark, folder)
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_language_id": op2_language_id,
@@ -114,5 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_katz": op9_katz,
     "op10_pack": op10_pack,
+    "op11_lexical_search": op11_lexical_search,
     "op12_token_codes": op12_token_codes,
+    "op13_spelling": op13_spelling,
 }

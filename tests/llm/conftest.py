@@ -77,6 +77,7 @@ def edge_dir(tmp_path_factory):
 @pytest.fixture(scope="session")
 def empty_dir(tmp_path_factory, edge_dir):
     path = str(tmp_path_factory.mktemp("empty"))
+    pq.write_table(pa.table({"item_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())}), f"{path}/benchmark.parquet")
     for name in ("documents", "labels", "embeddings", "pages"):
         pq.write_table(pq.read_table(f"{edge_dir}/{name}.parquet").slice(0, 0), f"{path}/{name}.parquet")
     return path
