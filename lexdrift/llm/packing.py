@@ -18,20 +18,18 @@ rows; other columns of the input are not read.
 
 from __future__ import annotations
 
-import gc
-import sys
-from array import array
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
-from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from lexdrift.llm.arrow import texts_of
+from lexdrift.llm.arrow import byte_slices
+from lexdrift.llm.pieces import PieceIds, joined, whole_tokenizer
 
 WIDTH = 4096
 END = 2
@@ -39,10 +37,8 @@ END = 2
 SENTENCE, INSIDE, WINDOW = 16, 48, 64
 GRID = 64
 BLOCK = 1 << 20
-CACHE_BYTES = 96 << 20
+TEXT_BYTES = 8 << 20
 SENTENCE_ENDS = b".!?"
-#: Letters below it are composed and have lower-case forms that do not depend on their neighbours.
-LATIN = "\u0130"
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 )
@@ -83,103 +79,60 @@ def cuts(places: np.ndarray, penalties: np.ndarray, width: int = WIDTH) -> list[
     return out[::-1]
 
 
-def _byte_letters() -> dict[int, int]:
-    """Byte-level vocabularies write printable Latin-1 bytes as themselves and the others as
-    the code points from 256 on, in order."""
-    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = [b for b in range(256) if b not in printable]
-    return {b: 256 + n for n, b in enumerate(others)}
-
-
-class _Words(dict):
-    """Codes of words, learned when they are first asked for."""
-
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, word: bytes) -> int:
-        code = self[word] = self.encoder.learn(word)
-        return code
-
-
 class Encoder:
-    """Token ids of whole texts, word by word: the pre-tokenizer drops white space, so no
-    token crosses it. Words seen are kept, up to a bounded number of bytes.
-
-    A word of Latin letters is one pre-token, and so is a stop or comma after it; these go
-    to the vocabulary's model at once, all others through the whole tokenizer."""
+    """Token ids of whole texts and the places where they may be cut, word by word: the pre-tokenizer
+    drops white space, so no token crosses it. Each distinct word of a call is tokenized once."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.letters = _byte_letters()
-        self.stops = {s: self._whole(s) for s in (b"", b".", b",")}
-        self.clear()
-
-    @staticmethod
-    def of_process(path: str) -> Encoder:
-        """The encoder of this worker process, which later tasks go on with."""
-        kept = sys.modules.setdefault("lexdrift encoders", ModuleType("lexdrift encoders")).__dict__
-        if path not in kept:
-            kept[path] = Encoder(path)
-        return kept[path]
-
-    def clear(self) -> None:
-        self.codes, self.held = _Words(self), 0
-        self.ids = array("I")  # of all words, one after the other
-        self.starts = array("q")
-        self.sizes = array("q")  # twice the number of ids, and one if a sentence ends
-
-    def _whole(self, word: bytes) -> list[int]:
-        return self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-
-    def learn(self, word: bytes) -> int:
-        stop = word[-1:] if word[-1] in b".," else b""
-        core = word[: len(word) - len(stop)].decode("utf-8", "replace")
-        if core.isalpha() and max(core) < LATIN:
-            core = core.lower()
-            raw = core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.model.tokenize(raw)] + self.stops[stop]
-        else:
-            ids = self._whole(word)
-        self.starts.append(len(self.ids))
-        self.ids.extend(ids)
-        self.sizes.append(2 * len(ids) | (word[-1] in SENTENCE_ENDS))
-        self.held += 160 + len(word) + 4 * len(ids)
-        return len(self.starts) - 1
-
-    def __call__(self, text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
-        """Ids, and the places and penalties of all cuts."""
-        if self.held > CACHE_BYTES:
-            self.clear()
-        words = text.split()
-        codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
-        sizes = np.frombuffer(self.sizes, np.int64)[codes] if words else codes
-        lengths, ends = sizes >> 1, sizes & 1
-        upto = np.cumsum(lengths)
-        total = int(upto[-1]) if len(upto) else 0
-        sentence = upto[(ends == 1) & (upto > 0) & (upto < total)]
-        sentence = sentence[np.concatenate([[True], np.diff(sentence) > 0])] if len(sentence) else sentence
-        bounds = np.concatenate([[0], sentence, [total]])
-        places, penalties = [np.append(sentence, total + 1)], [np.append(np.full(len(sentence), SENTENCE), 0)]
-        for k in np.flatnonzero(np.diff(bounds) > GRID):
-            inside = np.arange(bounds[k] + GRID, bounds[k + 1], GRID)
-            places.append(inside)
-            penalties.append(np.full(len(inside), INSIDE))
-        if len(places) > 1:
-            places, penalties = np.concatenate(places), np.concatenate(penalties)
-            order = np.argsort(places, kind="stable")
-            places, penalties = places[order], penalties[order]
-        else:
-            places, penalties = places[0], penalties[0]
-        ids = np.full(total + 1, END, "<u4")
-        if total:
-            first = np.frombuffer(self.starts, np.int64)[codes] - (upto - lengths)
-            np.take(np.frombuffer(self.ids, np.uint32), np.repeat(first, lengths) + np.arange(total), out=ids[:-1])
-        return ids.tobytes(), places, penalties
+        tokenizer = whole_tokenizer(path)
+
+        def encode(words: list[str]) -> list[list[int]]:
+            return [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+        words = sum(encode(["Ab", "c,", "D.e"]), [])
+        parted = encode(["Ab c,\n D.e", "  Ab \tc,   D.e\n"])
+        if parted != [words, words]:
+            raise ValueError(f"{path}: texts can only be packed word by word if white space is dropped")
+        self.words = PieceIds.of_process(path, lambda: PieceIds(encode))
+
+    def __call__(self, texts: pa.Array) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+        """Of each text its ids, and the places and penalties of all cuts."""
+        lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        words, rows = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+        held = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+        words, rows = words.filter(pa.array(held)).cast(pa.large_binary()), rows[held]
+        ids, upto = joined(*self.words(words))
+        bounds = np.searchsorted(rows, np.arange(len(texts) + 1))
+        upto = np.concatenate([[0], upto])
+        ends = _ends_sentence(words)
+        for low, high in zip(bounds, bounds[1:]):
+            after = upto[low + 1 : high + 1] - upto[low]
+            yield _with_cuts(ids[upto[low] : upto[high]], after, ends[low:high])
+
+
+def _ends_sentence(words: pa.Array) -> np.ndarray:
+    """Whether each (not empty) word ends with a mark that ends a sentence."""
+    last = np.frombuffer(words.buffers()[1], np.int64)[words.offset + 1 : words.offset + len(words) + 1] - 1
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    return np.isin(data[last], np.frombuffer(SENTENCE_ENDS, np.uint8)) if len(last) else np.empty(0, bool)
+
+
+def _with_cuts(found: np.ndarray, upto: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Ids of one text with the end id, and its cuts; ``upto``: ids to the end of each word."""
+    total = len(found)
+    sentence = upto[ends & (upto > 0) & (upto < total)]
+    sentence = sentence[np.concatenate([[True], np.diff(sentence) > 0])] if len(sentence) else sentence
+    bounds = np.concatenate([[0], sentence, [total]])
+    places, penalties = [np.append(sentence, total + 1)], [np.append(np.full(len(sentence), SENTENCE), 0)]
+    for k in np.flatnonzero(np.diff(bounds) > GRID):
+        inside = np.arange(bounds[k] + GRID, bounds[k + 1], GRID)
+        places.append(inside)
+        penalties.append(np.full(len(inside), INSIDE))
+    places, penalties = np.concatenate(places), np.concatenate(penalties)
+    if len(places) > len(sentence) + 1:
+        order = np.argsort(places, kind="stable")
+        places, penalties = places[order], penalties[order]
+    return np.append(found, END).astype("<u4").tobytes(), places, penalties
 
 
 @dataclass
@@ -243,29 +196,22 @@ def pack(docs: DataFrame, tokenizer: str, width: int = WIDTH) -> DataFrame:
     tokenizer file that every machine has; ``ids`` are little-endian unsigned 32-bit ids."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder.of_process(tokenizer)
+        encode = Encoder(tokenizer)
         number = TaskContext.get().partitionId() << 40
         parts: list[_Part] = []
         held = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
-                ids, places, penalties = encode(text)
-                parts.append(_Part(doc_id, 0, ids, places, penalties, len(ids) // 4))
-                held += len(ids) // 4
-                if held >= BLOCK:
-                    windows, parts = _packed(parts, width, False)
-                    held = sum(p.length for p in parts)
-                    if windows:
-                        yield _batch(windows, number)
-                        number += len(windows)
+            for some in byte_slices(batch, 1, TEXT_BYTES):
+                for doc_id, (ids, places, penalties) in zip(some.column(0).to_pylist(), encode(some.column(1))):
+                    parts.append(_Part(doc_id, 0, ids, places, penalties, len(ids) // 4))
+                    held += len(ids) // 4
+                    if held >= BLOCK:
+                        windows, parts = _packed(parts, width, False)
+                        held = sum(p.length for p in parts)
+                        if windows:
+                            yield _batch(windows, number)
+                            number += len(windows)
         if parts:
             yield _batch(_packed(parts, width, True)[0], number)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # nothing here refers to itself, and the word tables are long to traverse
-        try:
-            yield from packed(batches)
-        finally:
-            gc.enable()  # the process goes on with other tasks
-
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(packed, SCHEMA)
