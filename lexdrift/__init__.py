@@ -7,7 +7,9 @@ from lexdrift.operators import (
     PatternAnalyzer,
     PythonAnalyzer,
     RunInfo,
+    UnknownWords,
     compare,
+    lattice_analyzer,
     register,
     run_summary,
 )
@@ -22,9 +24,11 @@ __all__ = [
     "PatternAnalyzer",
     "PythonAnalyzer",
     "RunInfo",
+    "UnknownWords",
     "compare",
     "compare_dump",
     "compare_parquet",
+    "lattice_analyzer",
     "register",
     "run_summary",
 ]

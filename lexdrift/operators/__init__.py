@@ -8,6 +8,7 @@ from lexdrift.operators.analyzers import (
     resolve,
 )
 from lexdrift.operators.compare import analyze, compare, differing, failed, preview
+from lexdrift.operators.lattice import UnknownWords, lattice_analyzer
 from lexdrift.operators.sequence import in_input_order, limit_records, with_ordinal
 from lexdrift.operators.summary import RunInfo, run_summary
 
@@ -18,11 +19,13 @@ __all__ = [
     "PatternAnalyzer",
     "PythonAnalyzer",
     "RunInfo",
+    "UnknownWords",
     "analyze",
     "compare",
     "differing",
     "failed",
     "in_input_order",
+    "lattice_analyzer",
     "limit_records",
     "preview",
     "register",

@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,13 +28,18 @@ SLOTS = ("title", "text")
 
 @dataclass(frozen=True)
 class PatternAnalyzer:
-    """Tokens by regular expression; ``pos`` and ``cost`` map one token column."""
+    """Tokens by regular expression; ``pos`` and ``cost`` map one token column.
+
+    A rule that cannot tell gives NULL (``try_cast``, ``try_element_at``, ...), which fails the record;
+    an error that a rule raises would end the job. ``never_fails`` says that no rule gives NULL and no sum
+    leaves 64 bits: records that both versions cut alike then need no rules at all."""
 
     name: str
     pattern: str
     pos: Callable[[Column], Column]
     cost: Callable[[Column], Column]
     components: tuple[str, ...] = ()
+    never_fails: bool = False
 
 
 @dataclass(frozen=True)
@@ -89,7 +94,7 @@ def tokenize(text: Column, pattern: str) -> Column:
 def fold_tokens(tokens: Column, analyzer: PatternAnalyzer) -> Column:
     """Total cost, ordered terms and ordered parts of speech of a token array."""
     total = F.aggregate(
-        tokens, F.lit(0).cast("bigint"), lambda acc, t: acc + analyzer.cost(t).cast("bigint")
+        tokens, F.lit(0).cast("bigint"), lambda acc, t: F.try_add(acc, analyzer.cost(t).cast("bigint"))
     )
     return F.struct(
         total.alias("total_cost"),
@@ -100,7 +105,7 @@ def fold_tokens(tokens: Column, analyzer: PatternAnalyzer) -> Column:
 
 def fold_entries(entries: Column, pos: str = "pos", cost: str = "cost") -> Column:
     """The same from an ordered array of structs with ``surface`` and the named fields."""
-    total = F.aggregate(entries[cost], F.lit(0).cast("bigint"), lambda acc, c: acc + c)
+    total = F.aggregate(entries[cost], F.lit(0).cast("bigint"), lambda acc, c: F.try_add(acc, c))
     return F.struct(
         total.alias("total_cost"),
         entries["surface"].alias("terms"),
@@ -108,61 +113,61 @@ def fold_entries(entries: Column, pos: str = "pos", cost: str = "cost") -> Colum
     )
 
 
-PYTHON_RESULT = (
-    "title_cost bigint, title_terms array<string>, title_pos array<string>, "
-    "text_cost bigint, text_terms array<string>, text_pos array<string>, error string"
+PYTHON_FIELDS = (*[f"{slot}_{part}" for slot in SLOTS for part in ("cost", "terms", "pos")], "error")
+PYTHON_TYPES = {"cost": pa.int64(), "terms": pa.list_(pa.string()), "pos": pa.list_(pa.string()), "error": pa.string()}
+PYTHON_RESULT = ", ".join(
+    f"{f}: {'bigint' if f.endswith('cost') else 'string' if f == 'error' else 'array<string>'}" for f in PYTHON_FIELDS
 )
+PYTHON_ROWS = 256
 
 
-PYTHON_ROWS = 256
+def _field_result(analyze: Callable[[str], Iterable[tuple[str, str, int]]], text: str | None) -> tuple:
+    tokens = list(analyze(text)) if text else []
+    total = sum(int(cost) for _, _, cost in tokens)
+    if not -(1 << 63) <= total < 1 << 63:
+        raise OverflowError("the total cost does not fit 64 bits")
+    terms, pos = [str(t[0]) for t in tokens], [str(t[1]) for t in tokens]
+    for value in (*terms, *pos):
+        value.encode("utf-8")  # a lone surrogate is no text
+    return total, terms, pos
 
 
-def python_results(analyzer: PythonAnalyzer) -> Column:
-    """Flat results of both fields, or the error of the record, in one Arrow pass.
+def python_results(analyzers: dict[str, PythonAnalyzer]) -> Column:
+    """STRUCT<version: STRUCT<flat results of both fields, or the error of the record>>: one Arrow pass for
+    all versions.
 
     Declared nondeterministic so that Spark evaluates it once and never copies it into
     a filter."""
-    factory, rows_out = analyzer.factory, PYTHON_ROWS
-
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        analyze = factory()
-
-        def field_result(text):
-            tokens = list(analyze(text)) if text else []
-            total = sum(int(cost) for _, _, cost in tokens)
-            if not -(1 << 63) <= total < 1 << 63:
-                raise OverflowError("the total cost does not fit 64 bits")
-            terms, pos = [str(t[0]) for t in tokens], [str(t[1]) for t in tokens]
-            for value in (*terms, *pos):
-                value.encode("utf-8")  # a lone surrogate is no text
-            return total, terms, pos
-
-        def record(title, text):
+    factories, rows_out = {v: a.factory for v, a in analyzers.items()}, PYTHON_ROWS
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        made = {v: factory() for v, factory in factories.items()}
+
+        def record(analyze, title, text) -> tuple:
             try:
-                return (*field_result(title), *field_result(text), None)
+                return (*_field_result(analyze, title), *_field_result(analyze, text), None)
             except Exception as error:  # the record fails, the run goes on
-                return (None,) * 6 + (f"{type(error).__name__}: {error}",)
+                return (None,) * 6 + (f"{type(error).__name__}: {error}".encode("utf-8", "replace").decode(),)
+
+        def flat(analyze, titles: list, texts: list) -> pa.StructArray:
+            columns = zip(*[record(analyze, *pair) for pair in zip(titles, texts)])
+            arrays = [pa.array(c, PYTHON_TYPES[f.split("_")[-1]]) for c, f in zip(columns, PYTHON_FIELDS)]
+            return pa.StructArray.from_arrays(arrays, PYTHON_FIELDS)
 
-        columns = [
-            "title_cost", "title_terms", "title_pos",
-            "text_cost", "text_terms", "text_pos", "error",
-        ]
         for titles, texts in batches:
-            # Tokens take far more room as Python objects than as text: hand them back in
-            # small frames, whatever the size of the incoming batch.
+            # Tokens take far more room as Python objects than as text: they are turned to Arrow
+            # a few rows at a time, whatever the size of the incoming batch.
+            parts = []
             for at in range(0, len(titles), rows_out):
-                part = slice(at, at + rows_out)
-                rows = [record(*pair) for pair in zip(titles.iloc[part], texts.iloc[part])]
-                out = pd.DataFrame(rows, columns=columns, dtype=object)
-                for cost in ("title_cost", "text_cost"):
-                    out[cost] = out[cost].astype("Int64")
-                yield out
+                some = titles.slice(at, rows_out).to_pylist(), texts.slice(at, rows_out).to_pylist()
+                parts.append(pa.StructArray.from_arrays([flat(a, *some) for a in made.values()], list(made)))
+            kind = pa.struct([(v, pa.struct([(f, PYTHON_TYPES[f.split("_")[-1]]) for f in PYTHON_FIELDS])) for v in made])
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     # Types are declared here because annotations are strings in this module.
-    run.__annotations__ = {
-        "batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame],
-    }
-    udf = F.pandas_udf(run, PYTHON_RESULT).asNondeterministic()
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    schema = ", ".join(f"{v} struct<{PYTHON_RESULT}>" for v in analyzers)
+    udf = F.arrow_udf(run, schema).asNondeterministic()
     return udf(F.col("title"), F.col("text"))
 
 
@@ -184,8 +189,8 @@ def _basic_cost(token: Column) -> Column:
 
 
 BASIC_1 = register(
-    PatternAnalyzer("basic-1", rf"[\p{{L}}\p{{N}}]+|{_SYMBOL}", _basic_pos, _basic_cost)
+    PatternAnalyzer("basic-1", rf"[\p{{L}}\p{{N}}]+|{_SYMBOL}", _basic_pos, _basic_cost, never_fails=True)
 )
 BASIC_2 = register(
-    PatternAnalyzer("basic-2", rf"\p{{L}}+|\p{{N}}+|{_SYMBOL}", _basic_pos, _basic_cost)
+    PatternAnalyzer("basic-2", rf"\p{{L}}+|\p{{N}}+|{_SYMBOL}", _basic_pos, _basic_cost, never_fails=True)
 )

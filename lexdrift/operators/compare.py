@@ -21,9 +21,13 @@ from lexdrift.operators.analyzers import (
     resolve,
     tokenize,
 )
-from lexdrift.operators.lexicon import attach_lexicon_results
+from lexdrift.operators.lexicon import attach_lexicon_results, dictionary
+from lexdrift.operators.row_lexicon import fits_rows, row_lookup, share_lexicon
 
 VERSIONS = ("old", "new")
+# Why a record fails without an error having been raised.
+NO_COST = "a token without a cost, or a total cost that does not fit 64 bits"
+NO_POS = "a token without a part of speech"
 FACETS = ("cost", "term", "pos")
 _FACET_FIELD = {"cost": "total_cost", "term": "terms", "pos": "pos"}
 
@@ -37,7 +41,8 @@ def analyze(
 ) -> DataFrame:
     """Add ``old`` and ``new`` (``STRUCT<title, text>`` of results) and ``error``.
 
-    ``articles`` needs ``title`` and ``text``; ``key`` only for lexicon analyzers.
+    ``articles`` needs ``title`` and ``text``; ``key`` only for lexicons too large to be looked up in the row.
+    A rule that gives NULL for a token, or a total cost beyond 64 bits, fails its record.
 
     Without ``all_results`` a record may have NULL results when both versions are known
     to agree on it: two pattern analyzers with the same cost and part-of-speech rules
@@ -47,17 +52,17 @@ def analyze(
     df = articles
 
     lexicons = [(v, m) for v, m in models.items() if isinstance(m, LexiconAnalyzer)]
-    if lexicons:
+    in_rows = lexicons if lexicons and fits_rows([m for _, m in lexicons]) else []
+    if lexicons and not in_rows:
         df = attach_lexicon_results(df, lexicons, key)
 
     pythons = {v: m for v, m in models.items() if isinstance(m, PythonAnalyzer)}
     if pythons:
-        df = df.select("*", *[python_results(m).alias(f"_py_{v}") for v, m in pythons.items()])
+        df = df.select("*", python_results(pythons).alias("_py"))
 
     # Token arrays first, one per distinct pattern, so that versions can share them.
-    patterns = list(
-        dict.fromkeys(m.pattern for m in models.values() if isinstance(m, PatternAnalyzer))
-    )
+    cutting = [m for m in models.values() if isinstance(m, PatternAnalyzer)] + [m for _, m in in_rows]
+    patterns = list(dict.fromkeys(m.pattern for m in cutting))
     df = df.select(
         "*",
         *[
@@ -67,6 +72,15 @@ def analyze(
         ],
     )
 
+    if in_rows:
+        table = share_lexicon(articles.sparkSession, dictionary([m for _, m in in_rows]), [m for _, m in in_rows])
+        lookups = []
+        for n, p in enumerate(patterns):
+            chosen = {v: k for k, (v, m) in enumerate(in_rows) if m.pattern == p}
+            if chosen:
+                lookups.append(row_lookup(table, chosen, [F.col(f"_{slot}_{n}") for slot in SLOTS]).alias(f"_words_{n}"))
+        df = df.select("*", *lookups)
+
     needed = None
     if not all_results and _same_rules(models["old"], models["new"]):
         n, m = (patterns.index(model.pattern) for model in models.values())
@@ -74,42 +88,56 @@ def analyze(
         df = df.select("*", (~(agree[0] & agree[1])).alias("_needed"))
         needed = F.col("_needed")
 
+    def parts(found: dict[str, tuple[Column, Column, Column]]) -> Column:
+        """Both fields' results from their cost, terms and parts of speech."""
+        names = ("total_cost", "terms", "pos")
+        return F.struct(
+            *[F.struct(*[c.alias(n) for c, n in zip(columns, names)]).alias(slot) for slot, columns in found.items()]
+        )
+
     def result(version: str) -> Column:
         model = models[version]
-        if isinstance(model, LexiconAnalyzer):
-            return F.col(version)
         if isinstance(model, PythonAnalyzer):
-            flat = F.col(f"_py_{version}")
-            whole = F.struct(
-                *[
-                    F.struct(
-                        flat[f"{slot}_cost"].alias("total_cost"),
-                        flat[f"{slot}_terms"].alias("terms"),
-                        flat[f"{slot}_pos"].alias("pos"),
-                    ).alias(slot)
-                    for slot in SLOTS
-                ]
-            )
+            flat = F.col(f"_py.{version}")
+            whole = parts({s: (flat[f"{s}_cost"], flat[f"{s}_terms"], flat[f"{s}_pos"]) for s in SLOTS})
             return F.when(flat["error"].isNull(), whole)
+        if isinstance(model, LexiconAnalyzer):
+            if not in_rows:
+                return F.col(version)
+            n = patterns.index(model.pattern)
+            found = F.col(f"_words_{n}.{version}")
+            return parts({s: (found[f"{s}_cost"], F.col(f"_{s}_{n}"), found[f"{s}_pos"]) for s in SLOTS})
         n = patterns.index(model.pattern)
         whole = F.struct(
             *[fold_tokens(F.col(f"_{slot}_{n}"), model).alias(slot) for slot in SLOTS]
         )
         return whole if needed is None else F.when(needed, whole)
 
-    errors = [F.col(f"_py_{v}")["error"] for v in pythons] or [F.lit(None)]
+    def failure(version: str) -> Column:
+        """Why a version has no result for a record. Columns cannot catch an error, so rules and sums give NULL."""
+        if version in pythons:
+            return F.col(f"_error_{version}")
+        model, found = models[version], F.col(f"_{version}")
+        no_cost = found["title"]["total_cost"].isNull() | found["text"]["total_cost"].isNull()
+        no_pos = F.exists(found["title"]["pos"], F.isnull) | F.exists(found["text"]["pos"], F.isnull)
+        if isinstance(model, LexiconAnalyzer):
+            no_pos = F.lit(False)
+        reason = F.when(no_cost, NO_COST).when(no_pos, NO_POS)
+        return F.when(found.isNotNull() & (no_cost | no_pos), F.concat(F.lit(f"{model.name}: "), reason))
+
     # ``inline`` fixes the results as a row of their own: a later filter on a comparison
     # uses them instead of repeating the analysis inside its condition.
     row = F.struct(
-        result("old").alias("_old"),
-        result("new").alias("_new"),
-        F.coalesce(*errors).cast("string").alias("_error"),
+        *[result(v).alias(f"_{v}") for v in VERSIONS],
+        *[F.col(f"_py.{v}.error").alias(f"_error_{v}") for v in pythons],
     )
-    return df.select(*kept, F.inline(F.array(row))).select(
+    df = df.select(*kept, F.inline(F.array(row)))
+    safe = [v for v, m in models.items() if isinstance(m, PatternAnalyzer) and m.never_fails]
+    errors = {v: failure(v) for v in VERSIONS if v not in safe}
+    return df.select(
         *kept,
-        F.col("_old").alias("old"),
-        F.col("_new").alias("new"),
-        F.col("_error").alias("error"),
+        *[(F.when(errors[v].isNull(), F.col(f"_{v}")) if v in errors else F.col(f"_{v}")).alias(v) for v in VERSIONS],
+        F.coalesce(*errors.values(), F.lit(None)).cast("string").alias("error"),
     )
 
 
@@ -117,6 +145,8 @@ def _same_rules(old: Analyzer, new: Analyzer) -> bool:
     return (
         isinstance(old, PatternAnalyzer)
         and isinstance(new, PatternAnalyzer)
+        and old.never_fails
+        and new.never_fails
         and old.pos is new.pos
         and old.cost is new.cost
     )

@@ -31,7 +31,7 @@ _ENTRY_OVERHEAD = 64
 FIELD_SPAN = 1 << 40
 
 
-def _dictionary(analyzers: list[LexiconAnalyzer]) -> DataFrame:
+def dictionary(analyzers: list[LexiconAnalyzer]) -> DataFrame:
     """One row per surface, with an entry ``e{n}`` for each analyzer; the cheapest entry
     wins when a version lists a surface twice."""
     parts = [
@@ -125,7 +125,7 @@ def lexicon_results(
     ``key`` must be unique. Analyzers with the same pattern share their token rows."""
     models = [a for _, a in analyzers]
     patterns = list(dict.fromkeys(a.pattern for a in models))
-    words = _dictionary(models)
+    words = dictionary(models)
     tokens = _token_rows(articles, key, patterns)
     if dictionary_bytes(models) <= broadcast_bytes:
         found = tokens.join(F.broadcast(words), "surface", "left")

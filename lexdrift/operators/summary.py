@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+COUNTERS = ("total_processed", "difference_count", "skipped_count", "failed_count", "rejected_count")
+
+
 @dataclass(frozen=True)
 class RunInfo:
     """What a run was given and when it ran; times are UTC wall clock."""
@@ -24,6 +27,8 @@ class RunInfo:
     old_components: Sequence[str] = field(default_factory=tuple)
     new_components: Sequence[str] = field(default_factory=tuple)
     run_id: str | None = None
+    #: Input files that could not be read to their end; None where they were not looked for.
+    broken_files: int | None = None
 
     @property
     def duration_ms(self) -> int:
@@ -86,6 +91,7 @@ def run_summary(compared: DataFrame, info: RunInfo) -> DataFrame:
         "skipped_count",
         "failed_count",
         "rejected_count",
+        F.lit(info.broken_files).cast("bigint").alias("broken_files"),
         _rate(different, total).alias("diff_rate"),
         _rate(F.col("match_count"), total).alias("match_rate"),
     )

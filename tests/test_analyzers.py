@@ -19,6 +19,7 @@ from lexdrift.operators import (
     resolve,
 )
 from lexdrift.operators import lexicon as lexicon_module
+from lexdrift.operators.compare import NO_COST, NO_POS
 from lexdrift.operators.lexicon import attach_lexicon_results
 
 ARTICLE = "n bigint, title string, text string"
@@ -151,7 +152,7 @@ def test_lexicon_against_brute_force(spark, corpus, limit, slices, new_pattern):
 def test_salts_bound_the_share_of_a_join_key(spark, corpus):
     rows, _, lexicon = corpus
     tokens = lexicon_module._token_rows(articles(spark, rows), "seq", [r"\w+"])
-    words = lexicon_module._dictionary([LexiconAnalyzer("o", r"\w+", lexicon, "old")])
+    words = lexicon_module.dictionary([LexiconAnalyzer("o", r"\w+", lexicon, "old")])
     slices = 10
     left, right = lexicon_module._salted_sides(tokens, words, "seq", slices)
     shares = Counter((r["surface"], r["salt"]) for r in left.select("surface", "salt").collect())
@@ -160,6 +161,64 @@ def test_salts_bound_the_share_of_a_join_key(spark, corpus):
     assert right.count() <= words.count() + 2 * slices
 
 
+@pytest.mark.parametrize("new_pattern", [r"\w+", r"\w"])
+def test_lexicon_in_the_row_against_brute_force(spark, corpus, new_pattern):
+    rows, entries, lexicon = corpus
+    old = LexiconAnalyzer("o", r"\w+", lexicon, "old", "unk", 50)
+    new = LexiconAnalyzer("n", new_pattern, lexicon, "new", "???", 3)
+    df = compare(articles(spark, rows), old, new)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # The one exchange is that of the test's own articles; a pattern is a pass.
+    assert "Join" not in plan and plan.count("Exchange") == 1 and plan.count("ArrowEvalPython") == len({r"\w+", new_pattern})
+    got = by_n(df)
+    want_old = brute_force(rows, entries["old"], r"\w+", ("unk", 50))
+    want_new = brute_force(rows, entries["new"], new_pattern, ("???", 3))
+    assert len(got) == len(rows)
+    for row, old_want, new_want in zip(got, want_old, want_new):
+        assert (plain(row["old"]["title"]), plain(row["old"]["text"])) == old_want
+        assert (plain(row["new"]["title"]), plain(row["new"]["text"])) == new_want
+
+
+def test_lexicon_with_an_empty_version_and_null_entries(spark):
+    rows = [(None, "a b a"), ("b", "")]
+    flat = [("old", "a", None, 4), ("old", None, "x", 1), ("old", "", "x", 1)]
+    lexicon = spark.createDataFrame(flat, "version string, surface string, pos string, cost bigint")
+    old = LexiconAnalyzer("o", r"\w", lexicon, "old", "unk", 50)
+    got = by_n(compare(articles(spark, rows), old, LexiconAnalyzer("n", r"\w", lexicon, "none", "?", 1)))
+    assert plain(got[0]["old"]["text"]) == (58, ["a", "b", "a"], ["unk"] * 3)
+    assert plain(got[0]["new"]["text"]) == (3, ["a", "b", "a"], ["?"] * 3)
+    assert plain(got[1]["old"]["title"]) == (50, ["b"], ["unk"])
+
+
+def test_costs_beyond_64_bits_fail_their_record(spark):
+    rows = [("a", "a b"), ("a a a", ""), ("", "b")]
+    half = 1 << 62
+    lexicon = spark.createDataFrame([("old", "a", "x", half)], "version string, surface string, pos string, cost bigint")
+    old = LexiconAnalyzer("o", r"\w", lexicon, "old", "unk", 1)
+    got = by_n(compare(articles(spark, rows), old, BASIC_2))
+    assert [r["error"] for r in got] == [None, f"o: {NO_COST}", None]
+    assert got[1]["old"] is None and got[1]["new"] is not None
+    assert got[0]["old"]["text"]["total_cost"] == half + 1
+
+
+def test_rules_that_cannot_tell_fail_their_record(spark):
+    rows = [("7", "8 9"), ("7", "x"), ("", "!"), (None, None)]
+
+    def pos(token):
+        return F.when(token != "!", "number")
+
+    picky = PatternAnalyzer("numbers", r"\S", pos, lambda t: F.when(t == "!", 1).otherwise(t.try_cast("bigint")))
+    huge = PatternAnalyzer("huge", r"\S", lambda t: F.lit("x"), lambda t: F.lit((1 << 63) - 1))
+    got = by_n(compare(articles(spark, rows), picky, BASIC_1, all_results=False))
+    reasons = [None, f"numbers: {NO_COST}", f"numbers: {NO_POS}", None]
+    assert [r["error"] for r in got] == reasons
+    assert [r["old"] is None for r in got] == [False, True, True, False]
+    got = by_n(compare(articles(spark, rows), BASIC_1, huge))
+    assert [r["error"] is None for r in got] == [False, True, True, True]
+    # Versions that cut alike need no rules, unless a rule may fail.
+    assert [r["error"] for r in by_n(compare(articles(spark, rows), picky, picky, all_results=False))] == reasons
+
+
 def test_lexicon_mixed_with_pattern(spark, corpus):
     rows, entries, lexicon = corpus
     old = LexiconAnalyzer("o", r"\w+", lexicon, "old", "unk", 50)
@@ -196,6 +255,13 @@ def test_python_analyzer_captures_errors_per_record(spark):
     assert got[1]["new"] is None and got[1]["diff_types"] == []
 
 
+def test_two_python_analyzers_are_one_pass(spark):
+    df = compare(articles(spark, [("a", "b")] * 9), PythonAnalyzer("p", failing_on("zz")), PythonAnalyzer("q", failing_on("a")))
+    plan = df.filter("has_difference")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert {r["error"] for r in df.collect()} == {"KeyError: 'a'"}
+
+
 def test_python_analyzer_runs_once_per_record(spark):
     rows = [("a b", "c")] * 20
     df = compare(articles(spark, rows), BASIC_1, PythonAnalyzer("p", failing_on("zz")))
