@@ -25,6 +25,14 @@ from lexdrift.plans.workspace import stored
 from lexdrift.sources import columnar, dump
 from lexdrift.sources.audit import require_parquet
 from lexdrift.sources.leading import leading_files
+from lexdrift.sources.survey import (
+    broken_files,
+    can_open,
+    leading_pages,
+    list_files,
+    load_survey,
+    read_surveyed,
+)
 
 XML, PARQUET = "XML", "Parquet"
 DETAIL_COLUMNS = ("text", "old", "new")
@@ -62,7 +70,9 @@ def _now() -> datetime:
     return datetime.now(timezone.utc).replace(tzinfo=None)
 
 
-def _run(articles: DataFrame, options: CompareOptions, source_type: str) -> CompareResult:
+def _run(
+    articles: DataFrame, options: CompareOptions, source_type: str, broken: int | None = None
+) -> CompareResult:
     started = _now()
     spark = articles.sparkSession
     root = options.output_path.rstrip("/")
@@ -90,6 +100,7 @@ def _run(articles: DataFrame, options: CompareOptions, source_type: str) -> Comp
         max_records=options.max_records,
         start_time=started,
         end_time=_now(),
+        broken_files=broken,
     )
     summary_path = f"{root}/run_summary"
     summary = stored(run_summary(table, info), "run_summary", summary_path)
@@ -125,11 +136,17 @@ def compare_dump(
     page_tag: str = dump.PAGE_TAG,
     keep_results: str = "differing",
     skip_broken_files: bool = False,
+    survey: DataFrame | str | None = None,
 ) -> CompareResult:
     """Compare two analyzers over a page dump. Empty articles take part.
 
     Pages that cannot be parsed are rows of ``compared`` with their XML's start in ``reject``
-    and are counted in the summary; ``strict`` makes them, and a dump without any page, an error."""
+    and are counted in the summary; ``strict`` makes them, and a dump without any page, an error.
+
+    With a ``survey`` of the dump, or the folder of a stored one (:func:`lexdrift.sources.survey.survey_pages`), gzip
+    files are read by many tasks, comments and CDATA may span pages, and broken files are counted in
+    the summary. A limit reads the dump in growing runs of ranges and stops inside a file; where only Spark
+    can open the files it stops behind one."""
     options = CompareOptions(
         old, new, input_path, output_path, max_records, report_format, strict, distinct_types, keep_results
     )
@@ -137,11 +154,27 @@ def compare_dump(
     def read(paths: str | list[str]) -> DataFrame:
         return dump.read_articles(spark, paths, strict, page_tag, skip_broken_files, keep_rejects=True)
 
-    paths = input_path
-    if max_records != -1:
-        files = spark.read.text(input_path).inputFiles()
-        paths = leading_files(read, files, max_records, F.col("reject").isNull()) or input_path
-    result = _run(read(paths), options, XML)
+    def finish(pages: DataFrame) -> DataFrame:
+        return dump.articles_of_pages(pages, strict, page_tag, keep_rejects=True)
+
+    counted, salvage, broken = F.col("reject").isNull(), skip_broken_files and not strict, None
+    if survey is not None:
+        survey = load_survey(spark, survey) if isinstance(survey, str) else survey
+        broken = broken_files(survey).count()
+        articles = finish(read_surveyed(survey, page_tag, salvage))
+    elif max_records != -1:
+        files = [(r["file"], r["size"]) for r in list_files(spark, input_path).collect()]
+        if files and can_open(min(files)[0]):
+            articles, seen = leading_pages(
+                spark, files, max_records, finish, counted, page_tag, skip_broken_files=salvage
+            )
+            broken = broken_files(seen).count()
+        else:
+            names = spark.read.text(input_path).inputFiles()
+            articles = read(leading_files(read, names, max_records, counted) or input_path)
+    else:
+        articles = read(input_path)
+    result = _run(articles, options, XML, broken)
     if strict:
         counts = result.summary.select("total_processed", "failed_count").head()
         if not sum(counts):

@@ -7,6 +7,9 @@ parsed where it lies. The built-in XML source would read a whole file in one tas
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,25 +82,63 @@ def read_pages(
     return spread(packed).unionAll(spread(plain)) if plain.rdd.getNumPartitions() else spread(packed)
 
 
-def _cut_pages(lines: DataFrame, page_tag: str) -> DataFrame:
-    """``(seq, page)`` of lines that end at the closing page tag."""
+def _chunks(lines: DataFrame, page_tag: str) -> DataFrame:
+    """``(file, block, value)`` of lines that end at the closing page tag, without comments."""
     meta, value = F.col("_metadata"), F.col("value")
     bare = F.when(F.contains(value, F.lit("<!--")), F.regexp_replace(value, COMMENT, "$1")).otherwise(value)
-    chunks = lines.select(
+    return lines.select(
         meta["file_path"].alias("file"),
         meta["file_block_start"].alias("block"),
         # Most chunks hold one page; an end tag written with blanks leaves several together.
         F.explode(F.split(bare, rf"</{page_tag}\s+>")).alias("value"),
     )
+
+
+def _pages(chunks: DataFrame, page_tag: str, idx) -> DataFrame:
+    """``(seq, page)`` of the chunks that hold a page."""
+    value = F.col("value")
     page = F.when(F.contains(value, F.lit("\0")), value).otherwise(
         F.regexp_extract(value, rf"(?s)<{page_tag}[\s>].*", 0)
     )
-    idx = F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)).alias("idx")
-    return chunks.select(F.struct("file", "block", idx).alias("seq"), page.alias("page")).filter(
+    return chunks.select(F.struct("file", "block", idx.alias("idx")).alias("seq"), page.alias("page")).filter(
         F.col("page") != ""
     )
 
 
+def _cut_pages(lines: DataFrame, page_tag: str) -> DataFrame:
+    """``(seq, page)`` of lines that end at the closing page tag."""
+    idx = F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS))
+    return _pages(_chunks(lines, page_tag), page_tag, idx)
+
+
+def stream_pages(
+    spark: SparkSession, path: str, page_tag: str = PAGE_TAG, files_per_trigger: int = 1000
+) -> DataFrame:
+    """``(seq, page)`` of the dump files that arrive in a folder; see :func:`read_pages`. A file must arrive whole.
+
+    A stream has no running numbers, so every task counts the pieces of its splits as they pass."""
+    lines = (
+        spark.readStream.option("lineSep", f"</{page_tag}>")
+        .option("maxFilesPerTrigger", files_per_trigger)
+        .text(path)
+    )
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, idx = None, 0
+        for batch in batches:
+            numbers = []
+            for here in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                place, idx = (here, 0) if here != place else (place, idx + 1)
+                numbers.append(idx)
+            columns = [*batch.columns, pa.array(numbers, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["file", "block", "value", "idx"])
+
+    # Values may be no UTF-8: they pass as bytes.
+    chunks = _chunks(lines, page_tag).withColumn("value", F.col("value").cast("binary"))
+    numbered = chunks.mapInArrow(number, "file string, block bigint, value binary, idx bigint")
+    return _pages(numbered.withColumn("value", F.col("value").cast("string")), page_tag, F.col("idx"))
+
+
 def drop_admin_pages(pages: DataFrame, page_tag: str = PAGE_TAG) -> DataFrame:
     """Drop pages with a colon in the raw title before their XML is parsed.
 
@@ -194,3 +235,10 @@ def read_articles(
     """Articles of a dump, ready for analysis. Empty text is kept."""
     pages = read_pages(spark, path, strict, False, page_tag, skip_broken_files)
     return to_articles(parse_pages(pages, page_tag), strict, keep_rejects)
+
+
+def articles_of_pages(
+    pages: DataFrame, strict: bool = False, page_tag: str = PAGE_TAG, keep_rejects: bool = False
+) -> DataFrame:
+    """The same of pages that were read otherwise (:mod:`lexdrift.sources.survey`)."""
+    return to_articles(parse_pages(drop_admin_pages(pages, page_tag), page_tag), strict, keep_rejects)

@@ -126,12 +126,14 @@ def test_stream_takes_only_new_shards(spark, tmp_path):
     assert spark.read.parquet(sink).count() == 41
 
 
-def test_stream_refuses_tables(spark, tmp_path):
+def test_stream_refuses_large_tables(spark, tmp_path, monkeypatch):
     from lexdrift import LexiconAnalyzer
 
+    monkeypatch.setattr("lexdrift.operators.row_lexicon.TABLE_BYTES", 1)
+
     write_parquet(tmp_path / "a.parquet", [(1, "x")])
     lexicon = spark.createDataFrame([("v", "x", "n", 1)], "version string, surface string, pos string, cost bigint")
-    with pytest.raises(ValueError, match="cannot run in a stream"):
+    with pytest.raises(ValueError, match="too large to be looked up in a stream"):
         start_compare(
             read_shards(spark, str(tmp_path)), "s", "c", BASIC_1, LexiconAnalyzer("l", "x", lexicon, "v")
         )
