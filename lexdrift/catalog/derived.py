@@ -7,6 +7,7 @@ columns, by language, for every row.
 
 from __future__ import annotations
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +15,12 @@ from lexdrift.functions.render import html_escape
 from lexdrift.functions.text import derive_title
 from lexdrift.plans.workspace import new_folder
 from lexdrift.sources import columnar, dump
+from lexdrift.sources.ranges import Source
 from lexdrift.sources.spread import spread
 
+FORM_TEXT = "</page>\n<page> <!-- x"
+BROKEN_BYTES = 40
+
 
 def corpus_path(sf_dir: str) -> str:
     return f"{sf_dir}/documents.parquet"
@@ -115,6 +120,62 @@ def write_compressed_dump(spark: SparkSession, sf_dir: str) -> list[str]:
     return paths
 
 
+def write_packed_dump(spark: SparkSession, sf_dir: str, codec: str, rows: DataFrame | None = None) -> str:
+    """All pages, in order, in one compressed file."""
+    path = new_folder(spark, f"dump-{codec}")
+    rows = corpus(spark, sf_dir) if rows is None else rows
+    one = rows.withColumn("value", page_xml()).select("seq", "value").coalesce(1).sortWithinPartitions("seq")
+    one.select("value").write.text(path, compression=codec)
+    return path
+
+
+def write_page_forms(spark: SparkSession, sf_dir: str) -> str:
+    """The page dump with comments that hold several pages (Spanish) and with end tags in CDATA (French)."""
+    path = new_folder(spark, "forms")
+    hidden = F.concat(F.lit("<!-- "), page_xml(), F.lit("\n"), page_xml(), F.lit(" ]]> <![CDATA[ -->"))
+    end = F.lit("<![CDATA[" + FORM_TEXT + "]]></text>")
+    forms = by_lang(
+        page_xml(),
+        es=F.concat(hidden, page_xml(), hidden),
+        fr=F.replace(page_xml(), F.lit("</text>"), end),
+    )
+    corpus(spark, sf_dir).select(forms.alias("value")).write.text(path)
+    return path
+
+
+def write_breaking_dump(spark: SparkSession, sf_dir: str) -> str:
+    """A plain file with the English pages, a gzip file of the French and a bzip2 file of the German ones that break
+    off inside their first page, and a whole gzip file of the Spanish ones."""
+    path = new_folder(spark, "breaking")
+    rows = corpus(spark, sf_dir)
+    lang = F.coalesce("lang", F.lit(""))
+    rows.filter(~lang.isin("fr", "de", "es")).select(page_xml().alias("value")).write.text(path)
+    for name, codec in (("fr", "gzip"), ("de", "bzip2"), ("es", "gzip")):
+        chosen = rows.filter(lang == name)
+        if chosen.isEmpty():
+            continue
+        if name == "es":
+            chosen.select(page_xml().alias("value")).coalesce(1).write.mode("append").text(path, compression=codec)
+            continue
+        whole = write_packed_dump(spark, sf_dir, codec, chosen)
+        (file,) = [r["path"] for r in spark.read.format("binaryFile").load(whole).select("path").collect()]
+        # The start of a compressed stream with nothing of its first block, or too little for a page.
+        write_bytes(f"{path}/cut-{name}.{file.rsplit('.', 1)[-1]}", read_bytes(file, BROKEN_BYTES))
+    return path
+
+
+def read_bytes(uri: str, n: int) -> bytes:
+    with Source(uri) as read:
+        return read(0, n)
+
+
+def write_bytes(uri: str, data: bytes) -> None:
+    """A small file in the shared folder."""
+    store, path = fs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else uri.replace("file:", "file://", 1))
+    with store.open_output_stream(path, compression=None) as out:
+        out.write(data)
+
+
 def write_cut_dump(spark: SparkSession, sf_dir: str) -> str:
     """The page dump and one more file that breaks off inside the latest page."""
     path = write_dump(spark, sf_dir)
@@ -174,3 +235,40 @@ def lexicon(spark: SparkSession, sf_dir: str, pattern: str) -> DataFrame:
         F.lit("new").alias("version"), "surface", new_pos.alias("pos"), cost.alias("cost")
     )
     return old.unionByName(new)
+
+
+def lattice_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(surface, pos, cost, left_id, right_id)``: the benchmark's words, and their heads and tails, with
+    costs by length. A surface may have several entries."""
+    words = (
+        spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+        .select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
+        .distinct()
+    )
+    parts = [
+        # surface, part of speech, fixed cost, cost of a letter, contexts
+        (F.col("w"), "word", 300, 30, 1, 1),
+        (F.left("w", F.lit(3)), "head", 180, 20, 1, 2),
+        (F.substring("w", 4, 1000), "tail", 90, 35, 2, 3),
+        (F.right("w", F.lit(2)), "end", 120, 10, 3, 1),
+    ]
+    rows = [
+        words.select(
+            surface.alias("surface"),
+            F.lit(pos).alias("pos"),
+            (F.length(surface) * letter + fixed).cast("bigint").alias("cost"),
+            F.lit(left).cast("bigint").alias("left_id"),
+            F.lit(right).cast("bigint").alias("right_id"),
+        )
+        for surface, pos, fixed, letter, left, right in parts
+    ]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out.filter("surface <> ''").distinct()
+
+
+def lattice_connections(spark: SparkSession) -> DataFrame:
+    """``(right_id, left_id, cost)`` of contexts 0 (edge) to 3."""
+    ids = spark.range(16).select(F.expr("id div 4").alias("right_id"), F.expr("id % 4").alias("left_id"))
+    return ids.withColumn("cost", (F.col("right_id") * 7 + F.col("left_id") * 5) % 4 * 60)

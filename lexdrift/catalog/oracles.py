@@ -6,7 +6,8 @@ Marks, patterns and report texts in the statements are fixed values: they must e
 
 from __future__ import annotations
 
-from lexdrift.catalog.queries import LIMIT, PREVIEW, WORD_LIMIT
+from lexdrift.catalog.derived import BROKEN_BYTES, FORM_TEXT
+from lexdrift.catalog.queries import LATTICE_LETTER, LATTICE_UNKNOWN, LIMIT, PREVIEW, WORD_LIMIT
 
 WORDS_1 = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 WORDS_2 = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]"
@@ -77,17 +78,22 @@ ANNOTATION = (
     f"CASE WHEN {ANNOTATED} THEN split_part(substr(t, strpos(t, ' (') + 2), ')', 1) END"
 )
 
-PAGES = f"""
+def _pages_of(text: str) -> str:
+    return f"""
 pages_in AS (
   SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, lang, source,
          trim({PAGE_TITLE}, {BLANKS}) AS t,
-         {_normalized(PAGE_TEXT)} AS text
+         {_normalized(text)} AS text
   FROM documents
 ), page_rows AS (
-  SELECT id, doc_id, {BARE_TITLE} AS title, {ANNOTATION} AS title_annotation, text
+  SELECT id, doc_id, lang, {BARE_TITLE} AS title, {ANNOTATION} AS title_annotation, text
   FROM pages_in WHERE NOT contains(t, ':')
 )"""
 
+
+PAGES = _pages_of(PAGE_TEXT)
+FORMED_TEXT = f"CASE WHEN lang = 'fr' THEN ({PAGE_TEXT}) || '{FORM_TEXT}' ELSE {PAGE_TEXT} END"
+
 ARTICLES = f"""
 article_rows AS (
   SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, lang, {_title('text')} AS title, text
@@ -230,6 +236,76 @@ def _lexicon_query(difference: bool) -> str:
     return f"WITH {ARTICLES}, {LEXICON} SELECT a.id, {columns}{extra} FROM article_rows a {joins}"
 
 
+# One step of the recursion for each place of the runs: of the paths that end there the best of each right
+# context go on with the words that begin there.
+LATTICE = rf"""
+WITH RECURSIVE words AS (
+  SELECT DISTINCT unnest(regexp_extract_all(text, '\p{{L}}+')) AS w FROM benchmark
+), parts AS (
+  SELECT w AS surface, 'word' AS pos, 300 + 30 * length(w) AS cost, 1 AS l, 1 AS r FROM words
+  UNION SELECT left(w, 3), 'head', 180 + 20 * length(left(w, 3)), 1, 2 FROM words
+  UNION SELECT substr(w, 4), 'tail', 90 + 35 * length(substr(w, 4)), 2, 3 FROM words
+  UNION SELECT right(w, 2), 'end', 120 + 10 * length(right(w, 2)), 3, 1 FROM words
+), lex AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY encode(surface), cost, l, r, pos) - 1 AS entry FROM parts WHERE surface <> ''
+), links AS MATERIALIZED (
+  SELECT r, l, (r * 7 + l * 5) % 4 * 60 AS cost FROM range(4) a(r), range(4) b(l)
+), placed AS MATERIALIZED (
+  SELECT doc_id, unnest(runs) AS run, generate_subscripts(runs, 1) AS k
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^ \n]+') AS runs FROM documents WHERE text <> '')
+), runs AS MATERIALIZED (SELECT DISTINCT run, length(run) AS n FROM placed),
+starts AS (SELECT run, n, unnest(range(n)) AS s FROM runs),
+known AS MATERIALIZED (
+  SELECT run, n, s, s + length(surface) AS e, entry, cost, l, r, surface, pos
+  FROM (SELECT run, n, s, unnest(range(1, least(n - s, (SELECT max(length(surface)) FROM lex)) + 1)) AS size FROM starts)
+  JOIN lex ON surface = substr(run, (s + 1)::INTEGER, size::INTEGER)
+), nodes AS MATERIALIZED (
+  SELECT * FROM known
+  UNION ALL
+  SELECT run, n, s, s + length(rest), -1, {LATTICE_UNKNOWN} + {LATTICE_LETTER} * length(rest), 3, 3, rest, 'unknown' FROM (
+    SELECT run, n, s, regexp_extract(substr(run, (s + 1)::INTEGER), '^(\p{{L}}+|\p{{N}}+|.)') AS rest
+    FROM starts ANTI JOIN known USING (run, s))
+), paths AS (
+  SELECT run, n, 0 AS step, 0::BIGINT AS e, 0::BIGINT AS cost, 0::BIGINT AS words, 0::BIGINT AS s, -1::BIGINT AS entry,
+         0::BIGINT AS r, '' AS terms, '' AS pos FROM runs
+  UNION ALL
+  (WITH here AS (SELECT DISTINCT ON (run, r) * FROM paths WHERE e = step ORDER BY cost, words, s, entry)
+   SELECT run, n, step + 1, e, cost, words, s, entry, r, terms, pos FROM paths WHERE e > step AND e < n
+   UNION ALL
+   SELECT * FROM (
+     SELECT DISTINCT ON (a.run, w.s, w.e, w.entry) a.run, a.n, a.step + 1, w.e::BIGINT, (a.cost + k.cost + w.cost)::BIGINT,
+            a.words + 1, w.s::BIGINT, w.entry::BIGINT, w.r::BIGINT,
+            a.terms || CASE WHEN a.words > 0 THEN ' ' ELSE '' END || w.surface,
+            a.pos || CASE WHEN a.words > 0 THEN ' ' ELSE '' END || w.pos
+     FROM here a JOIN nodes w ON w.run = a.run AND w.s = a.step JOIN links k ON k.r = a.r AND k.l = w.l
+     ORDER BY a.cost + k.cost, a.words, a.s, a.entry))
+), cheapest AS MATERIALIZED (
+  SELECT DISTINCT ON (run) run, p.cost + k.cost AS cost, words, terms, pos
+  FROM paths p JOIN links k ON k.r = p.r AND k.l = 0 WHERE e = n
+  ORDER BY p.cost + k.cost, words, s, entry)
+SELECT CAST(doc_id AS VARCHAR) AS id, NULL::VARCHAR AS error, coalesce(sum(cost), 0)::BIGINT AS text_cost,
+       coalesce(sum(words), 0)::BIGINT AS text_n, md5(coalesce(string_agg(terms, ' ' ORDER BY k), '')) AS text_terms,
+       md5(coalesce(string_agg(pos, ' ' ORDER BY k), '')) AS text_pos
+FROM (SELECT doc_id FROM documents WHERE text <> '') LEFT JOIN placed USING (doc_id) LEFT JOIN cheapest USING (run)
+GROUP BY doc_id
+"""
+
+LONG_WORD = "len(list_filter({0}, lambda t: length(t) > 10)) > 0"
+NUMBER = r"len(list_filter({0}, lambda t: regexp_matches(t, '^\p{{N}}'))) > 0"
+FAILED_PATTERN = f"""
+WITH {ARTICLES}, cut AS (
+  SELECT id, title, text, {_tokens('title', WORDS_2)} AS a, {_tokens('text', WORDS_2)} AS b FROM article_rows
+), told AS (
+  SELECT *, CASE WHEN {LONG_WORD.format('a')} OR {LONG_WORD.format('b')} THEN 'cost'
+                 WHEN {NUMBER.format('a')} OR {NUMBER.format('b')} THEN 'pos' END AS reason FROM cut)
+SELECT id, reason IS NOT NULL AS failed, reason,
+       CASE WHEN reason IS NULL AND coalesce(title, '') = '' AND coalesce(text, '') = '' THEN 1 ELSE 0 END AS skipped,
+       reason IS NULL AND (len(a) > 0 OR len(b) > 0) AS has_difference,
+       CASE WHEN reason IS NULL THEN coalesce(list_sum(list_transform(b, lambda t: length(t))), 0) ELSE -1 END::BIGINT AS text_cost
+FROM told
+"""
+
+
 FACET_LINES = (
     ("cost", "cost", "CAST({0}_cost AS VARCHAR)"),
     ("term", "termList", "'[' || coalesce(array_to_string({0}_terms_l, ', '), '') || ']'"),
@@ -440,6 +516,18 @@ ALL_TRIMMED = "chr(0) || chr(1) || chr(31) || " + BLANKS
 ORACLES = {
     "xml_scan": f"WITH {PAGES} {DUMP_COLUMNS}",
     "xml_scan_compressed": f"WITH {PAGES} {DUMP_COLUMNS}",
+    "gzip_ranges": f"WITH {PAGES} {DUMP_COLUMNS}",
+    "xml_page_forms": f"""
+        WITH {_pages_of(FORMED_TEXT)} {DUMP_COLUMNS}""",
+    "limit_in_file": f"""
+        WITH {PAGES}, first_rows AS (SELECT * FROM page_rows ORDER BY doc_id LIMIT {LIMIT}), {_compared('first_rows')}
+        SELECT id, title, {OUTCOME} FROM compared""",
+    "broken_files": f"""
+        WITH {PAGES}, files AS (SELECT count(DISTINCT lang) AS n FROM documents WHERE lang IN ('fr', 'de'))
+        SELECT (count(*) FILTER (lang IS NULL OR lang NOT IN ('fr', 'de')))::BIGINT AS total_processed,
+          0::BIGINT AS failed_count, 0::BIGINT AS rejected_count, (SELECT n FROM files) AS broken_files,
+          (SELECT n FROM files) * {BROKEN_BYTES} AS bytes_there, (SELECT n FROM files) AS cut
+        FROM page_rows""",
     "xml_corrupt_filter": f"""
         SELECT {ID}, true AS intact, length({PAGE_TEXT})::BIGINT AS n FROM documents
         UNION ALL SELECT 'rejected', false, -1""",
@@ -507,6 +595,9 @@ ORACLES = {
     "dual_analyze": f"{WITH_COMPARED} SELECT id, {RECORD} FROM analyzed",
     "lexicon_tokenize": _lexicon_query(difference=True),
     "lexicon_shuffled": _lexicon_query(difference=False),
+    "lattice_tokenize": LATTICE,
+    "stream_lexicon": _lexicon_query(difference=True),
+    "failed_pattern": FAILED_PATTERN,
     "skip_count": f"""
         WITH blanked AS (
           SELECT {_by_lang(_title('text'), de="''", es='NULL')} AS title,
@@ -584,4 +675,19 @@ ORACLES = {
         WITH {PAGES}, {_compared('page_rows')} SELECT id, title, {OUTCOME} FROM compared""",
     "parquet_compare": f"{WITH_COMPARED} SELECT id, title, {OUTCOME} FROM compared",
     "stream_compare": f"{WITH_COMPARED} SELECT id, title, {OUTCOME} FROM compared",
+    "stream_dump_compare": f"""
+        WITH {PAGES}, {_compared('page_rows')} SELECT id, title, {OUTCOME} FROM compared""",
+    # The English shard arrives twice, the second time between two rounds.
+    "stream_summary": f"""
+        {WITH_COMPARED}, twice AS (SELECT * FROM compared UNION ALL SELECT * FROM compared WHERE lang = 'en')
+        SELECT count(*) AS total_processed, count(*) FILTER (has_difference) AS difference_count,
+          coalesce(sum(skipped), 0)::BIGINT AS skipped_count, 0::BIGINT AS failed_count
+        FROM twice""",
+    "job_reports": f"""
+        {WITH_COMPARED}
+        SELECT count(*) FILTER (has_difference) AS text_titles,
+          coalesce(sum(title_cost::INT + title_term::INT + title_pos::INT + text_cost::INT + text_term::INT + text_pos::INT), 0)::BIGINT
+            AS text_facets,
+          1::BIGINT AS text_summaries, (2 * count(*) FILTER (has_difference))::BIGINT AS html_rows
+        FROM compared""",
 }

@@ -30,6 +30,7 @@ from lexdrift.operators import (
     BASIC_1,
     BASIC_2,
     LexiconAnalyzer,
+    PatternAnalyzer,
     PythonAnalyzer,
     RunInfo,
     compare,
@@ -40,7 +41,8 @@ from lexdrift.operators import (
     with_ordinal,
 )
 from lexdrift.operators.analyzers import SLOTS, fold_tokens, tokenize
-from lexdrift.operators.compare import VERSIONS, facet_differences
+from lexdrift.operators.compare import NO_COST, NO_POS, VERSIONS, facet_differences
+from lexdrift.operators.lattice import UnknownWords, lattice_analyzer
 from lexdrift.operators.lexicon import attach_lexicon_results
 from lexdrift.plans import (
     body_lines,
@@ -53,11 +55,14 @@ from lexdrift.plans import (
 from lexdrift.plans.jobs import lean
 from lexdrift.plans.workspace import new_folder, stored
 from lexdrift.sources import audit_parquet, columnar, dump, read_split
-from lexdrift.streaming import read_shards, start_compare
+from lexdrift.sources.survey import broken_files, load_survey, read_surveyed, survey_pages
+from lexdrift.streaming import read_counters, read_dump_shards, read_shards, start_compare, start_counters
 
 LIMIT = 137
 PREVIEW = 10
+SMALL_SPAN = 1 << 18
 WORD_LIMIT = 400
+LATTICE_UNKNOWN, LATTICE_LETTER = 900, 150
 RUN_START = datetime(2024, 5, 6, 7, 8, 9)
 RUN_END = datetime(2024, 5, 6, 8, 10, 12, 345_000)
 
@@ -154,6 +159,39 @@ def xml_scan_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _page_columns(dump.read_articles(spark, paths))
 
 
+def xml_page_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments and CDATA that hold page tags, read by ranges that may begin inside them."""
+    found = survey_pages(spark, derived.write_page_forms(spark, sf_dir), span=SMALL_SPAN)
+    return _page_columns(dump.articles_of_pages(read_surveyed(found)))
+
+
+def gzip_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One gzip file, read by ranges from the restart points of a stored survey."""
+    folder = new_folder(spark, "survey")
+    survey_pages(spark, derived.write_packed_dump(spark, sf_dir, "gzip"), span=SMALL_SPAN, folder=folder)
+    return _page_columns(dump.articles_of_pages(read_surveyed(load_survey(spark, folder))))
+
+
+def limit_in_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job with a limit over one bzip2 file of all pages: it stops inside the file."""
+    source, target = derived.write_packed_dump(spark, sf_dir, "bzip2"), new_folder(spark, "run")
+    run = compare_dump(spark, source, target, BASIC_1, BASIC_2, max_records=LIMIT, report_format="text")
+    return run.compared.select("id", "title", *outcome_columns())
+
+
+def broken_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job over files of which two break off: what is told of them, and what was read of the others."""
+    source, target = derived.write_breaking_dump(spark, sf_dir), new_folder(spark, "run")
+    found = survey_pages(spark, source, span=SMALL_SPAN)
+    run = compare_dump(
+        spark, source, target, BASIC_1, BASIC_2, report_format="text", skip_broken_files=True, survey=found
+    )
+    told = broken_files(found).agg(
+        F.sum("bytes_there").alias("bytes_there"), F.count_if(F.contains("reason", F.lit("ends inside"))).alias("cut")
+    )
+    return run.summary.select("total_processed", "failed_count", "rejected_count", "broken_files").join(F.broadcast(told))
+
+
 def xml_corrupt_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = dump.parse_pages(dump.read_pages(spark, derived.write_cut_dump(spark, sf_dir)))
     intact = F.col("_corrupt_record").isNull()
@@ -334,6 +372,45 @@ def lexicon_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", *record_columns())
 
 
+def lattice_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts segmented along the cheapest paths of a dictionary with connection costs."""
+    words = stored(derived.lattice_dictionary(spark, sf_dir), "lattice")
+    unknown = UnknownWords(cost=LATTICE_UNKNOWN, letter_cost=LATTICE_LETTER, left_id=3, right_id=3)
+    analyzer = lattice_analyzer("lattice", words, derived.lattice_connections(spark), unknown)
+    rows = compare(derived.articles(spark, sf_dir), BASIC_1, analyzer)
+    return rows.select("id", "error", *result_columns("new.text", "text"))
+
+
+def stream_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexicon comparison over arriving shards."""
+    (_, old), (_, new) = _lexicon_pair(spark, sf_dir)
+    shards = derived.write_shards(spark, sf_dir)
+    sink, checkpoint = new_folder(spark, "sink"), new_folder(spark, "stream")
+    stream = read_shards(spark, shards, files_per_trigger=32)
+    start_compare(stream, sink, checkpoint, old, new, keep_results="all").awaitTermination()
+    return spark.read.parquet(sink).select("id", *record_columns(), "has_difference")
+
+
+def failed_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that give no cost for long words and no part of speech for numbers."""
+    size, token_pos = 10, BASIC_1.pos
+    picky = PatternAnalyzer(
+        "picky",
+        BASIC_2.pattern,
+        lambda t: F.when(~t.rlike(r"^\p{N}"), token_pos(t)),
+        lambda t: F.when(F.length(t) <= size, F.length(t)),
+    )
+    rows = compare(derived.articles(spark, sf_dir), picky, BASIC_2, all_results=False)
+    return rows.select(
+        "id",
+        F.col("error").isNotNull().alias("failed"),
+        F.when(F.endswith("error", F.lit(NO_COST)), "cost").when(F.endswith("error", F.lit(NO_POS)), "pos").alias("reason"),
+        "skipped",
+        "has_difference",
+        F.coalesce(F.col("old.text.total_cost"), F.lit(-1)).alias("text_cost"),
+    )
+
+
 def skip_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = derived.corpus(spark, sf_dir).withColumn("title", derive_title(F.col("text")))
     blank = F.lit(None).cast("string")
@@ -396,7 +473,7 @@ def diff_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_summary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_summary(compared(spark, sf_dir), run_info()).drop(
-        "run_id", "old_components", "new_components", "rejected_count"
+        "run_id", "old_components", "new_components", "rejected_count", "broken_files"
     )
 
 
@@ -502,10 +579,59 @@ def stream_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(sink).select("id", "title", *outcome_columns())
 
 
+def _dump_shards(spark: SparkSession, sf_dir: str) -> str:
+    """The page dump as files of three kinds in one folder."""
+    root = new_folder(spark, "dump-shards")
+    rows = derived.corpus(spark, sf_dir)
+    lang = F.coalesce("lang", F.lit(""))
+    for chosen, codec in ((lang == "en", "none"), (lang == "fr", "gzip"), (~lang.isin("en", "fr"), "bzip2")):
+        rows.filter(chosen).select(derived.page_xml().alias("value")).write.mode("append").text(root, compression=codec)
+    return root
+
+
+def stream_dump_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dump files compared as they arrive."""
+    sink, checkpoint = new_folder(spark, "sink"), new_folder(spark, "stream")
+    stream = read_dump_shards(spark, _dump_shards(spark, sf_dir), files_per_trigger=16)
+    start_compare(stream, sink, checkpoint, BASIC_1, BASIC_2).awaitTermination()
+    return spark.read.parquet(sink).select("id", "title", *outcome_columns())
+
+
+def stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters that a second stream keeps, brought up to date after each of two parts of the shards."""
+    sink, checkpoint, counters = (new_folder(spark, n) for n in ("sink", "stream", "counters"))
+    shards = derived.write_shards(spark, sf_dir)
+    for _ in range(2):
+        stream = read_shards(spark, shards, files_per_trigger=32)
+        start_compare(stream, sink, checkpoint, BASIC_1, BASIC_2).awaitTermination()
+        start_counters(spark, sink, counters).awaitTermination()
+        derived.corpus(spark, sf_dir).filter("lang = 'en'").select("id", "text", "lang").write.mode("append").parquet(shards)
+    return read_counters(spark, counters).drop("rejected_count")
+
+
+def job_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reports of a job as they lie in its output: lines of each kind."""
+    target = new_folder(spark, "run")
+    run = compare_parquet(spark, derived.corpus_path(sf_dir), target, BASIC_1, BASIC_2, report_format="both")
+    text, html = (spark.read.text(p) for p in (run.text_report_path, run.html_report_path))
+    value = F.col("value")
+    return text.agg(
+        F.count_if(F.startswith(value, F.lit("Title: "))).alias("text_titles"),
+        F.count_if(F.contains(value, F.lit("is different!!"))).alias("text_facets"),
+        F.count_if(F.startswith(value, F.lit("falseCounter: "))).alias("text_summaries"),
+    ).join(
+        html.agg(F.sum(F.regexp_count(value, F.lit('<tr id="'))).alias("html_rows").cast("bigint").alias("html_rows"))
+    )
+
+
 QUERIES = {
     "xml_scan": xml_scan,
     "xml_scan_compressed": xml_scan_compressed,
     "xml_corrupt_filter": xml_corrupt_filter,
+    "xml_page_forms": xml_page_forms,
+    "gzip_ranges": gzip_ranges,
+    "limit_in_file": limit_in_file,
+    "broken_files": broken_files_query,
     "parquet_scan": parquet_scan,
     "empty_text_filter": empty_text_filter,
     "split_scan": split_scan,
@@ -528,8 +654,11 @@ QUERIES = {
     "dual_analyze": dual_analyze,
     "lexicon_tokenize": lexicon_tokenize,
     "lexicon_shuffled": lexicon_shuffled,
+    "lattice_tokenize": lattice_tokenize,
+    "stream_lexicon": stream_lexicon,
     "skip_count": skip_count,
     "failed_split": failed_split,
+    "failed_pattern": failed_pattern,
     "facet_diffs": facet_diffs,
     "diff_records": diff_records,
     "diff_types": diff_types,
@@ -546,4 +675,7 @@ QUERIES = {
     "dump_compare": dump_compare,
     "parquet_compare": parquet_compare,
     "stream_compare": stream_compare,
+    "stream_dump_compare": stream_dump_compare,
+    "stream_summary": stream_summary,
+    "job_reports": job_reports,
 }
