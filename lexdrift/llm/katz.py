@@ -6,7 +6,8 @@ words and bigrams once, with its count in the training part, to the partition of
 blocks that asked. So no task holds more than its block or its partition of a
 table, a frequent n-gram is one number per block, and the tables grow with the corpus. Each bigram type has
 one owner among its blocks, which adds the type to the sums of its history; the sums
-meet by history in the same way and give the backoff weights.
+meet by history in the same way and give the backoff weights. A history that no other block has
+needs no such meeting: its block has all its bigrams and knows the weight.
 
     P(w | h) = d(c) c(h, w) / c(h)     if the bigram was seen c > 0 times in training
              = alpha(h) P(w)           otherwise
@@ -14,8 +15,8 @@ meet by history in the same way and give the backoff weights.
 
 d is Katz's Good-Turing discount for c <= K (where the counts of counts don't allow one, and above
 K, half a count is taken away, so that every history keeps some mass); alpha(h) makes each
-history's probabilities sum to one, the unknown word included. A history seen fewer than
-``LEAST_HISTORY`` times keeps no bigrams: P(w | h) = P(w), which sums to one as well.
+history's probabilities sum to one, the unknown word included. A history that was not seen has
+P(w | h) = P(w).
 
 Defined cases: a null text is empty; an empty text is one end token; null ids are held out;
 repeated rows count as often as they come; without any training document every word is unknown
@@ -38,16 +39,16 @@ from pyspark.sql import functions as F
 from lexdrift.llm.arrow import texts_of
 from lexdrift.plans.workspace import stored
 
-BLOCK = 800_000
+#: Tokens of a block, and bytes of its texts.
+BLOCK, BLOCK_BYTES = 800_000, 16 << 20
 K = 5
-LEAST_HISTORY = 5
 #: Partitions of a table: at least so many, and about so many n-grams in each.
 LEAST_PARTS, PART = 64, 2_000_000
 END, START = np.uint64(0x1F3D5B79A2C4E688), np.uint64(0xE5D4C3B2A1908F7E)
 WORDS, BIGRAMS = 0, 1
 BODIES = "block bigint, ids binary, held binary, sizes binary, body binary"
 ASKED = "kind int, part int, block bigint, keys binary, counts binary"
-TOLD = "kind int, part int, block bigint, totals binary, owned binary, stats array<bigint>"
+TOLD = "kind int, part int, block bigint, totals binary, flags binary, stats array<bigint>"
 SCORED = "part int, block bigint, ids binary, numbers binary, asked binary, places binary, keys binary, sums binary"
 
 
@@ -58,7 +59,7 @@ def held_out(doc_id: Column) -> Column:
 
 def _bodies(batches: Iterator[pa.RecordBatch], number: int) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=6).compress
-    ids, held, texts, size = [], [], [], 0
+    ids, held, texts, size, held_bytes = [], [], [], 0, 0
 
     def row(number: int) -> pa.RecordBatch:
         empty = np.array([i is None for i in ids])
@@ -79,11 +80,11 @@ def _bodies(batches: Iterator[pa.RecordBatch], number: int) -> Iterator[pa.Recor
             ids.append(doc)
             held.append(flag)
             texts.append(text.lower())
-            # About as many tokens as blanks, one more for each document.
-            size += text.count(b" ") + text.count(b"\n") + 1
-            if size >= BLOCK:
+            size += len(text.split()) + 1
+            held_bytes += len(text)
+            if size >= BLOCK or held_bytes >= BLOCK_BYTES:
                 yield row(number)
-                number, ids, held, texts, size = number + 1, [], [], [], 0
+                number, ids, held, texts, size, held_bytes = number + 1, [], [], [], 0, 0
     if ids:
         yield row(number)
 
@@ -177,7 +178,8 @@ def _asked(tables: DataFrame, bits: int) -> DataFrame:
 
 
 def _told(asked: DataFrame) -> DataFrame:
-    """Totals of each part, for each block that asked; one row has the part's counts of counts."""
+    """Totals of each part, for each block that asked, with a flag for each: of a word, that no other block has
+    it; of a bigram, that the block owns it. One row has the part's counts of counts."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["block"])
@@ -186,23 +188,26 @@ def _told(asked: DataFrame) -> DataFrame:
         known, place = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.zeros(len(known), np.int64)
         np.add.at(totals, place, counts)
-        # A type's owner is the first block with a training count.
-        seen = np.flatnonzero(counts > 0)
-        owned = np.zeros(len(counts), bool)
-        owned[seen[np.unique(place[seen], return_index=True)[1]]] = True
+        if rows[0]["kind"] == WORDS:
+            flagged = (np.bincount(place) == 1)[place]
+        else:
+            # A type's owner is the first block with a training count.
+            seen = np.flatnonzero(counts > 0)
+            flagged = np.zeros(len(counts), bool)
+            flagged[seen[np.unique(place[seen], return_index=True)[1]]] = True
         few = np.bincount(np.minimum(totals, K + 2), minlength=K + 3)
         stats = [int((totals > 0).sum()), int(totals.sum()), *few[1 : K + 2].tolist()]
         out, low = [], 0
         for n, row in enumerate(rows):
             high = low + len(keys[n])
             told = totals[place[low:high]].astype(np.uint64)
-            flags = np.packbits(owned[low:high])
+            flags = np.packbits(flagged[low:high])
             out.append((row["kind"], row["part"], row["block"], _planes(told), flags.tobytes(), None if n else stats))
             low = high
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-    names = ["kind", "part", "block", "totals", "owned", "stats"]
+    names = ["kind", "part", "block", "totals", "flags", "stats"]
     return asked.groupBy("kind", "part").applyInArrow(run, TOLD)
 
 
@@ -240,28 +245,44 @@ class Model:
 def _answers(rows: list[dict], kind: int) -> tuple[np.ndarray, np.ndarray]:
     own = sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["part"])
     totals = [_values(r["totals"], np.uint64).astype(np.int64) for r in own]
-    owned = [np.unpackbits(np.frombuffer(r["owned"], np.uint8), count=len(t)).astype(bool) for r, t in zip(own, totals)]
-    return np.concatenate(totals), np.concatenate(owned)
+    flags = [np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=len(t)).astype(bool) for r, t in zip(own, totals)]
+    return np.concatenate(totals), np.concatenate(flags)
+
+
+def _weight(mass: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """log10 of backoff weights from the sums of P(w | h) and P(w) over the words seen after each history.
+    Rounding may not make a mass that is left vanish."""
+    return np.log10(np.maximum(1 - mass, 1e-12)) - np.log10(np.maximum(1 - lower, 1e-12))
 
 
 def _block_scores(row: dict, told: list[dict], model: Model, bits: int) -> list[tuple]:
     """A block's sums per document but for the backoff weights; what it asks and adds by history."""
     tokens = _Tokens.of(row)
-    word_total, _ = _answers(told, WORDS)
+    word_total, only = _answers(told, WORDS)
     bigram_total, owned = _answers(told, BIGRAMS)
     n = len(tokens.ids)
     first = np.concatenate([[True], np.diff(tokens.doc) > 0])
     before = np.concatenate([[0], tokens.word[:-1]])
     history_key = np.where(first, START, tokens.words[before])
     history_total = np.where(first, model.documents, word_total[before])
+    history_only = ~first & only[before]
     total, joint = word_total[tokens.word], bigram_total[tokens.bigram]
     single = np.log10(model.single(total))
-    kept = history_total >= LEAST_HISTORY
-    seen = kept & (joint > 0)
+    seen = joint > 0
     value = np.where(
         seen, np.log10(np.maximum(model.lowered(joint), 1e-300)) - np.log10(np.maximum(history_total, 1)), single
     )
-    backed = kept & ~seen
+    backed = ~seen & (history_total > 0)
+    # One token of each bigram type that this block owns, and what it adds to its history's sums.
+    one = np.full(len(tokens.bigrams), -1)
+    one[tokens.bigram[::-1]] = np.arange(len(tokens.bigram))[::-1]
+    one = one[owned]
+    lower, mass = model.single(total[one]), model.lowered(joint[one]) / history_total[one]
+    own = history_only[one]
+    lowers, masses = (np.bincount(before[one[own]], part[own], minlength=len(tokens.words)) for part in (lower, mass))
+    known = backed & history_only
+    value = value + np.where(known, _weight(masses, lowers)[before], 0.0)
+    backed &= ~history_only
     numbers = np.stack(
         [
             np.bincount(tokens.doc, minlength=n).astype(np.float64),
@@ -272,18 +293,8 @@ def _block_scores(row: dict, told: list[dict], model: Model, bits: int) -> list[
         ]
     )
     wanted, place = np.unique(history_key[backed], return_inverse=True)
-    # One token of each bigram type that this block owns.
-    one = np.full(len(tokens.bigrams), -1)
-    one[tokens.bigram[::-1]] = np.arange(len(tokens.bigram))[::-1]
-    one = one[owned]
-    one = one[kept[one]]
-    given, spot = np.unique(history_key[one], return_inverse=True)
-    sums = np.stack(
-        [
-            np.bincount(spot, model.single(total[one]), minlength=len(given)),
-            np.bincount(spot, model.lowered(joint[one]) / history_total[one], minlength=len(given)),
-        ]
-    )
+    given, spot = np.unique(history_key[one[~own]], return_inverse=True)
+    sums = np.stack([np.bincount(spot, part[~own], minlength=len(given)) for part in (lower, mass)])
     places = np.stack([tokens.doc[backed], place]).astype(np.uint32)
     out = [(-1, row["block"], tokens.ids.tobytes(), numbers.tobytes(), None, places.tobytes(), None, None)]
     ask, give = _bounds(wanted, bits), _bounds(given, bits)
@@ -311,13 +322,12 @@ def _weights(scored: DataFrame) -> DataFrame:
     """(block, part, weights): log10 of the backoff weights that a block asked for, in its order."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+        rows = sorted(table.to_pylist(), key=lambda r: r["block"])  # sums in one order, whichever row came first
         keys = np.concatenate([_values(r["keys"], np.uint64) for r in rows])
         sums = np.concatenate([np.frombuffer(r["sums"]).reshape(2, -1) for r in rows], axis=1)
         known, place = np.unique(keys, return_inverse=True)
         lower, mass = (np.bincount(place, s, minlength=len(known)) for s in sums)
-        # Rounding may not make a mass that is left vanish.
-        weight = np.log10(np.maximum(1 - mass, 1e-12)) - np.log10(np.maximum(1 - lower, 1e-12))
+        weight = _weight(mass, lower)
         out = []
         for r in rows:
             asked = _values(r["asked"], np.uint64)

@@ -42,7 +42,7 @@ class Brute:
 
     def p(self, w, h):
         total = self.starts if h == "<" else self.one[h]
-        if total < katz.LEAST_HISTORY:
+        if not total:
             return self.single(w)
         after = self.two[("h", h)]
         if after[w]:
@@ -73,12 +73,21 @@ def test_against_brute_force(spark, sf_dir, block, monkeypatch):
 def test_histories_sum_to_one(sf_dir):
     """The unknown word included; over the most and the least frequent histories."""
     model = Brute(documents(sf_dir))
-    frequent = [w for w, _ in model.one.most_common(4)] + [w for w, c in model.one.items() if c == katz.LEAST_HISTORY][:3]
+    frequent = [w for w, _ in model.one.most_common(4)] + [w for n in (1, 2, 5) for w, c in model.one.items() if c == n][::7][:9]
     for h in ["<", *frequent]:
         if h is not None:
             assert sum(model.p(w, h) for w in [*model.one, "never seen anywhere"]) == pytest.approx(1)
 
 
+def test_texts_without_blanks_fill_blocks_too(spark, monkeypatch):
+    monkeypatch.setattr(katz, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(katz, "BLOCK", 1000)
+    rows = [(n, "\u65e5\u672c" * 2500) for n in range(30)] + [(n, "\t".join(["w"] * 500)) for n in range(30, 60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    sizes = [len(r["sizes"]) // 8 for r in katz.blocks(docs).collect()]
+    assert max(sizes) <= 2 and sum(sizes) == 60
+
+
 def test_discounts():
     assert all(0 < x < 1 for x in katz.discounts([1000, 300, 120, 60, 30, 20])[1:])
     assert katz.discounts([0] * 6)[1] == 0.5
