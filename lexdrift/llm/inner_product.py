@@ -11,8 +11,11 @@ and what can still reach the k-th best is computed exactly, in integers.
 Only sums over the table (d x d moments, bins) come to the driver; d is the number of
 dimensions.
 
-Defined cases: vectors that are null, empty or hold null or non-finite components, rows with a
-null id, and vectors with an integer component of 2^26 or more take no part; shorter vectors
+Products are exact: sums wrap around at 64 bits, so those that fit come out right, and one that does not
+stops the job, as does a component that is no 64-bit integer.
+
+Defined cases: vectors that are null, empty or hold null or non-finite components and rows with a
+null id take no part; shorter vectors
 count as padded with zeros; ties go to the smaller id, repeated vectors are candidates each;
 rows with the query's id are its own; a query id that comes twice is one query; fewer candidates than k give
 fewer rows, an empty table none.
@@ -31,17 +34,22 @@ from lexdrift.plans.workspace import stored
 
 K = 5
 SCALE = 256
-#: Integer components stay below it, so that products of up to 2,048 dimensions fit 64 bits.
-LIMIT = 1 << 26
+#: Products are known to fit 64 bits below it, as are components.
+LARGEST = 2.0**63 * (1 - 1e-9)
 BINS = 32
 CHUNK = 256
 
 
 def quantized(table: DataFrame, scale: int = SCALE) -> DataFrame:
     """(vec_id, vector) with integer components floor(scale * x)."""
-    small = F.forall("embedding", lambda x: F.abs(x.cast("double")) * scale < LIMIT)
-    valid = table.where(F.col("vec_id").isNotNull() & finite(F.col("embedding")) & small)
-    ints = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("bigint"))
+    valid = table.where(F.col("vec_id").isNotNull() & finite(F.col("embedding")))
+    too_large = F.raise_error(F.lit("a component is no 64-bit integer")).cast("bigint")
+
+    def whole(x: Column) -> Column:
+        scaled = x.cast("double") * scale
+        return F.when(F.abs(scaled) < LARGEST, F.floor(scaled).cast("bigint")).otherwise(too_large)
+
+    ints = F.transform("embedding", whole)
     return valid.select("vec_id", ints.alias("vector"))
 
 
@@ -61,6 +69,14 @@ def rotation(rows: DataFrame, dim: int) -> np.ndarray:
     return vectors[:, ::-1]
 
 
+def exact_products(q: np.ndarray, x: np.ndarray, turned_q: np.ndarray, turned_x: np.ndarray) -> np.ndarray:
+    """Inner products of integer rows; their turned forms tell in floating point whether one fits 64 bits."""
+    about = np.einsum("ij,ij->i", turned_q, turned_x)
+    if np.abs(about).max(initial=0) >= LARGEST:
+        raise OverflowError("a product does not fit 64 bits")
+    return np.einsum("ij,ij->i", q, x)
+
+
 def search(queries: tuple, rows: tuple, turn: np.ndarray, k: int) -> tuple:
     """The best ``k`` of a block for each query, if they reach its bound."""
     (query_ids, q, bound), (vec_ids, x, _), dim = queries, rows, len(turn)
@@ -87,7 +103,7 @@ def search(queries: tuple, rows: tuple, turn: np.ndarray, k: int) -> tuple:
             a, b = a + q_low, b + low
             other = query_ids[a] != vec_ids[b]
             a, b = a[other], b[other]
-            product = np.einsum("ij,ij->i", q[a], x[b])
+            product = exact_products(q[a], x[b], turned_q[a], turned_x[b])
             high_enough = product >= least[a]
             kept = [np.concatenate(c) for c in zip(kept, (a[high_enough], b[high_enough], -product[high_enough]))]
         best = first_k(kept[0], vec_ids[kept[1]], kept[2], k)

@@ -5,8 +5,9 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lexdrift.llm import neighbours, queries
+from lexdrift.llm import inner_product, neighbours, queries
 
 from .conftest import table
 
@@ -33,6 +34,25 @@ def test_top_k_is_exact(spark, sf_dir, rows_in_block, monkeypatch):
     assert got == want
 
 
+def test_large_components_take_part(spark):
+    rng = np.random.default_rng(4)
+    rows = {n: (rng.standard_normal(6) * 10.0 ** rng.integers(0, 7)).tolist() for n in range(400)}
+    rows |= {0: [1.0, -2.0, 0, 0, 0, 0], 50: [300_000.0, 1, 0, 0, 0, 0], 100: [0, 0, 0, 0, 0, 3.0e6], 401: [2.0**50, 0, 0, 0, 0, 0]}
+    rows = {k: [float(x) for x in v] for k, v in rows.items()}
+    frame = spark.createDataFrame(list(rows.items()), "vec_id bigint, embedding array<double>")
+    ints = {k: [math.floor(256 * x) for x in v] for k, v in rows.items()}
+    got = defaultdict(list)
+    for r in inner_product.top_k(frame.where("vec_id <> 401"), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    for q in range(0, 400, 50):
+        scores = ((-sum(a * b for a, b in zip(ints[q], x)), k) for k, x in ints.items() if k not in (q, 401))
+        assert got[q] == [(k, -s) for s, k in sorted(scores)[:5]]
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        inner_product.top_k(frame, F.col("vec_id") % 50 == 0).collect()
+    with pytest.raises(Exception, match="no 64-bit integer"):
+        inner_product.top_k(frame.select("vec_id", F.transform("embedding", lambda x: x * 1e30).alias("embedding")), F.col("vec_id") == 0).collect()
+
+
 @pytest.mark.parametrize("rows_in_block", [1024, 64])
 def test_nearest(spark, sf_dir, rows_in_block, monkeypatch):
     monkeypatch.setattr("lexdrift.llm.vectors.ROWS", rows_in_block)
