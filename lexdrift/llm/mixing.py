@@ -20,6 +20,7 @@ is spread like any other.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,10 +38,13 @@ CEILING = 3
 BLOCK = 32
 SHARD = 4096
 SEED = 20_231
+WORDS, BLANKS = re.compile(rb"[^\x20\x09-\x0D]+"), b" \t\n\v\f\r"
 #: Documents of one source that one window numbers.
 BUCKET = 1000
 #: The generator's limit of a draw without replacement.
 DRAW_LIMIT = 1_000_000_000
+#: From this variance on a draw is taken as normal.
+NORMAL = 10_000
 
 
 @dataclass(frozen=True)
@@ -102,14 +106,16 @@ def numbered(sized: DataFrame, documents: int) -> DataFrame:
     """``sized`` (source, size, doc_id, ...) with ``key`` and ``at``, the words of its source
     before each row: sums over buckets of documents, then within a bucket."""
     buckets = max(1, math.ceil(documents / BUCKET))
+    text = [F.xxhash64("text")] if "text" in sized.columns else []
+    # One id, or none, may be that of many documents.
     rows = sized.withColumn("key", source_key(F.col("source"))).withColumn(
-        "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets))
+        "bucket", F.pmod(F.xxhash64("doc_id", "size", *text), F.lit(buckets))
     )
     sums = rows.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
     before = F.sum("words").over(Window.partitionBy("key").orderBy("bucket")) - F.col("words")
     rows = rows.join(sums.select("key", "bucket", before.alias("base")), ["key", "bucket"])
     # Rows that agree in all of the order are alike, whichever comes first.
-    order = [F.col("doc_id"), F.col("size"), *([F.xxhash64("text")] if "text" in sized.columns else [])]
+    order = [F.col("doc_id"), F.col("size"), *text]
     own = F.sum("size").over(
         Window.partitionBy("key", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     )
@@ -147,17 +153,35 @@ def permuted(index: np.ndarray, n: int, seed: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _halved(counts: np.ndarray, taken: int, rng: np.random.Generator) -> np.ndarray:
-    """How many of each source's slots are among ``taken`` drawn from all without replacement.
-    Beyond the generator's limit: the expected numbers, rounded at random."""
-    total = int(counts.sum())
+def _drawn(count: int, rest: int, taken: int, rng: np.random.Generator) -> int:
+    """How many of ``count`` are among ``taken`` drawn without replacement from them and ``rest`` others.
+
+    The generator draws from fewer than 10^9. Of more, a draw is binomial but for a relative error of
+    1 / 10^9 each if either number is small, and normal with the same mean and variance otherwise."""
+    total = count + rest
     if total < DRAW_LIMIT:
-        return rng.multivariate_hypergeometric(counts, taken, method="marginals")
-    share = counts * (taken / total)
-    out = np.minimum(np.floor(share).astype(np.int64), counts)
-    while (rest := taken - int(out.sum())) > 0:
-        open_ = counts - out
-        out += np.minimum(rng.multinomial(rest, open_ / open_.sum()), open_)
+        return int(rng.hypergeometric(count, rest, taken)) if taken else 0
+    low, high = max(0, taken - rest), min(count, taken)
+    mean = count * (taken / total)
+    variance = mean * (rest / total) * ((total - taken) / (total - 1))
+    if variance > NORMAL:
+        found = round(rng.normal(mean, math.sqrt(variance)))
+    elif 2 * count <= total and 2 * taken <= total:
+        found = int(rng.binomial(high, max(count, taken) / total))
+    elif 2 * count > total:
+        found = taken - _drawn(rest, count, taken, rng)
+    else:
+        found = count - _drawn(count, rest, total - taken, rng)
+    return min(max(found, low), high)
+
+
+def _halved(counts: np.ndarray, taken: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of each source's slots are among ``taken`` drawn from all without replacement."""
+    out, rest = np.zeros_like(counts), int(counts.sum())
+    for k, count in enumerate(counts.tolist()):
+        rest -= count
+        out[k] = _drawn(count, rest, taken, rng)
+        taken -= int(out[k])
     return out
 
 
@@ -242,25 +266,40 @@ def taken(mixed: Mix) -> DataFrame:
     )
 
 
+def cut_words(body: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """Words ``start`` up to ``start + n`` of a text as written, for ascending spans: what lies between words that
+    follow each other stays, where words are missing a line ends."""
+    starts = [m.start() for m in WORDS.finditer(body)]
+    starts.append(len(body))
+    out, last = [], None
+    for start, n in spans:
+        if last is not None and start != last:
+            out.append(b"\n")
+        part = body[starts[start] : starts[min(start + n, len(starts) - 1)]]
+        last = start + n
+        out.append(part)
+    return b"".join(out).rstrip(BLANKS)
+
+
 def mixed_texts(mixed: Mix, text: str = "text") -> DataFrame:
-    """The documents as mixed: for each pass over its source a row with the words taken then,
-    in their order, joined by blanks; with the columns of ``mixed.rows``."""
+    """The documents as mixed: for each pass over its source a row with the words taken then, as they are
+    written; with the columns of ``mixed.rows``. Rows are in the order of the first slot that takes them, so
+    sources alternate and the passes over a document lie apart."""
     drawn = mixed.parts.groupBy("key", "at", "pass").agg(
-        F.array_sort(F.collect_list(F.struct("start", "words"))).alias("drawn")
+        F.array_sort(F.collect_list(F.struct("start", "words"))).alias("drawn"),
+        F.min(F.struct("shard", "slot")).alias("first slot"),
     )
     rows = mixed.rows.where("size > 0").join(drawn.hint("merge"), ["key", "at"])
+    rows = rows.repartitionByRange("first slot").sortWithinPartitions("first slot")
     # Starts and numbers of words travel as two lists beside the text.
     rows = rows.withColumn("starts", F.col("drawn.start")).withColumn("counts", F.col("drawn.words"))
     columns = mixed.rows.columns
     place = columns.index(text)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, made = len(columns), []
-        for body, starts, counts in zip(
-            texts_of(batch.column(place)), batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()
-        ):
-            words = body.split()
-            made.append(b" ".join([w for a, k in zip(starts, counts) for w in words[a : a + k]]))
+        n = len(columns)
+        spans = zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist())
+        made = [cut_words(body, list(zip(*pair))) for body, pair in zip(texts_of(batch.column(place)), spans)]
         kept = batch.columns[:n]
         kept[place] = pa.array(made, pa.binary()).cast(pa.string())
         return pa.RecordBatch.from_arrays(kept, names=columns)

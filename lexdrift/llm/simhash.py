@@ -182,25 +182,30 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp, component, component_id) of every row: its class as the class's smallest
     fingerprint and as its smallest doc_id."""
     prints = stored(fingerprints(docs, width), "fingerprints")
+    return prints.join(_classes(prints), "fp")
+
+
+def _classes(prints: DataFrame) -> DataFrame:
+    """(fp, component, component_id) of all fingerprints of a stored table (doc_id, fp, ...)."""
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = components(links(distinct.select("fp")))
     classed = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", F.coalesce("component", "fp").alias("component"), "first"
     )
     smallest = classed.groupBy("component").agg(F.min("first").alias("component_id"))
-    classes = classed.join(smallest, "component").select("fp", "component", "component_id")
-    return prints.join(classes, "fp")
+    return classed.join(smallest, "component").select("fp", "component", "component_id")
 
 
 def representatives(docs: DataFrame, width: int = 3) -> DataFrame:
-    """One document of each class: the one with the smallest id. Rows that repeat an id are
-    one document; of a class without ids one stays."""
+    """One row of each class: the one with the smallest id, null last, and of several rows with that id the one
+    whose text has the smallest fingerprint, then the smallest hash. Rows that agree in id and text are one."""
     # Other columns may be named like the operator's own: they travel as one.
-    docs = docs.select("doc_id", "text", F.struct("*").alias("row"))
-    found = stored(near_duplicates(docs, width), "classes")
-    ids = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = found.where("component_id IS NULL").select("fp", "component").distinct()
-    rest = fingerprints(docs.where("doc_id IS NULL"), width, ("row",))
-    rest = rest.join(nameless, "fp").dropDuplicates(["component"])
-    return kept.select("row.*").unionByName(rest.select("row.*"))
+    docs = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text", F.struct("*").alias("row"))
+    prints = stored(fingerprints(docs, width, ("doc_id", "hash")), "fingerprints")
+    classes = _classes(prints)
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("fp"), F.col("hash"))
+    chosen = prints.join(classes, "fp").groupBy("component").agg(F.min(order).alias("first")).select("first.*")
+    # Copies of a text share no key: a class has one chosen row.
+    keys = chosen.select(F.col("doc_id").alias("its id"), F.col("hash").alias("its hash"))
+    same = F.col("hash").eqNullSafe(F.col("its hash")) & F.col("doc_id").eqNullSafe(F.col("its id"))
+    return docs.join(keys, same, "left_semi").dropDuplicates(["doc_id", "hash"]).select("row.*")

@@ -79,6 +79,59 @@ def test_shards_add_up_to_the_quota():
         assert (before + count).tolist() == after.tolist()
 
 
+def test_draws_beyond_the_generators_limit(monkeypatch):
+    """The same mean and variance on both sides of the limit; sums and bounds hold."""
+    n = 9 * 10**8
+    cases = [(4 * n // 9, 5 * n // 9, n // 2), (30, n, n // 3), (n, 30, n // 3), (n // 2, n // 3, 50), (n // 3, n // 2, 5 * n // 6 - 50), (10, n, n + 10), (7, 0, 3)]
+    for count, rest, taken in cases:
+        found = []
+        for limit in (10**9, 1):
+            monkeypatch.setattr(mixing, "DRAW_LIMIT", limit)
+            rng = np.random.default_rng(7)
+            found.append(np.array([mixing._drawn(count, rest, taken, rng) for _ in range(4000)]))
+            assert found[-1].min() >= max(0, taken - rest) and found[-1].max() <= min(count, taken)
+        exact, other = found
+        assert abs(exact.mean() - other.mean()) <= 0.1 * exact.std() + 1e-9
+        assert other.std() == pytest.approx(exact.std(), rel=0.1, abs=0.05)
+    monkeypatch.setattr(mixing, "DRAW_LIMIT", 10**9)
+    quota = [5 * 10**12, 3, 10**12, 0]
+    shards = -(-sum(quota) // 4096)
+    for number in (0, 1, shards // 2, shards - 1):
+        counts, before = mixing.shard_counts(quota, 4096, 1, number)
+        assert counts.sum() == min(4096, sum(quota) - number * 4096) and before.sum() == number * 4096
+        assert (before + counts <= quota).all()
+
+
+def test_documents_without_an_id_are_spread(spark):
+    rows = [(None, "s", n % 700) for n in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, size bigint")
+    placed = mixing.numbered(docs, 100_000).orderBy("at").collect()
+    upto = 0
+    for r in placed:
+        assert r["at"] == upto
+        upto += r["size"]
+
+
+def test_mixed_words_stay_as_written():
+    body = b"  one\ttwo\n\nthree  four five \n"
+    assert mixing.cut_words(body, [(0, 3), (3, 2)]) == b"one\ttwo\n\nthree  four five"
+    assert mixing.cut_words(body, [(1, 2), (4, 1)]) == b"two\n\nthree  \nfive"
+    assert mixing.cut_words(body, []) == b""
+
+
+def test_mixed_rows_alternate(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    mixed = mixing.mix(docs.withColumn("size", mixing.word_count(docs["text"])))
+    rows = mixing.mixed_texts(mixed).collect()
+    pairs = sum(a["doc_id"] == b["doc_id"] for a, b in zip(rows, rows[1:]))
+    assert pairs <= len(rows) / 10
+    texts = defaultdict(list)
+    for doc_id, text, _ in documents(sf_dir):
+        texts[doc_id].append(text or "")
+    for r in rows:
+        assert any(all(part.strip() in t for part in re.split(r"\n", r["text"])) for t in texts[r["doc_id"]])
+
+
 def brute_fingerprint(text):
     words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     if not words:

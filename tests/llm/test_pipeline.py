@@ -67,3 +67,13 @@ def test_nameless_class_keeps_one(spark):
     assert sorted(map(str, simhash.representatives(docs).collect())) == sorted(
         ["Row(doc_id=None, text='a b c d')", "Row(doc_id=2, text='x y z q w')"]
     )
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_a_repeated_id_loses_no_class(spark, turn):
+    """Rows are chosen, not ids: B keeps its class though its id's other row goes."""
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(5, a), (5, b), (1, a), (7, b), (None, "alone here"), (None, "and here too"), (None, "alone here")][::turn]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got = sorted(map(tuple, simhash.representatives(docs).collect()), key=str)
+    assert got == sorted([(1, a), (5, b), (None, "alone here"), (None, "and here too")], key=str)
