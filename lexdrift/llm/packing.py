@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from lexdrift.llm.arrow import byte_slices
-from lexdrift.llm.pieces import PieceIds, joined, whole_tokenizer
+from lexdrift.llm.pieces import Encode, PieceIds, joined, whole_tokenizer
 
 WIDTH = 4096
 END = 2
@@ -84,13 +84,9 @@ class Encoder:
     drops white space, so no token crosses it. Each distinct word of a call is tokenized once."""
 
     def __init__(self, path: str):
-        tokenizer = whole_tokenizer(path)
-
-        def encode(words: list[str]) -> list[list[int]]:
-            return [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-        words = sum(encode(["Ab", "c,", "D.e"]), [])
-        parted = encode(["Ab c,\n D.e", "  Ab \tc,   D.e\n"])
+        encode = Encode(whole_tokenizer(path))
+        words = sum(encode.whole(["Ab", "c,", "D.e"]), [])
+        parted = encode.whole(["Ab c,\n D.e", "  Ab \tc,   D.e\n"])
         if parted != [words, words]:
             raise ValueError(f"{path}: texts can only be packed word by word if white space is dropped")
         self.words = PieceIds.of_process(path, lambda: PieceIds(encode))

@@ -87,3 +87,63 @@ def whole_tokenizer(path: str):
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
+
+
+#: Letters below it are composed and have lower-case forms that do not depend on their neighbours.
+LATIN = "\u0130"
+#: Pieces by which a shortcut is held against the whole tokenizer.
+PROBES = ("Word", "word,", "ETRE.", "\u00eatre", "Stra\u00dfe,", "\u00c9t\u00e9s", "antidisestablishmentarianism.", "a", "\u00fe", "x,")
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies write printable Latin-1 bytes as themselves and the others as
+    the code points from 256 on, in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + n for n, b in enumerate(others)}
+
+
+class Encode:
+    """Ids of pieces by the whole tokenizer; a word of Latin letters, with a blank before it or not, is one
+    pre-token and goes to the vocabulary's model at once, and so does it before a stop or comma. Held
+    against the whole tokenizer with probes: a file for which this does not hold takes no shortcut."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.letters = _byte_letters()
+        self.blank = chr(self.letters[32])
+        self.stops = dict(zip(".,", self.whole([".", ","])))
+        probes = [*PROBES, *(f" {p}" for p in PROBES)]
+        self.keeps_case = [self.short(p, True) for p in probes] == self.whole(probes)
+        self.usable = self.keeps_case or [self.short(p, False) for p in probes if p[0] != " "] == self.whole(list(PROBES))
+
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def short(self, text: str, keeps_case: bool) -> list[int] | None:
+        """The ids of a word of Latin letters, None for other pieces."""
+        stop = text[-1:] if text[-1:] in (".", ",") else ""
+        core = text[:-1] if stop else text
+        blank = ""
+        if keeps_case and core[:1] == " ":
+            core, blank = core[1:], self.blank
+        if not core.isalpha():
+            return None
+        if not core.isascii():
+            if max(core) >= LATIN:
+                return None
+            core = (core if keeps_case else core.lower()).encode().decode("latin-1").translate(self.letters)
+        elif not keeps_case:
+            core = core.lower()
+        ids = [t.id for t in self.model.tokenize(blank + core)]
+        return ids + self.stops[stop] if stop else ids
+
+    def __call__(self, texts: list[str]) -> list[list[int]]:
+        if not self.usable:
+            return self.whole(texts)
+        keeps_case = self.keeps_case
+        out = [self.short(text, keeps_case) for text in texts]
+        rest = [n for n, ids in enumerate(out) if ids is None]
+        for n, ids in zip(rest, self.whole([texts[n] for n in rest])):
+            out[n] = ids
+        return out

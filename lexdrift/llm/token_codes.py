@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexdrift.llm.arrow import byte_slices
-from lexdrift.llm.pieces import PieceIds, joined, whole_tokenizer
+from lexdrift.llm.pieces import Encode, PieceIds, joined, whole_tokenizer
 
 END = 2
 SEGMENT = 1 << 18
@@ -146,11 +146,7 @@ class PieceTokenizer:
         kind = type(tokenizer.pre_tokenizer).__name__
         if tokenizer.normalizer is not None or kind != "ByteLevel" or tokenizer.pre_tokenizer.add_prefix_space:
             raise ValueError(f"{path}: only byte-level tokenizers without normalizer or prefix can be cut into pieces")
-
-        def encode(texts: list[str]) -> list[list[int]]:
-            return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-        self.pieces = PieceIds.of_process(path, lambda: PieceIds(encode))
+        self.pieces = PieceIds.of_process(path, lambda: PieceIds(Encode(tokenizer)))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts with an end id after each, and how many each text has."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
@@ -13,6 +14,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from lexdrift.llm import queries, token_codes
+from lexdrift.llm.pieces import Encode, whole_tokenizer
 
 from .conftest import table
 
@@ -75,6 +77,18 @@ def test_a_tokenizer_that_cannot_be_cut_is_refused():
         token_codes.PieceTokenizer(public_tokenizers.path("word_bpe_49k.json"))
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_shortcut_gives_the_ids_of_the_whole_tokenizer(name):
+    encode = Encode(whole_tokenizer(public_tokenizers.path(name)))
+    assert encode.usable and encode.keeps_case == name.startswith("byte")
+    letters = [chr(c) for c in range(33, 0x250) if chr(c).isalpha()]
+    rng = random.Random(5)
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(3000)]
+    words += [*letters, "", " ", ".", ",", " .", "..", "I'll", "a.b", "x1", "\u0130", "\u03a3", "\ufb01", "e\u0301", "\u00aa", "\u00b5"]
+    pieces = [(" " if name.startswith("byte") and rng.random() < 0.7 else "") + w + rng.choice(["", "", ".", ",", "!"]) for w in words]
+    assert encode(pieces) == encode.whole(pieces)
+
+
 def test_query_equals_whole_texts(spark, sf_dir, tokenizer):
     rows = queries.QUERIES["op12_token_codes"](spark, sf_dir).collect()
     docs = [(r["doc_id"], r["text"] or "") for r in table(sf_dir, "documents")]
