@@ -40,7 +40,7 @@ from lexdrift.llm.arrow import texts_of
 from lexdrift.plans.workspace import stored
 
 #: Tokens of a block, and bytes of its texts.
-BLOCK, BLOCK_BYTES = 800_000, 16 << 20
+BLOCK, BLOCK_BYTES = 600_000, 16 << 20
 K = 5
 #: Partitions of a table: at least so many, and about so many n-grams in each.
 LEAST_PARTS, PART = 64, 2_000_000
