@@ -35,8 +35,10 @@ TEMPER = 0.1
 TRUST = 0.9
 #: Pages that a parent's shares count for.
 STRENGTH = 5.0
-_HIDDEN = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
-_DECLARED = re.compile(rb"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})""")
+_SCRIPT = re.compile(rb"(?i)<(script|style)\b")
+_SCRIPT_ENDS = {name: re.compile(rb"(?i)</" + name + rb"\s*>") for name in (b"script", b"style")}
+_ROOT = re.compile(rb"(?i)<html\b")
+_LANG = re.compile(rb"""(?i)\blang\s*=\s*["']?([A-Za-z]{2,3})""")
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
@@ -50,7 +52,39 @@ def trigrams(text: bytes) -> np.ndarray:
 
 
 def visible(html: bytes) -> bytes:
-    return _HIDDEN.sub(b" ", html)
+    """Text outside tags, scripts, styles and comments; one that does not end hides the rest, a tag that does not
+    end is text. Each byte is looked at once or twice."""
+    out, at = [], 0
+    while (start := html.find(b"<", at)) >= 0:
+        out.append(html[at:start])
+        script = _SCRIPT.match(html, start)
+        if html.startswith(b"<!--", start):
+            end = html.find(b"-->", start + 4) + 3
+            at = end if end > 2 else len(html)
+        elif script:
+            end = _SCRIPT_ENDS[script[1].lower()].search(html, script.end())
+            at = end.end() if end else len(html)
+        else:
+            at = html.find(b">", start) + 1
+            if not at:
+                at = start
+                break
+    out.append(html[at:])
+    return b" ".join(out)
+
+
+def declared_language(html: bytes) -> str | None:
+    """The language that the first root tag with one declares."""
+    at = 0
+    while root := _ROOT.search(html, at):
+        end = html.find(b">", root.end())
+        found = _LANG.search(html, root.end(), end if end >= 0 else len(html))
+        if found:
+            return found[1].decode().lower()
+        if end < 0:
+            return None
+        at = end
+    return None
 
 
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -60,12 +94,24 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     picked = labelled.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE)
     # SAMPLE rows of a language at most: a proven bound for a broadcast.
     picked = F.broadcast(picked.select("doc_id", F.col("lang").alias("label")).distinct())
-    sums: dict[str, np.ndarray] = {}
-    for row in docs.select("doc_id", "text").join(picked, "doc_id").toLocalIterator():
-        counts = trigrams((row["text"] or "").encode("utf-8", "replace"))
-        sums[row["label"]] = sums.get(row["label"], 0) + counts
-    langs = sorted(sums)
-    table = np.stack([sums[x] for x in langs]) + 0.5 if langs else np.zeros((0, BUCKETS))
+
+    def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [trigrams(text) for text in texts_of(batch.column(1))]
+        buckets = [np.flatnonzero(c) for c in found]
+        sizes = [len(b) for b in buckets]
+        columns = [batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))]
+        columns += [pa.array(np.concatenate(buckets)), pa.array(np.concatenate([c[b] for c, b in zip(found, buckets)]))]
+        return pa.RecordBatch.from_arrays(columns, names=["label", "bucket", "n"])
+
+    rows = docs.select("doc_id", "text").join(picked, "doc_id").select("label", "text")
+    found = per_batch(rows, counted, "label string, bucket bigint, n double").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+    # BUCKETS rows of a language at most.
+    sums = found.toArrow()
+    labels = sums["label"].to_pylist()
+    langs = sorted(set(labels))
+    table = np.full((len(langs), BUCKETS), 0.5)
+    place = {x: k for k, x in enumerate(langs)}
+    np.add.at(table, (np.array([place[x] for x in labels], np.int64), sums["bucket"].to_numpy()), sums["n"].to_numpy())
     return langs, np.log(table / table.sum(axis=1, keepdims=True))
 
 
@@ -75,8 +121,7 @@ def evidence(pages: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         said, declared = [], []
         for html in texts_of(batch.column(2)):
-            found = _DECLARED.search(html)
-            own = found[1].decode().lower() if found else None
+            own = declared_language(html)
             score = TEMPER * (table @ trigrams(visible(html)))
             if own in langs and len(langs) > 1:
                 right = np.array([x == own for x in langs])

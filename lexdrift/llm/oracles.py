@@ -80,4 +80,80 @@ chain AS (
 SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n FROM forms f JOIN chain c USING (word) WHERE c.next IS NULL
 """
 
-ORACLES: dict[str, str] = {"op11_lexical_search": OP11, "op13_spelling": OP13}
+OP1 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id,
+         list_sum(list_transform(range(1, least(len(q.e), len(v.e)) + 1), lambda i: q.e[i] * v.e[i]))::BIGINT AS score
+  FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS "rank" FROM scored)
+SELECT query_id, "rank"::INTEGER AS "rank", vec_id, score FROM ranked WHERE "rank" <= 5
+"""
+
+OP4 = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []::VARCHAR[]) AS words FROM documents),
+words AS MATERIALIZED (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS j FROM texts),
+windows AS (
+  SELECT doc_id, j AS i, row_number() OVER (PARTITION BY sequence ORDER BY doc_id, j) AS n FROM (
+    SELECT doc_id, j, lead(j, 19) OVER w AS last, string_agg(word, ' ') OVER (w ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS sequence
+    FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY j)) WHERE last IS NOT NULL),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM windows WHERE n > 1),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS kept FROM words ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)
+"""
+
+#: Kind, pattern (of which group 2 of the first one must have six characters) and place in the list of kinds.
+SECRETS = (
+    ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
+    ("access", "AKIA[A-Z0-9]+"),
+    ("hex", "[0-9a-f]{24,}"),
+    ("github", "gh[pousr]_[A-Za-z0-9]{36,}"),
+    ("slack", "xox[abeprs]-[A-Za-z0-9-]{10,}"),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+)
+
+
+def _spans(place: int, kind: str, pattern: str) -> str:
+    """(doc_id, place, kind, start, end) of one kind: what lies between the matches tells where they are."""
+    quoted = pattern.replace("'", "''")
+    kept = f"regexp_extract_all(text, '{quoted}', 2)" if kind == "assign" else "found"
+    least = {"assign": 6, "access": 20}.get(kind, 1)
+    return f"""
+  SELECT doc_id, {place} AS place, '{kind}' AS kind, upto - size AS "start", upto AS "end" FROM (
+    SELECT *, sum(gap + size) OVER (PARTITION BY doc_id ORDER BY n) AS upto FROM (
+      SELECT doc_id, unnest(list_transform(found, lambda x: length(x))) AS size,
+             unnest(list_transform({kept}, lambda x: length(x))) AS own,
+             unnest(list_transform(between[1:len(found)], lambda x: length(x))) AS gap,
+             unnest(range(len(found))) AS n
+      FROM (SELECT doc_id, text, regexp_extract_all(text, '{quoted}') AS found,
+                   string_split_regex(text, '{quoted}') AS between
+            FROM documents WHERE regexp_matches(text, '{quoted}'))))
+  WHERE own >= {least}"""
+
+
+OP8 = f"""
+WITH spans AS MATERIALIZED ({' UNION ALL '.join(_spans(n, *rule) for n, rule in enumerate(SECRETS))}),
+joined AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || "start" || ':' || "end", ',' ORDER BY "start", place) AS spans,
+         string_agg(kind || ':' || "start" || ':' || "end", ',' ORDER BY "start", place) FILTER (place < 3) AS base
+  FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN joined USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_topk": OP1,
+    "op4_substrings": OP4,
+    "op8_secrets": OP8,
+    "op11_lexical_search": OP11,
+    "op13_spelling": OP13,
+}

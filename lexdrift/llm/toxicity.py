@@ -22,14 +22,17 @@ from __future__ import annotations
 import math
 import zlib
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexdrift.llm.arrow import per_batch, texts_of
+from lexdrift.llm.arrow import byte_slices, per_batch, texts_of
+from lexdrift.plans.workspace import stored
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
@@ -46,6 +49,9 @@ SAMPLE = 2000
 THRESHOLD = 0.3
 EDGES = ".,;:!?\"'()[]"
 CACHE_WORDS = 500_000
+TEXT_BYTES = 8 << 20
+#: Of CRC-32, lowest bit first.
+POLYNOMIAL = np.uint32(0xEDB88320)
 
 
 def features(word: str) -> list[int]:
@@ -61,22 +67,68 @@ def words_of(text: bytes) -> list[str]:
     return [w for w in words if w]
 
 
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = (table >> np.uint32(1)) ^ (POLYNOMIAL * (table & np.uint32(1)))
+    return table
+
+
+def word_means(words: list[str], weights: np.ndarray) -> np.ndarray:
+    """The mean of the weights of each word's `features`, all n-grams of all words at once."""
+    marked = [f"<{w}>" for w in words]
+    letters = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    ends = np.repeat(np.cumsum(sizes), sizes)  # of each letter's word
+    word = np.repeat(np.arange(len(marked)), sizes)
+    n_bytes = 1 + (letters >= 0x80) + (letters >= 0x800) + (letters >= 0x10000)
+    # UTF-8: the first byte tells the length, the others hold six bits each.
+    lead = np.array([0, 0, 0xC0, 0xE0, 0xF0], np.uint32)[n_bytes]
+    octets = []
+    for k in range(int(n_bytes.max(initial=0))):
+        shift = (6 * np.maximum(n_bytes - 1 - k, 0)).astype(np.uint32)
+        part = letters >> shift
+        octets.append((lead | part) if k == 0 else (0x80 | part & np.uint32(0x3F)))
+    table, full = _crc_table(), np.uint32(0xFFFFFFFF)
+    crc32 = zlib.crc32
+    sums = weights[np.fromiter((crc32(m.encode()) % BUCKETS for m in marked), np.int64, len(marked))].astype(np.float64)
+    counts = np.ones(len(marked))
+    for n in GRAMS:
+        places = np.flatnonzero(np.arange(len(letters)) + n <= ends)
+        crc = np.full(len(places), full, np.uint32)
+        for j in range(n):
+            for k, octet in enumerate(octets):
+                after = table[(crc ^ octet[places + j]) & np.uint32(255)] ^ (crc >> np.uint32(8))
+                crc = after if k == 0 else np.where(n_bytes[places + j] > k, after, crc)
+        sums += np.bincount(word[places], weights[(crc ^ full) % np.uint32(BUCKETS)], minlength=len(marked))
+        counts += np.bincount(word[places], minlength=len(marked))
+    return sums / counts
+
+
 @dataclass(frozen=True)
 class Model:
     weights: np.ndarray
     bias: float
 
     def score(self, text: bytes, known: dict[str, float]) -> float:
-        """``known`` keeps the means of words seen."""
-        words = words_of(text)
-        total = 0.0
-        for w in words:
-            value = known.get(w)
-            if value is None:
-                value = known[w] = float(self.weights[features(w)].mean())
-            total += value
-        logit = self.bias + (total / len(words) if words else 0.0)
-        return 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, logit))))
+        return float(self.scores(pa.array([text.decode("utf-8", "replace")]), known)[0])
+
+    def scores(self, texts: pa.Array, known: dict[str, float]) -> np.ndarray:
+        """``known`` keeps the means of words as written; those that are nothing but edges have none (nan)."""
+        lists = pc.utf8_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        words, rows = lists.flatten().dictionary_encode(), pc.list_parent_indices(lists).to_numpy()
+        raw = words.dictionary.to_pylist()
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        new = {w: c for w in raw if w not in known and (c := w.lower().strip(EDGES))}
+        known.update(zip(new, word_means(list(new.values()), self.weights).tolist()))
+        means = np.array([known.get(w, math.nan) for w in raw])
+        value = means[words.indices.to_numpy()]
+        held = ~np.isnan(value)
+        totals = np.bincount(rows[held], value[held], minlength=len(texts))
+        counts = np.bincount(rows[held], minlength=len(texts))
+        logits = self.bias + totals / np.maximum(counts, 1)
+        return 1.0 / (1.0 + np.exp(-np.clip(logits, -500.0, 500.0)))
 
 
 def _bag(text: bytes, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -98,6 +150,11 @@ def _bag(text: bytes, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndar
 
 def train(texts: list[bytes], labels: list[int], prior: float, seed: int = 7) -> Model:
     """Fit vectors and softmax; ``prior`` is the share of label 1 among all labelled rows."""
+    return train_bags([_bag(text, {}) for text in texts], labels, prior, seed)
+
+
+def train_bags(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], prior: float, seed: int = 7) -> Model:
+    """The same from texts as buckets and their shares."""
     share = sum(labels) / len(labels) if labels else 0.0
     prior_logit = math.log(prior / (1 - prior))
     if share in (0.0, 1.0):
@@ -107,13 +164,6 @@ def train(texts: list[bytes], labels: list[int], prior: float, seed: int = 7) ->
     seen = np.full(BUCKETS, 1e-10, np.float32)
     softmax, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
     seen_softmax, seen_bias = np.full((2, DIM), 1e-8, np.float32), np.full(2, 1e-8, np.float32)
-    known: dict[str, np.ndarray] = {}
-    bags = []
-    for text in texts:
-        if len(known) > 50_000:
-            known.clear()
-        bags.append(_bag(text, known))
-    known.clear()
     # A bucket that few documents have can only be learned by heart: it stays at zero.
     common = np.bincount(np.concatenate([b for b, _ in bags]), minlength=BUCKETS) >= LEAST_DOCS
     vectors[~common] = 0
@@ -150,6 +200,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
+def _bagged(rows: DataFrame) -> DataFrame:
+    """(doc_id, hash, toxic, times, buckets, shares) of labelled texts."""
+    known: dict[str, np.ndarray] = {}
+
+    def bag(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = []
+        for text in texts_of(batch.column(4)):
+            if len(known) > 50_000:
+                known.clear()
+            found.append(_bag(text, known))
+        buckets, shares = zip(*found)
+        columns = [*batch.columns[:4], pa.array(buckets, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "hash", "toxic", "times", "buckets", "shares"])
+
+    schema = "doc_id bigint, hash bigint, toxic int, times bigint, buckets array<int>, shares array<float>"
+    return per_batch(rows.select("doc_id", "hash", "toxic", "times", "text"), bag, schema)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from the labelled documents that are not held out."""
     given = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(
@@ -157,16 +225,27 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     )
     counts = {r["toxic"]: r["count"] for r in given.groupBy("toxic").count().collect()}
     prior = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
-    picked = []
-    for value in (0, 1):
-        # Only ids are sorted; a bounded number of them goes on to meet the texts.
-        ids = given.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-        picked.append(ids)
-    # At most 2 * SAMPLE rows of two numbers: a proven bound for a broadcast.
-    chosen = F.broadcast(picked[0].unionByName(picked[1]))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["toxic"], r["text"] or ""))
-    return train([(r["text"] or "").encode("utf-8", "replace") for r in rows], [r["toxic"] for r in rows], prior)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+
+    def first(found: DataFrame, value: int, *order: str) -> DataFrame:
+        return found.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), *order).limit(SAMPLE)
+
+    # Only ids are sorted; at most 2 * SAMPLE rows of two numbers go on to meet the texts: a proven bound for a
+    # broadcast. An id may be that of many rows, so the bound is kept again behind the join.
+    ids = F.broadcast(reduce(DataFrame.unionByName, [first(given, value, "doc_id") for value in (0, 1)]))
+    met = stored(rows.select("doc_id", "hash").join(ids, "doc_id"), "labelled")
+    chosen = reduce(DataFrame.unionByName, [first(met, value, "doc_id", "hash") for value in (0, 1)])
+    chosen = chosen.groupBy("doc_id", "hash", "toxic").agg(F.count("*").alias("times"))
+    # Texts become bags where they are: no more than BUCKETS numbers of each come to the driver.
+    texts = rows.join(F.broadcast(chosen), ["doc_id", "hash"])
+    found = _bagged(texts).dropDuplicates(["doc_id", "toxic", "hash"]).toArrow().combine_chunks()
+    order = found.sort_by([(c, "ascending") for c in ("doc_id", "toxic", "hash")])
+    bags, labels_of = [], []
+    for buckets, shares, toxic, times in zip(*(order[c] for c in ("buckets", "shares", "toxic", "times"))):
+        bag = buckets.values.to_numpy(), shares.values.to_numpy()
+        bags += [bag] * times.as_py()
+        labels_of += [toxic.as_py()] * times.as_py()
+    return train_bags(bags, labels_of, prior)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -175,11 +254,9 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     known: dict[str, float] = {}  # each task starts with its own, empty one
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = []
-        for text in texts_of(batch.column(len(columns))):
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            found.append(model.score(text, known))
+        place = len(columns)
+        parts = [model.scores(some.column(place), known) for some in byte_slices(batch, place, TEXT_BYTES)]
+        found = np.concatenate(parts)
         return pa.RecordBatch.from_arrays(
             [*batch.columns[: len(columns)], pa.array(found, pa.float64())], names=[*columns, "score"]
         )

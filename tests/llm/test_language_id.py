@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -50,6 +51,34 @@ def test_hidden_markup():
     assert language_id.visible(b"<p>a</p><script>var t='</p>'</script >b<!-- c -->").split() == [b"a", b"b"]
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        (b"a<!-- x --><b>c</b>", b"a c"), (b"a<!-- never ends <p>b", b"a"), (b"a<style>x{}</style>b", b"a b"),
+        (b"a<script >never ends <p>b</p>", b"a"), (b"a<scripted>b</scripted>", b"a b"), (b"1 < 2 and b", b"1 < 2 and b"),
+        (b"a<!-->b-->c", b"a c"), (b"<STYLE>x</Style\n>y", b"y"),
+    ],
+)
+def test_visible(html, want):
+    assert language_id.visible(html).split() == want.split()
+
+
+def test_declared_language():
+    assert language_id.declared_language(b"<HTML class=x LANG='De-at'>") == "de"
+    assert language_id.declared_language(b"<html><html lang=fr>") == "fr"
+    assert language_id.declared_language(b"<html><p lang=fr>") is None
+    assert language_id.declared_language(b"<html lang=en") == "en"
+
+
+@pytest.mark.parametrize("part", [b"<!--", b"<script ", b"<", b"<html ", b"</script ", b"<style>"])
+def test_long_pages_take_linear_time(part):
+    html = part * (4_000_000 // len(part))
+    start = time.perf_counter()
+    language_id.visible(html)
+    language_id.declared_language(html)
+    assert time.perf_counter() - start < 20
+
+
 @pytest.mark.parametrize("text", [b"", b" ", b"a"])
 def test_short_texts(text):
     assert math.isfinite(language_id.trigrams(text).sum())
