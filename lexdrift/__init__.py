@@ -13,9 +13,18 @@ from lexdrift.operators import (
     register,
     run_summary,
 )
-from lexdrift.plans import CompareOptions, CompareResult, compare_dump, compare_parquet
+from lexdrift.plans import (
+    ArticleSource,
+    CompareOptions,
+    CompareResult,
+    Report,
+    compare_dump,
+    compare_parquet,
+    compare_source,
+)
 
 __all__ = [
+    "ArticleSource",
     "BASIC_1",
     "BASIC_2",
     "CompareOptions",
@@ -23,11 +32,13 @@ __all__ = [
     "LexiconAnalyzer",
     "PatternAnalyzer",
     "PythonAnalyzer",
+    "Report",
     "RunInfo",
     "UnknownWords",
     "compare",
     "compare_dump",
     "compare_parquet",
+    "compare_source",
     "lattice_analyzer",
     "register",
     "run_summary",

@@ -262,8 +262,8 @@ def html_summary(summary: DataFrame) -> DataFrame:
     )
 
 
-def write_html_report(compared: DataFrame, summary: DataFrame, path: str) -> None:
-    """The report content as part files that follow each other."""
+def html_lines(compared: DataFrame, summary: DataFrame) -> DataFrame:
+    """The report content, piece by piece in order."""
     any_difference = F.col("difference_count") > 0
     head = summary.select(
         F.concat(
@@ -279,4 +279,9 @@ def write_html_report(compared: DataFrame, summary: DataFrame, path: str) -> Non
     tail = summary.filter(any_difference).select(F.lit(TABLE_END).alias("value"))
     # Every piece ends with a line end, which the text sink adds itself.
     pieces = head.union(rows).union(tail)
-    pieces.select(F.left("value", F.length("value") - 1).alias("value")).write.text(path)
+    return pieces.select(F.left("value", F.length("value") - 1).alias("value"))
+
+
+def write_html_report(compared: DataFrame, summary: DataFrame, path: str) -> None:
+    """The report content as part files that follow each other."""
+    html_lines(compared, summary).write.text(path)

@@ -7,7 +7,7 @@ are then made from that table.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from uuid import uuid4
 
@@ -18,9 +18,8 @@ from lexdrift.operators.analyzers import Analyzer, resolve
 from lexdrift.operators.compare import compare, preview
 from lexdrift.operators.sequence import limit_records
 from lexdrift.operators.summary import RunInfo, run_summary
-from lexdrift.plans.html_report import write_html_report
 from lexdrift.plans.options import CompareOptions
-from lexdrift.plans.text_report import write_text_report
+from lexdrift.plans.plugins import HTML, TEXT, ArticleSource, Report, resolve_reports
 from lexdrift.plans.workspace import stored
 from lexdrift.sources import columnar, dump
 from lexdrift.sources.audit import require_parquet
@@ -50,6 +49,7 @@ class CompareResult:
     text_report_path: str | None
     html_report_path: str | None
     preview: DataFrame | None
+    report_paths: dict[str, str] = field(default_factory=dict)
 
 
 def lean(compared: DataFrame, keep_all: bool = False) -> DataFrame:
@@ -71,7 +71,11 @@ def _now() -> datetime:
 
 
 def _run(
-    articles: DataFrame, options: CompareOptions, source_type: str, broken: int | None = None
+    articles: DataFrame,
+    options: CompareOptions,
+    source_type: str,
+    broken: int | None = None,
+    reports: list[Report] | None = None,
 ) -> CompareResult:
     started = _now()
     spark = articles.sparkSession
@@ -105,21 +109,19 @@ def _run(
     summary_path = f"{root}/run_summary"
     summary = stored(run_summary(table, info), "run_summary", summary_path)
 
-    text_path = html_path = None
-    if options.wants("text"):
-        text_path = f"{root}/report_text"
-        write_text_report(table, summary, text_path)
-    if options.wants("html"):
-        html_path = f"{root}/report_html"
-        write_html_report(table, summary, html_path)
+    wanted = [r for r in (TEXT, HTML) if options.wants(r.name)] if reports is None else reports
+    paths = {r.name: f"{root}/report_{r.name}" for r in wanted}
+    for report in wanted:
+        report.write(table, summary, paths[report.name])
     return CompareResult(
         compared=table,
         summary=summary,
         compared_path=compared_path,
         summary_path=summary_path,
-        text_report_path=text_path,
-        html_report_path=html_path,
+        text_report_path=paths.get("text"),
+        html_report_path=paths.get("html"),
         preview=shown,
+        report_paths=paths,
     )
 
 
@@ -204,3 +206,23 @@ def compare_parquet(
         files = spark.read.parquet(input_path).inputFiles()
         paths = leading_files(lambda part: columnar.read_articles(spark, part), files, max_records)
     return _run(columnar.read_articles(spark, paths or input_path), options, PARQUET)
+
+
+def compare_source(
+    spark: SparkSession,
+    source: ArticleSource,
+    output_path: str,
+    old: Analyzer | str,
+    new: Analyzer | str,
+    max_records: int = -1,
+    reports: list[Report | str] | None = None,
+    distinct_types: bool = False,
+    keep_results: str = "differing",
+) -> CompareResult:
+    """Compare two analyzers over any source of articles, with any reports (default: the text report). Each report is
+    written under its name, ``report_<name>``. Rows of the source are taken as they are."""
+    wanted = resolve_reports(["text"] if reports is None else reports)
+    options = CompareOptions(
+        old, new, source.path or source.name, output_path, max_records, "text", False, distinct_types, keep_results
+    )
+    return _run(source.articles(spark), options, source.name, reports=wanted)

@@ -148,13 +148,18 @@ def frame_lines(summary: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def write_text_report(compared: DataFrame, summary: DataFrame, path: str) -> None:
-    """One line per row, in part files that follow each other.
+def text_lines(compared: DataFrame, summary: DataFrame) -> DataFrame:
+    """The report, one line per row, in order.
 
-    Records are sorted, then written out as lines: the sort moves no lines, and its
+    Records are sorted, then turned to lines: the sort moves no lines, and its
     sampling pass formats none. Header and summary stand before and behind as parts of
     their own."""
     body = differing(compared).orderBy("seq").select(F.explode(record_lines()).alias("value"))
     head = summary.select(F.explode(header_lines()).alias("value"))
     tail = summary.select(F.explode(summary_lines()).alias("value"))
-    head.union(body).union(tail).write.text(path)
+    return head.union(body).union(tail)
+
+
+def write_text_report(compared: DataFrame, summary: DataFrame, path: str) -> None:
+    """The report as part files that follow each other."""
+    text_lines(compared, summary).write.text(path)

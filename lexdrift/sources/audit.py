@@ -1,14 +1,17 @@
 """Parquet file check: size and magic bytes at both ends, as a distributed job.
 
-A file in a store that Arrow has no driver for is not checked (``valid`` is NULL) and stops no
-job: what Spark's own reader can open is left to that."""
+A file in a store that Arrow has no driver for is judged by what Spark's own reader makes of it: one that it can
+read rows of is valid, one that it skips as corrupt is not. A file there without rows cannot be told from
+a corrupt one, so it is not checked (``valid`` is NULL) and stops no job."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The Parquet magic bytes and the smallest possible file.
@@ -36,9 +39,6 @@ def audit_parquet(spark: SparkSession, path: str | list[str], pattern: str = "*"
     magic, min_length = MAGIC.encode("ascii"), MIN_LENGTH
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-        from urllib.parse import quote
-
         from pyarrow import fs
 
         def reason(location: str, length: int) -> str | None:
@@ -71,7 +71,52 @@ def audit_parquet(spark: SparkSession, path: str | list[str], pattern: str = "*"
                 "reason": reasons,
             })
 
-    return files.mapInPandas(check, AUDIT_SCHEMA)
+    checked = files.mapInPandas(check, AUDIT_SCHEMA)
+    return _judged_by_spark(checked, paths, pattern) if _foreign(paths) else checked
+
+
+def _foreign(paths: list[str]) -> bool:
+    """Whether some path is in a store that Arrow cannot open."""
+    from pyarrow import fs
+
+    def opens(path: str) -> bool:
+        uri = re.sub(r"^s3a?:", "s3:", path)
+        if uri.startswith(("file:", "/")) or ":" not in uri:
+            return True
+        try:
+            fs.FileSystem.from_uri(quote(uri, safe="/:@=,+"))
+            return True
+        except (OSError, ValueError, ImportError, NotImplementedError):
+            return False
+
+    return not all(map(opens, paths))
+
+
+def _judged_by_spark(checked: DataFrame, paths: list[str], pattern: str) -> DataFrame:
+    """``checked`` with what Spark's reader says of the files that were not checked. No column is read: rows are
+    counted from the footers."""
+    rows = (
+        checked.sparkSession.read.schema("none INT")
+        .option("ignoreCorruptFiles", "true")
+        .option("pathGlobFilter", pattern)
+        .option("recursiveFileLookup", "true")
+        .parquet(*paths)
+    )
+    name = F.col("_metadata.file_path")
+    read = rows.groupBy(name.alias("read_path")).count().select(_plain(F.col("read_path")).alias("read_path"))
+    found = checked.join(read, _plain(F.col("path")) == F.col("read_path"), "left")
+    unchecked, seen = F.col("valid").isNull(), F.col("read_path").isNotNull()
+    return found.select(
+        "path",
+        "length",
+        F.when(unchecked & seen, True).otherwise(F.col("valid")).alias("valid"),
+        F.when(unchecked & seen, F.lit(None)).otherwise(F.col("reason")).alias("reason"),
+    )
+
+
+def _plain(path: Column) -> Column:
+    """A path without escapes and with one slash behind its scheme."""
+    return F.regexp_replace(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^([a-z0-9]+:)/+", "$1/")
 
 
 def is_parquet(spark: SparkSession, path: str) -> bool:

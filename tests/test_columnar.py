@@ -3,8 +3,9 @@ from __future__ import annotations
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from lexdrift.sources import audit_parquet, columnar, is_parquet, read_split, require_parquet
+from lexdrift.sources import audit, audit_parquet, columnar, is_parquet, read_split, require_parquet
 
 
 def write(path, ids, texts, type_=pa.string(), **options):
@@ -102,3 +103,15 @@ def test_audit_of_one_path(spark, tmp_path):
     assert not is_parquet(spark, str(tmp_path / "missing.parquet"))
     with pytest.raises(Exception, match="(?i)does not exist|not_found"):
         require_parquet(spark, str(tmp_path / "missing.parquet"))
+
+
+def test_files_of_other_stores_are_judged_by_spark(spark, tmp_path):
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "a b"))
+    (tmp_path / "bad.parquet").write_bytes(b"PAR1 nothing PAR1")
+    found = audit.audit_parquet(spark, str(tmp_path), "*.parquet")
+    unchecked = found.select("path", "length", F.lit(None).cast("boolean").alias("valid"), F.lit("not checked").alias("reason"))
+    rows = audit._judged_by_spark(unchecked, [str(tmp_path)], "*.parquet").collect()
+    assert {(r["path"].endswith("/bad.parquet"), r["valid"], r["reason"]) for r in rows} == {
+        (False, True, None), (True, None, "not checked"),
+    }
+    assert audit._foreign(["viewfs://store/x"]) and not audit._foreign(["/a", "file:/b c", "relative"])
