@@ -366,9 +366,9 @@ def lexicon_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexicon_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same lookup by the way a dictionary too large to broadcast takes."""
+    """The same lookup by the way a dictionary too large for the row takes."""
     pair = _lexicon_pair(spark, sf_dir)
-    rows = attach_lexicon_results(derived.articles(spark, sf_dir), pair, broadcast_bytes=0)
+    rows = attach_lexicon_results(derived.articles(spark, sf_dir), pair)
     return rows.select("id", *record_columns())
 
 

@@ -1,13 +1,11 @@
-"""Dictionary lookup for token streams.
+"""Dictionary lookup for token streams, by shuffle.
 
-A dictionary whose measured size is below ``BROADCAST_BYTES`` is broadcast: articles
-are hash-partitioned by their key once, as compact text, and tokenizing, lookup and
-regrouping all happen inside that partitioning.
-
-A larger dictionary is joined by shuffle. Words are far from evenly frequent, so every
+For dictionaries too large to be looked up in the row (:mod:`lexdrift.operators.row_lexicon`): tokens are rows that
+are joined with the dictionary and regrouped by article. Words are far from evenly frequent, so every
 surface gets as many salts as its share of all tokens asks for: no join key then holds
 more than ``1 / SLICES`` of the tokens, and the dictionary grows by at most ``2 * SLICES``
-rows. The list of salted surfaces has at most ``SLICES`` rows whatever the input.
+rows. The list of salted surfaces has at most ``SLICES`` rows whatever the input. Token rows do not carry
+texts; these are shuffled once, to meet their results.
 """
 
 from __future__ import annotations
@@ -22,11 +20,9 @@ from lexdrift.operators.analyzers import (
     tokenize,
 )
 
-BROADCAST_BYTES = 64 << 20
 #: No join key holds more than about this share of the tokens, or this many of them.
 SLICES = 1_000
 SLICE_ROWS = 50_000_000
-_ENTRY_OVERHEAD = 64
 # More positions than any text has.
 FIELD_SPAN = 1 << 40
 
@@ -51,16 +47,6 @@ def dictionary(analyzers: list[LexiconAnalyzer]) -> DataFrame:
     )
 
 
-def dictionary_bytes(analyzers: list[LexiconAnalyzer]) -> int:
-    """Upper estimate of the dictionary in memory, from one pass over its rows."""
-    total = 0
-    for a in analyzers:
-        size = F.octet_length("surface") + F.octet_length("pos") + _ENTRY_OVERHEAD
-        row = a.lexicon.filter(F.col("version") == a.version).agg(F.sum(size).alias("n")).head()
-        total += row["n"] or 0
-    return total
-
-
 def _field(g: int, slot: int) -> int:
     """Number of a field: slot ``slot`` cut by pattern ``g``."""
     return g * len(SLOTS) + slot
@@ -117,7 +103,6 @@ def lexicon_results(
     articles: DataFrame,
     analyzers: list[tuple[str, LexiconAnalyzer]],
     key: str = "seq",
-    broadcast_bytes: int = BROADCAST_BYTES,
     slices: int = SLICES,
 ) -> DataFrame:
     """``(key, <name>: STRUCT<title, text>, ...)``, one column per analyzer.
@@ -127,10 +112,7 @@ def lexicon_results(
     patterns = list(dict.fromkeys(a.pattern for a in models))
     words = dictionary(models)
     tokens = _token_rows(articles, key, patterns)
-    if dictionary_bytes(models) <= broadcast_bytes:
-        found = tokens.join(F.broadcast(words), "surface", "left")
-    else:
-        found = _salted_lookup(tokens, words, key, slices)
+    found = _salted_lookup(tokens, words, key, slices)
 
     entries = []
     for n, model in enumerate(models):
@@ -171,12 +153,7 @@ def attach_lexicon_results(
     articles: DataFrame,
     analyzers: list[tuple[str, LexiconAnalyzer]],
     key: str = "seq",
-    broadcast_bytes: int = BROADCAST_BYTES,
     slices: int = SLICES,
 ) -> DataFrame:
-    """``articles`` with one result column per analyzer.
-
-    Both sides of the join use the same partitioning by key."""
-    placed = articles.repartition(F.col(key))
-    results = lexicon_results(placed, analyzers, key, broadcast_bytes, slices)
-    return placed.join(results, key)
+    """``articles`` with one result column per analyzer."""
+    return articles.join(lexicon_results(articles, analyzers, key, slices), key)
