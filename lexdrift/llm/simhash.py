@@ -8,6 +8,9 @@ most 2^20 fingerprints can share a block, and these meet chunk by chunk. No grou
 larger than two chunks, no pair is lost and none is emitted: each group returns a
 spanning forest of its links, which keeps every class.
 
+Texts of a given similarity are found by several fingerprints over their word sets, linked in the same way, and
+verified on their shingles (`representatives`).
+
 Defined cases: a null text is empty; a text without words has fingerprint zero and links like
 any other; repeated rows and copies share a fingerprint; documents with null ids are classed
 and a class of them alone has a null id; an empty table gives no rows.
@@ -30,6 +33,9 @@ from lexdrift.llm.components import components
 from lexdrift.plans.workspace import stored
 
 SEED = 42
+#: Fingerprints over word sets by which similar texts are found.
+SETS = 5
+MIXERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9], np.uint64)
 #: Most differing bits of a link; four parts of the bits find it.
 DISTANCE = 3
 PARTS = DISTANCE + 1
@@ -196,16 +202,98 @@ def _classes(prints: DataFrame) -> DataFrame:
     return classed.join(smallest, "component").select("fp", "component", "component_id")
 
 
-def representatives(docs: DataFrame, width: int = 3) -> DataFrame:
-    """One row of each class: the one with the smallest id, null last, and of several rows with that id the one
-    whose text has the smallest fingerprint, then the smallest hash. Rows that agree in id and text are one."""
+def word_set_fingerprints(text: bytes, n: int = SETS) -> list[int]:
+    """Independent SimHashes over the different words of a text, ASCII letters in lower case; zeros without words.
+
+    A changed word changes one of its features, where it changes five of the shingles of five words: texts that
+    share most shingles differ in fewer bits here, and long texts do not become alike by their frequent words."""
+    words = set(text.lower().split())
+    if not words:
+        return [0] * n
+    hashed = np.array(sorted(map(xxhash.xxh64_intdigest, words)), np.uint64)
+    out = []
+    for k in range(n):
+        mixed = (hashed ^ np.uint64(k)) * MIXERS[0]
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * MIXERS[1]
+        mixed ^= mixed >> np.uint64(32)
+        bits = np.unpackbits(mixed.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
+        ones = bits.sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(ones * 2 > len(mixed), bitorder="little").view("<u8")[0]))
+    return out
+
+
+def _set_fingerprints(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, hash, f0, f1, ...) of rows (doc_id, hash, text)."""
+    names = [f"f{k}" for k in range(n)]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = np.array([word_set_fingerprints(t, n) for t in texts_of(batch.column(2))], np.uint64).view(np.int64)
+        columns = [batch.column(0), batch.column(1), *(pa.array(c) for c in found.T)]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "hash", *names])
+
+    schema = ", ".join(f"{c} bigint" for c in ("doc_id", "hash", *names))
+    return per_batch(docs.select(F.col("doc_id").cast("bigint"), "hash", "text"), run, schema)
+
+
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """Hashes of the different word shingles; fewer words are one shingle, none have none."""
+    words = text.lower().split()
+    if not words:
+        return np.empty(0, np.int64)
+    lines = {b" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))}
+    return np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, len(lines)).view(np.int64)
+
+
+def _shingled(texts: DataFrame, width: int) -> DataFrame:
+    """(hash, shingles) of rows (hash, text)."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingles(t, width) for t in texts_of(batch.column(1))]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["hash", "shingles"])
+
+    return per_batch(texts.select("hash", "text"), run, "hash bigint, shingles array<bigint>")
+
+
+def similar_texts(prints: DataFrame, texts: DataFrame, n: int, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) between hashes of different texts that share ``similarity`` of their shingles.
+
+    Candidates come from the pigeonhole blocks of each of ``n`` fingerprints: a text and the one that stands for its
+    fingerprint, and those that stand for two linked ones. All are verified on the texts' shingles."""
+    nodes = prints.drop("doc_id").dropDuplicates(["hash"])
+    pairs = []
+    for k in range(n):
+        fp = F.col(f"f{k}")
+        first = stored(nodes.groupBy(fp.alias("fp")).agg(F.min("hash").alias("first")), "first")
+        pairs.append(nodes.join(first, fp == first["fp"]).select(F.col("hash").alias("a"), F.col("first").alias("b")))
+        linked = links(first.select("fp")).join(first.select(F.col("fp").alias("a"), F.col("first").alias("first a")), "a")
+        linked = linked.join(first.select(F.col("fp").alias("b"), F.col("first").alias("first b")), "b")
+        pairs.append(linked.select(F.col("first a").alias("a"), F.col("first b").alias("b")))
+    ordered = reduce(DataFrame.unionByName, pairs).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = stored(ordered.distinct(), "candidates")
+    ends = found.select(F.col("a").alias("hash")).unionByName(found.select(F.col("b").alias("hash"))).distinct()
+    sets = stored(_shingled(texts.join(ends, "hash", "left_semi").dropDuplicates(["hash"]), width), "shingles")
+    of_a, of_b = (sets.select(F.col("hash").alias(c), F.col("shingles").alias(f"of {c}")) for c in ("a", "b"))
+    met = found.join(of_a, "a").join(of_b, "b")
+    shared = F.size(F.array_intersect("of a", "of b"))
+    total = F.size("of a") + F.size("of b") - shared
+    return met.where((total == 0) | (shared >= similarity * total)).select("a", "b")
+
+
+def representatives(docs: DataFrame, width: int = 5, similarity: float = 0.8, n: int = SETS) -> DataFrame:
+    """One row of each class of near duplicates: texts that share ``similarity`` of their shingles of ``width``
+    words are linked, classes are what links reach. The row with the smallest id stays, null last, and of
+    several rows with that id the one whose text has the smallest hash; rows that agree in id and text are one.
+
+    Texts are told apart by 64-bit hashes. A link is only seen if one of the ``n`` fingerprints of both texts
+    differs in ``DISTANCE`` bits or fewer."""
     # Other columns may be named like the operator's own: they travel as one.
-    docs = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text", F.struct("*").alias("row"))
-    prints = stored(fingerprints(docs, width, ("doc_id", "hash")), "fingerprints")
-    classes = _classes(prints)
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("fp"), F.col("hash"))
-    chosen = prints.join(classes, "fp").groupBy("component").agg(F.min(order).alias("first")).select("first.*")
-    # Copies of a text share no key: a class has one chosen row.
+    docs = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), "text", F.struct("*").alias("row"))
+    prints = stored(_set_fingerprints(docs, n), "fingerprints")
+    linked = stored(similar_texts(prints, docs.select("hash", "text"), n, width, similarity), "similar")
+    found = components(linked).withColumnRenamed("node", "hash")
+    classed = prints.join(found, "hash", "left").withColumn("component", F.coalesce("component", "hash"))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("hash"))
+    chosen = classed.groupBy("component").agg(F.min(order).alias("first")).select("first.*")
     keys = chosen.select(F.col("doc_id").alias("its id"), F.col("hash").alias("its hash"))
-    same = F.col("hash").eqNullSafe(F.col("its hash")) & F.col("doc_id").eqNullSafe(F.col("its id"))
+    same = (F.col("hash") == F.col("its hash")) & F.col("doc_id").eqNullSafe(F.col("its id"))
     return docs.join(keys, same, "left_semi").dropDuplicates(["doc_id", "hash"]).select("row.*")
