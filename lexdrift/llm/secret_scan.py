@@ -52,7 +52,13 @@ MORE_RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abeprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    # With the lines of the key, up to its end line or to where they stop; no part is looked at twice.
+    Rule(
+        "pem",
+        r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:\s++[A-Za-z0-9+/=]{32,}+)*+"
+        r"(?:\s++[A-Za-z0-9+/=]++(?=\s*+-----END))?+(?:\s*+-----END [A-Z ]{0,40}PRIVATE KEY-----)?+",
+        version=2,
+    ),
 )
 
 RULES = BASE_RULES + MORE_RULES
