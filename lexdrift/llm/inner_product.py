@@ -23,12 +23,14 @@ fewer rows, an empty table none.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexdrift.llm.arrow import matrix, per_batch
+from lexdrift.llm.arrow import matrix
 from lexdrift.llm.vectors import ROWS, finite, first_k, meet, ranked, split_of, widened
 from lexdrift.plans.workspace import stored
 
@@ -56,11 +58,15 @@ def quantized(table: DataFrame, scale: int = SCALE) -> DataFrame:
 def rotation(rows: DataFrame, dim: int) -> np.ndarray:
     """The right singular vectors of all rows, from the sum of their outer products."""
 
-    def moments(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = matrix(batch.column(0), dim)
-        return pa.RecordBatch.from_arrays([pa.array([(x.T @ x).ravel()])], names=["m"])
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((dim, dim))
+        for batch in batches:
+            x = matrix(batch.column(0), dim)
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()])], names=["m"])
 
-    parts = per_batch(rows.select("vector"), moments, "m array<double>")
+    # One array of each task.
+    parts = rows.select("vector").mapInArrow(moments, "m array<double>")
     sums = parts.select(F.posexplode("m").alias("place", "m")).groupBy("place").agg(F.sum("m").alias("m")).collect()
     total = np.zeros(dim * dim)
     for row in sums:

@@ -41,6 +41,8 @@ SKETCH = 16
 #: Blocks that are scored at a time.
 STEP = 8
 TEXT_BYTES = 32 << 20
+#: Documents that a task searches.
+TASK_DOCUMENTS = 8192
 
 #: Bytes of text: letters and digits stay, A-Z as a-z, all of UTF-8 above ASCII stays, others part terms.
 FOLD = bytes(b | 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -285,7 +287,9 @@ def _group(docs: DataFrame, rows: list, k: int) -> DataFrame:
     names = spark.createDataFrame(
         [(n, item, of_item[0]["item_id"]) for n, (item, of_item) in enumerate(items.items())], "place bigint, item bigint, item_id bigint"
     )
-    found = _searched(vectors, queries, documents, total, k)
+    # Vectors are small beside their texts: a few files may hold many documents.
+    spread = vectors.repartition(max(1, documents // TASK_DOCUMENTS))
+    found = _searched(spread, queries, documents, total, k)
     order = [F.col("score").desc(), F.col("doc_id").asc_nulls_last()]
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("place").orderBy(*order))).filter(F.col("rank") <= k)
     return ranked.join(F.broadcast(names), "place").select("item_id", "rank", "doc_id", "score", "item")

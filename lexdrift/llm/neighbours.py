@@ -161,11 +161,14 @@ def nearest(table: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     def project(batch: pa.RecordBatch) -> np.ndarray:
         return matrix(batch.column(1), len(turn)) @ turn
 
+    def projections(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(project(batch)))], names=["point"])
+
+    # Of the sample only its projections come to the driver.
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
-    points = sample.collect()
+    points = per_batch(sample, projections, "point array<double>").toArrow()["point"].to_pylist()
     nodes = split_tree(
-        np.array([np.pad(r["vector"], (0, len(turn) - len(r["vector"]))) for r in points]).reshape(-1, len(turn)) @ turn,
-        min(CELLS, max(1, math.ceil(head["n"] / ROWS))),
+        np.array(points, np.float64).reshape(-1, PROJECTIONS), min(CELLS, max(1, math.ceil(head["n"] / ROWS)))
     )
 
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexdrift.llm.arrow import matrix
+from lexdrift.plans.workspace import stored
 
 #: Rows of the table, and queries, that meet in one task at once.
 ROWS, QUERIES = 1024, 4096
@@ -40,7 +41,13 @@ def meet(queries: DataFrame, rows: DataFrame, n_queries: int, function: Callable
     chunks of about QUERIES of them; both sides of a call are bounded."""
     chunks = max(1, math.ceil(n_queries / QUERIES))
     queries = queries.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)))
-    rows = rows.select("block", "vec_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    if chunks > 1:
+        # A row is copied for those chunks only that send a query to its block.
+        queries = stored(queries, "sent")
+        wanted = queries.select("block", F.col("chunk").alias("wanted")).distinct()
+        rows = rows.join(wanted, "block").select("block", "vec_id", "vector", F.col("wanted").alias("chunk"))
+    else:
+        rows = rows.select("block", "vec_id", "vector", F.lit(0).cast("bigint").alias("chunk"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not (left.num_rows and right.num_rows):

@@ -24,6 +24,7 @@ def valid(sf_dir, zero_too):
 @pytest.mark.parametrize("rows_in_block", [1024, 64])
 def test_top_k_is_exact(spark, sf_dir, rows_in_block, monkeypatch):
     monkeypatch.setattr("lexdrift.llm.vectors.ROWS", rows_in_block)
+    monkeypatch.setattr("lexdrift.llm.vectors.QUERIES", 4 * rows_in_block // 64)
     rows = {k: np.floor(256 * v).astype(np.int64) for k, v in valid(sf_dir, True).items()}
     want = {}
     for q in rows:
@@ -57,6 +58,7 @@ def test_large_components_take_part(spark):
 def test_nearest(spark, sf_dir, rows_in_block, monkeypatch):
     monkeypatch.setattr("lexdrift.llm.vectors.ROWS", rows_in_block)
     monkeypatch.setattr("lexdrift.llm.neighbours.ROWS", rows_in_block)
+    monkeypatch.setattr("lexdrift.llm.vectors.QUERIES", 4 * rows_in_block // 64)
     rows = valid(sf_dir, False)
     got = defaultdict(list)
     for r in sorted(queries.op5_neighbours(spark, sf_dir).collect(), key=lambda r: (r["query_id"], r["rank"])):
