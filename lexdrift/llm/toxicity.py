@@ -154,7 +154,7 @@ def train(texts: list[bytes], labels: list[int], prior: float, seed: int = 7) ->
 
 
 def train_bags(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], prior: float, seed: int = 7) -> Model:
-    """The same from texts as buckets and their shares."""
+    """The same from texts as buckets and their shares; the list is used up."""
     share = sum(labels) / len(labels) if labels else 0.0
     prior_logit = math.log(prior / (1 - prior))
     if share in (0.0, 1.0):
@@ -165,9 +165,14 @@ def train_bags(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], pri
     softmax, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
     seen_softmax, seen_bias = np.full((2, DIM), 1e-8, np.float32), np.full(2, 1e-8, np.float32)
     # A bucket that few documents have can only be learned by heart: it stays at zero.
-    common = np.bincount(np.concatenate([b for b, _ in bags]), minlength=BUCKETS) >= LEAST_DOCS
+    holders = np.zeros(BUCKETS, np.int32)
+    for buckets, _ in bags:
+        holders[buckets] += 1
+    common = holders >= LEAST_DOCS
     vectors[~common] = 0
-    bags = [(b[common[b]], s[common[b]]) for b, s in bags]
+    for n, (buckets, shares) in enumerate(bags):  # one by one: the whole ones may be parts of larger arrays
+        held = common[buckets]
+        bags[n] = buckets[held], shares[held]
     order = np.arange(len(bags))
     epochs = min(30, max(6, STEPS // len(bags)))
     for epoch in range(epochs):
@@ -238,14 +243,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = chosen.groupBy("doc_id", "hash", "toxic").agg(F.count("*").alias("times"))
     # Texts become bags where they are: no more than BUCKETS numbers of each come to the driver.
     texts = rows.join(F.broadcast(chosen), ["doc_id", "hash"])
-    found = _bagged(texts).dropDuplicates(["doc_id", "toxic", "hash"]).toArrow().combine_chunks()
-    order = found.sort_by([(c, "ascending") for c in ("doc_id", "toxic", "hash")])
-    bags, labels_of = [], []
-    for buckets, shares, toxic, times in zip(*(order[c] for c in ("buckets", "shares", "toxic", "times"))):
-        bag = buckets.values.to_numpy(), shares.values.to_numpy()
-        bags += [bag] * times.as_py()
-        labels_of += [toxic.as_py()] * times.as_py()
-    return train_bags(bags, labels_of, prior)
+    batches = _bagged(texts).dropDuplicates(["doc_id", "toxic", "hash"]).toArrow().to_batches()
+    rows_of = []
+    while batches:
+        batch = batches.pop()
+        keys = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "hash", "times")))
+        for key, buckets, shares in zip(keys, batch.column("buckets"), batch.column("shares")):
+            rows_of.append((key, (buckets.values.to_numpy(), shares.values.to_numpy())))
+    batch = buckets = shares = None
+    rows_of.sort(key=lambda r: r[0])
+    labels_of = [key[1] for key, _ in rows_of for _ in range(key[3])]
+    bags = [bag for key, bag in rows_of for _ in range(key[3])]
+    rows_of.clear()
+    model = train_bags(bags, labels_of, prior)
+    bags.clear()
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
