@@ -683,6 +683,10 @@ ORACLES = {
         SELECT count(*) AS total_processed, count(*) FILTER (has_difference) AS difference_count,
           coalesce(sum(skipped), 0)::BIGINT AS skipped_count, 0::BIGINT AS failed_count
         FROM twice""",
+    "source_reports": f"""
+        {WITH_COMPARED}
+        SELECT id || ' ' || array_to_string(types, ',') AS line FROM compared WHERE has_difference
+        UNION ALL SELECT 'of ' || count(*) FROM compared""",
     "job_reports": f"""
         {WITH_COMPARED}
         SELECT count(*) FILTER (has_difference) AS text_titles,

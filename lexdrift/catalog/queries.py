@@ -45,9 +45,12 @@ from lexdrift.operators.compare import NO_COST, NO_POS, VERSIONS, facet_differen
 from lexdrift.operators.lattice import UnknownWords, lattice_analyzer
 from lexdrift.operators.lexicon import attach_lexicon_results
 from lexdrift.plans import (
+    ArticleSource,
+    Report,
     body_lines,
     compare_dump,
     compare_parquet,
+    compare_source,
     frame_lines,
     html_rows,
     html_summary,
@@ -624,6 +627,19 @@ def job_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def source_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job over an own source with an own report, read back from its output."""
+    def ids(compared: DataFrame, summary: DataFrame) -> DataFrame:
+        found = differing(compared).orderBy("seq").select(F.concat_ws(" ", "id", F.array_join("diff_types", ",")).alias("value"))
+        return found.union(summary.select(F.concat(F.lit("of "), F.col("total_processed").cast("string")).alias("value")))
+
+    source = ArticleSource("documents", lambda s: derived.articles(s, sf_dir), derived.corpus_path(sf_dir))
+    run = compare_source(
+        spark, source, new_folder(spark, "run"), BASIC_1, BASIC_2, reports=["text", Report("ids", ids)]
+    )
+    return spark.read.text(run.report_paths["ids"]).select(F.col("value").alias("line"))
+
+
 QUERIES = {
     "xml_scan": xml_scan,
     "xml_scan_compressed": xml_scan_compressed,
@@ -678,4 +694,5 @@ QUERIES = {
     "stream_dump_compare": stream_dump_compare,
     "stream_summary": stream_summary,
     "job_reports": job_reports,
+    "source_reports": source_reports,
 }

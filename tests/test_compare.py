@@ -46,7 +46,7 @@ def records(spark, *rows):
     )
 
 
-def one(spark, old, new, title="テスト記事", text="本文テキスト"):
+def one(spark, old, new, title="川の名前", text="山から海へ"):
     return records(spark, (title, text, old, new)).collect()[0]
 
 
@@ -66,7 +66,7 @@ def test_distinct_types(spark):
 
 
 def test_terms_only(spark):
-    assert one(spark, both(term="旧単語"), both(term="新単語"))["diff_types"] == ["term"]
+    assert one(spark, both(term="川"), both(term="河"))["diff_types"] == ["term"]
 
 
 def test_pos_only(spark):

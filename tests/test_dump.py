@@ -51,10 +51,10 @@ def test_compression(read, name, wrap):
 @pytest.mark.parametrize(
     "text, expected",
     [
-        ("文1。\n文2", "文1。文2"),
-        ("文1\n文2", "文1\n文2"),
-        ("\n\n文1。\n文2\n\n      ", "文1。文2"),
-        ("文1<![CDATA[\n文2]]>文3", "文1\n文2文3"),
+        ("朝。\n夜", "朝。夜"),
+        ("朝\n夜", "朝\n夜"),
+        ("\n\n朝。\n夜\n\n      ", "朝。夜"),
+        ("朝<![CDATA[\n夜]]>昼", "朝\n夜昼"),
         ("a\r\nb\rc", "a\nb\nc"),
         ("null", "null"),
         ("", ""),

@@ -58,9 +58,9 @@ def test_ends_at_boundary(column):
 
 
 NORMALIZED = {
-    "文1。\n文2": "文1。文2",
-    "文1\n文2": "文1\n文2",
-    "\n\n  文1。\n文2\n\n      ": "文1。文2",
+    "朝。\n夜": "朝。夜",
+    "朝\n夜": "朝\n夜",
+    "\n\n  朝。\n夜\n\n      ": "朝。夜",
     "a\n  \nb": "a\n\nb",
     "a\n\n\nb": "a\nb",
     "文。\u3000\n文": "文。\u3000文",
@@ -143,8 +143,8 @@ def test_admin_title(column):
 
 
 TITLES = {
-    "テストタイトル\nこれはテスト本文です。": "テストタイトル",
-    "あ" * 150 + "\n本文": "あ" * 100,
+    "川の名前\n山から海へ流れる。": "川の名前",
+    "う" * 130 + "\n続き": "う" * 100,
     "": None,
     "\n_START_ARTICLE_\n T \n_START_PARAGRAPH_\nbody": "T",
     "_START_ARTICLE_\n_START_SECTION_": "_START_ARTICLE_",
