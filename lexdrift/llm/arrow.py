@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +15,14 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def give_back() -> None:
+    """Memory that a task has freed goes back to the system: its process lives on and serves others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def per_batch(df: DataFrame, function: Callable, schema: str | T.StructType) -> DataFrame:
     """`mapInArrow` with a function from one batch to one batch (or None)."""
 
@@ -23,6 +32,7 @@ def per_batch(df: DataFrame, function: Callable, schema: str | T.StructType) ->
                 out = function(batch)
                 if out is not None and out.num_rows:
                     yield out
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from lexdrift.llm.arrow import byte_slices
+from lexdrift.llm.arrow import byte_slices, give_back
 from lexdrift.llm.pieces import Encode, PieceIds, joined, whole_tokenizer
 
 WIDTH = 4096
@@ -37,7 +37,7 @@ END = 2
 SENTENCE, INSIDE, WINDOW = 16, 48, 64
 GRID = 64
 BLOCK = 1 << 20
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
 SENTENCE_ENDS = b".!?"
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -209,5 +209,7 @@ def pack(docs: DataFrame, tokenizer: str, width: int = WIDTH) -> DataFrame:
                             number += len(windows)
         if parts:
             yield _batch(_packed(parts, width, True)[0], number)
+        parts.clear()
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(packed, SCHEMA)

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexdrift.llm.arrow import byte_slices
+from lexdrift.llm.arrow import byte_slices, give_back
 from lexdrift.llm.pieces import Encode, PieceIds, joined, whole_tokenizer
 
 END = 2
@@ -194,7 +194,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str) -> None:
                         ids, doc_ids, starts, sizes = [], [], [], []
         if ids:
             yield row()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     order = [F.col("doc_id").asc_nulls_last(), F.col("by_text"), F.col("by_place")]
     placed = docs.select(

@@ -48,8 +48,10 @@ LEAST_DOCS = 3
 SAMPLE = 2000
 THRESHOLD = 0.3
 EDGES = ".,;:!?\"'()[]"
-CACHE_WORDS = 500_000
-TEXT_BYTES = 8 << 20
+CACHE_WORDS = 200_000
+TEXT_BYTES = 4 << 20
+#: New words whose features are hashed at a time.
+NEW_WORDS = 1 << 14
 #: Of CRC-32, lowest bit first.
 POLYNOMIAL = np.uint32(0xEDB88320)
 
@@ -120,8 +122,10 @@ class Model:
         raw = words.dictionary.to_pylist()
         if len(known) > CACHE_WORDS:
             known.clear()
-        new = {w: c for w in raw if w not in known and (c := w.lower().strip(EDGES))}
-        known.update(zip(new, word_means(list(new.values()), self.weights).tolist()))
+        new = [(w, c) for w in raw if w not in known and (c := w.lower().strip(EDGES))]
+        for low in range(0, len(new), NEW_WORDS):
+            written, cleaned = zip(*new[low : low + NEW_WORDS])
+            known.update(zip(written, word_means(list(cleaned), self.weights).tolist()))
         means = np.array([known.get(w, math.nan) for w in raw])
         value = means[words.indices.to_numpy()]
         held = ~np.isnan(value)
