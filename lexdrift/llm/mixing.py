@@ -283,14 +283,11 @@ def cut_words(body: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def mixed_texts(mixed: Mix, text: str = "text") -> DataFrame:
     """The documents as mixed: for each pass over its source a row with the words taken then, as they are
-    written; with the columns of ``mixed.rows``. Rows are in the order of the first slot that takes them, so
-    sources alternate and the passes over a document lie apart."""
+    written; with the columns of ``mixed.rows``."""
     drawn = mixed.parts.groupBy("key", "at", "pass").agg(
-        F.array_sort(F.collect_list(F.struct("start", "words"))).alias("drawn"),
-        F.min(F.struct("shard", "slot")).alias("first slot"),
+        F.array_sort(F.collect_list(F.struct("start", "words"))).alias("drawn")
     )
     rows = mixed.rows.where("size > 0").join(drawn.hint("merge"), ["key", "at"])
-    rows = rows.repartitionByRange("first slot").sortWithinPartitions("first slot")
     # Starts and numbers of words travel as two lists beside the text.
     rows = rows.withColumn("starts", F.col("drawn.start")).withColumn("counts", F.col("drawn.words"))
     columns = mixed.rows.columns
