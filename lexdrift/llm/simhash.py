@@ -264,12 +264,13 @@ def similar_texts(prints: DataFrame, texts: DataFrame, n: int, width: int, simil
     for k in range(n):
         fp = F.col(f"f{k}")
         first = stored(nodes.groupBy(fp.alias("fp")).agg(F.min("hash").alias("first")), "first")
-        pairs.append(nodes.join(first, fp == first["fp"]).select(F.col("hash").alias("a"), F.col("first").alias("b")))
+        star = nodes.join(first, fp == first["fp"]).select(F.col("hash").alias("a"), F.col("first").alias("b"))
         linked = links(first.select("fp")).join(first.select(F.col("fp").alias("a"), F.col("first").alias("first a")), "a")
         linked = linked.join(first.select(F.col("fp").alias("b"), F.col("first").alias("first b")), "b")
-        pairs.append(linked.select(F.col("first a").alias("a"), F.col("first b").alias("b")))
-    ordered = reduce(DataFrame.unionByName, pairs).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    found = stored(ordered.distinct(), "candidates")
+        both = star.unionByName(linked.select(F.col("first a").alias("a"), F.col("first b").alias("b"))).where("a <> b")
+        # Written one by one: a plan of all together is large for the driver.
+        pairs.append(stored(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "pairs"))
+    found = stored(reduce(DataFrame.unionByName, pairs).distinct(), "candidates")
     ends = found.select(F.col("a").alias("hash")).unionByName(found.select(F.col("b").alias("hash"))).distinct()
     sets = stored(_shingled(texts.join(ends, "hash", "left_semi").dropDuplicates(["hash"]), width), "shingles")
     of_a, of_b = (sets.select(F.col("hash").alias(c), F.col("shingles").alias(f"of {c}")) for c in ("a", "b"))

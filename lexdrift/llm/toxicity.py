@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexdrift.llm.arrow import byte_slices, per_batch, texts_of
+from lexdrift.llm.arrow import byte_slices, give_back, per_batch, texts_of
 from lexdrift.plans.workspace import stored
 
 BUCKETS = 1 << 17
@@ -261,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rows_of.clear()
     model = train_bags(bags, labels_of, prior)
     bags.clear()
-    pa.default_memory_pool().release_unused()
+    give_back()
     return model
 
 
