@@ -9,7 +9,8 @@ larger than two chunks, no pair is lost and none is emitted: each group returns
 spanning forest of its links, which keeps every class.
 
 Texts of a given similarity are found by several fingerprints over their word sets, linked in the same way, and
-verified on their shingles (`representatives`).
+verified on their shingles, and the links that no fingerprint shows by the first of their shingles in an order of
+all (`representatives`).
 
 Defined cases: a null text is empty; a text without words has fingerprint zero and links like
 any other; repeated rows and copies share a fingerprint; documents with null ids are classed
@@ -18,6 +19,7 @@ and a class of them alone has a null id; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -42,6 +44,8 @@ PARTS = DISTANCE + 1
 #: Different fingerprints of one block that one task compares at once.
 BLOCK = 512
 CUTS = 4
+#: Shingles at most that are told to be seen often.
+OFTEN = 100_000
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -255,10 +259,12 @@ def _shingled(texts: DataFrame, width: int) -> DataFrame:
 
 
 def similar_texts(prints: DataFrame, texts: DataFrame, n: int, width: int, similarity: float) -> DataFrame:
-    """Links (a, b) between hashes of different texts that share ``similarity`` of their shingles.
+    """Links (a, b) between hashes of different texts that share ``similarity`` of their shingles; what they reach is
+    what all such pairs reach.
 
     Candidates come from the pigeonhole blocks of each of ``n`` fingerprints: a text and the one that stands for its
-    fingerprint, and those that stand for two linked ones. All are verified on the texts' shingles."""
+    fingerprint, and those that stand for two linked ones. All are verified on the texts' shingles. Pairs that this
+    leaves in different classes meet by their shingles (`_left_over`), so that none is lost."""
     nodes = prints.drop("doc_id").dropDuplicates(["hash"])
     pairs = []
     for k in range(n):
@@ -271,6 +277,12 @@ def similar_texts(prints: DataFrame, texts: DataFrame, n: int, width: int, simil
         # Written one by one: a plan of all together is large for the driver.
         pairs.append(stored(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "pairs"))
     found = stored(reduce(DataFrame.unionByName, pairs).distinct(), "candidates")
+    seen = stored(_verified(found, texts, width, similarity), "seen")
+    return seen.unionByName(_left_over(seen, texts, width, similarity))
+
+
+def _verified(found: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of a stored table whose texts share ``similarity`` of their shingles."""
     ends = found.select(F.col("a").alias("hash")).unionByName(found.select(F.col("b").alias("hash"))).distinct()
     sets = stored(_shingled(texts.join(ends, "hash", "left_semi").dropDuplicates(["hash"]), width), "shingles")
     of_a, of_b = (sets.select(F.col("hash").alias(c), F.col("shingles").alias(f"of {c}")) for c in ("a", "b"))
@@ -280,13 +292,112 @@ def similar_texts(prints: DataFrame, texts: DataFrame, n: int, width: int, simil
     return met.where((total == 0) | (shared >= similarity * total)).select("a", "b")
 
 
+def _left_over(seen: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The links between the classes of ``seen``.
+
+    In any order of all shingles, two sets that share ``similarity`` of their shingles have one in common among the
+    first ``1 - similarity`` of each. The order is that of the hashes, often seen shingles last, so that few sets
+    meet without being alike. Equal sets are linked to one of them, which meets the others."""
+    often = _often_seen(texts, width)
+    classes = components(seen).select(F.col("node").alias("hash"), "component")
+    firsts = _firsts(texts.dropDuplicates(["hash"]), width, similarity, often)
+    firsts = stored(firsts, "first shingles")
+    same = firsts.where("place = 0").groupBy("whole").agg(F.min("hash").alias("first"), F.count("*").alias("n"))
+    same = stored(same.where("n > 1"), "same")
+    star = firsts.where("place = 0").join(same, "whole").where("hash <> first").select(
+        F.col("hash").alias("a"), F.col("first").alias("b")
+    )
+    rows = firsts.join(same.select("whole", "first"), "whole", "left").where("first is null or first = hash").drop("first")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    rows = rows.join(sizes, "key").join(classes, "hash", "left")
+    rows = rows.select("key", "hash", F.coalesce("component", "hash").alias("component"), "size", "place", "n")
+    rows = stored(rows, "meeting")
+    chunks = F.ceil(F.col("n") / BLOCK)
+    parted = rows.withColumn("own", F.pmod(F.xxhash64("hash"), chunks))
+    parted = parted.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)))
+    meeting = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    names = ["meeting", "key", "hash", "component", "size", "place"]
+    groups = parted.withColumn("meeting", meeting).select(*names).repartition("meeting", "key")
+    pairs = groups.sortWithinPartitions("meeting", "key").mapInArrow(_meeting(similarity), "a bigint, b bigint")
+    found = stored(pairs.distinct(), "left over")
+    return star.unionByName(_verified(found, texts, width, similarity))
+
+
+def _often_seen(texts: DataFrame, width: int) -> np.ndarray:
+    """Shingles that many texts of a part of all share. They only order shingles: no link depends on them."""
+    some = _shingled(texts.where(F.pmod("hash", F.lit(16)) == 0), width).select(F.explode("shingles").alias("key"))
+    often = some.groupBy("key").agg(F.count("*").alias("n")).where("n > 4").orderBy(F.desc("n"), "key").limit(OFTEN)
+    return np.sort(np.array([r["key"] for r in often.select("key").collect()], np.int64))
+
+
+def _firsts(texts: DataFrame, width: int, similarity: float, often: np.ndarray) -> DataFrame:
+    """(key, hash, size, place, whole) of the first shingles of each text: those of which one is shared by any
+    text as similar. ``whole`` stands for the set; texts without words have one row with the size 0."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        parts = []
+        for node, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
+            keys = np.sort(shingles(text, width))
+            size = len(keys)
+            whole = xxhash.xxh64_intdigest(keys.tobytes(), SEED) - (1 << 63)
+            if len(often) and size:
+                last = often[np.minimum(np.searchsorted(often, keys), len(often) - 1)] == keys
+                keys = np.concatenate([keys[~last], keys[last]])
+            keys = keys[: size - math.ceil(similarity * size - 1e-9) + 1] if size else np.zeros(1, np.int64)
+            part = np.empty((5, len(keys)), np.int64)
+            part[0], part[1], part[2], part[3], part[4] = keys, node, size, np.arange(len(keys)), whole
+            parts.append(part)
+        columns = np.concatenate(parts, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "hash", "size", "place", "whole"])
+
+    schema = ", ".join(f"{c} bigint" for c in ("key", "hash", "size", "place", "whole"))
+    return per_batch(texts.select("hash", "text"), run, schema)
+
+
+def _meeting(similarity: float):
+    """Pairs of different classes within the runs of equal (meeting, key) in sorted rows that may be similar
+    by their sizes and by the places of the key; a run may span batches."""
+
+    def pairs_of(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node, component, size, place = rows[2:]
+        for k in range(len(node) - 1):
+            other = slice(k + 1, None)
+            most = np.minimum(place[k], place[other]) + np.minimum(size[k] - place[k], size[other] - place[other])
+            near = (component[k] != component[other]) & (node[k] != node[other])
+            near &= most * (1 + similarity) >= similarity * (size[k] + size[other]) - 1e-6
+            found = node[other][near]
+            if len(found):
+                yield np.stack([np.minimum(found, node[k]), np.maximum(found, node[k])])
+
+    def out(found: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(found, axis=1)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, found, held = np.zeros((6, 0), np.int64), [], 0
+        for last, batch in _with_last(batches):
+            rows = rest if batch is None else np.concatenate([rest, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
+            new = np.flatnonzero((np.diff(rows[:2], axis=1) != 0).any(axis=0)) + 1
+            bounds = np.concatenate([[0], new, [rows.shape[1]] if last else []]).astype(np.int64)
+            rest = rows[:, bounds[-1] :]
+            for k in np.flatnonzero(np.diff(bounds) > 1):
+                for some in pairs_of(rows[:, bounds[k] : bounds[k + 1]]):
+                    found.append(some)
+                    held += some.shape[1]
+                    if held >= 1 << 16:
+                        yield out(found)
+                        found, held = [], 0
+        if found:
+            yield out(found)
+
+    return run
+
+
 def representatives(docs: DataFrame, width: int = 5, similarity: float = 0.8, n: int = SETS) -> DataFrame:
     """One row of each class of near duplicates: texts that share ``similarity`` of their shingles of ``width``
     words are linked, classes are what links reach. The row with the smallest id stays, null last, and of
     several rows with that id the one whose text has the smallest hash; rows that agree in id and text are one.
 
-    Texts are told apart by 64-bit hashes. A link is only seen if one of the ``n`` fingerprints of both texts
-    differs in ``DISTANCE`` bits or fewer."""
+    Texts are told apart by 64-bit hashes."""
     # Other columns may be named like the operator's own: they travel as one.
     docs = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), "text", F.struct("*").alias("row"))
     prints = stored(_set_fingerprints(docs, n), "fingerprints")

@@ -135,3 +135,24 @@ def test_recall_of_near_copies(spark, share, least):
         a, b = (simhash.word_set_fingerprints(t.encode()) for t in (one, other))
         found += any((x ^ y).bit_count() <= simhash.DISTANCE for x, y in zip(a, b))
     assert len(pairs) > 40 and found / len(pairs) >= least
+
+
+def test_links_that_no_fingerprint_shows(spark):
+    """Copies at 0.8 and more whose fingerprints all differ in more bits, and copies that meet only one that is not alike."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(3000)]
+    rows, pairs = [], 0
+    while pairs < 6:
+        one = [rng.choice(words) for _ in range(rng.randrange(40, 120))]
+        other = list(one)
+        for at in rng.sample(range(len(one)), max(1, len(one) // 50)):
+            other[at] = rng.choice(words)
+        texts = " ".join(one), " ".join(other)
+        a, b = map(shingle_sets, texts)
+        x, y = (simhash.word_set_fingerprints(t.encode()) for t in texts)
+        if len(a & b) >= 0.8 * len(a | b) and all((p ^ q).bit_count() > simhash.DISTANCE for p, q in zip(x, y)):
+            rows += [(2 * pairs, texts[0]), (2 * pairs + 1, texts[1])]
+            pairs += 1
+    rows += [(100, " ".join(words[:30])), (101, "  ".join(words[:30])), (102, " \n"), (103, "")]
+    got = simhash.representatives(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(r["doc_id"] for r in got) == [*range(0, 2 * pairs, 2), 100, 102]
