@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexdrift import BASIC_1, BASIC_2, compare_dump
+from lexdrift.catalog import derived, queries
 from lexdrift.sources import dump, inflate, survey
 from lexdrift.sources.ranges import Source, bzip2_pieces, mark_places
 
@@ -255,3 +256,28 @@ def test_another_page_tag(spark, tmp_path):
     (tmp_path / "d.xml").write_text(text)
     found = survey.survey_pages(spark, str(tmp_path), page_tag="mw:page", span=300)
     assert survey.read_surveyed(found, page_tag="mw:page").count() == 50
+
+
+def test_packed_dumps_are_written_in_bounded_files(spark, tmp_path, monkeypatch):
+    """No task writes or reads all pages, and the files follow each other."""
+    monkeypatch.setattr(derived, "PACKED_BYTES", 20_000)
+    rows = [(n, f"Title {n}\n" + "word " * 40, "en", "src1") for n in range(1000)]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    documents.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for codec, engine in (("gzip", gzip), ("bzip2", bz2)):
+        path = derived.write_packed_dump(spark, str(tmp_path), codec)
+        files = sorted(r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect())
+        texts = [engine.open(f.removeprefix("file:")).read() for f in files]
+        assert len(files) > 5 and max(map(len, texts)) < sum(map(len, texts)) / 4
+        assert re.findall(rb"<title>Title (\d+)<", b"".join(texts)) == [b"%d" % n for n in range(1000)]
+    assert queries.gzip_ranges(spark, str(tmp_path)).count() == 1000
+    limited = queries.limit_in_file(spark, str(tmp_path))
+    assert sorted(int(r["id"]) for r in limited.collect()) == list(range(queries.LIMIT))
+
+
+def test_gzip_files_are_looked_through_by_tasks_of_their_own(spark, tmp_path):
+    for n in range(12):
+        (tmp_path / f"{n}.gz").write_bytes(gzip.compress(made(n, 3).encode()))
+    files = survey.list_files(spark, str(tmp_path))
+    tasks = survey._gzip_files(files, 1000).select(F.spark_partition_id().alias("p"), "file").distinct().groupBy("p").count()
+    assert [r["count"] for r in tasks.collect()] == [1] * 12
