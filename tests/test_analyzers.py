@@ -274,3 +274,27 @@ def test_python_analyzer_on_more_rows_than_one_frame(spark):
     got = by_n(compare(articles(spark, rows), BASIC_1, PythonAnalyzer("p", failing_on("bad"))))
     assert [r["error"] is not None for r in got] == [n % 50 == 0 for n in range(3000)]
     assert all(r["new"]["text"]["terms"] == [f"a{n}", "b"] for n, r in enumerate(got) if n % 50)
+
+
+def test_lookup_holds_a_slice_of_a_batch(spark, monkeypatch):
+    """A batch of many tokens is looked up, and given out, slice by slice."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lexdrift.operators import row_lexicon
+    from lexdrift.operators.trie import build, packed_strings
+
+    monkeypatch.setattr(row_lexicon, "SLICE_TOKENS", 1000)
+    data, offsets = packed_strings(["known", "unknown"])
+    arrays = {**build(["a", "b"]), "cost0": np.array([1, 2, 9], "<i8").view("<i4"), "pos0": np.array([0, 0, 1], np.int32)}
+    arrays |= {"names0": data, "offsets0": offsets}
+    arrays = {k: memoryview(np.ascontiguousarray(v, "<i4").tobytes()).cast("i") for k, v in arrays.items()}
+    titles = [None, ["a"], []] * 20
+    texts = [["a", "b", "c"] * (n * 10) for n in range(60)]
+    batch = pa.array(titles, pa.list_(pa.string())), pa.array(texts, pa.list_(pa.string()))
+    got = list(row_lexicon.looked_up_slices(arrays, {"old": 0}, iter([batch])))
+    rows = [r["old"] for part in got for r in part.to_pylist()]
+    assert [r["text_cost"] for r in rows] == [12 * n * 10 for n in range(60)]
+    assert [r["title_cost"] for r in rows] == [0, 1, 0] * 20
+    assert rows[1]["text_pos"] == ["known", "known", "unknown"] * 10
+    assert len(got) > 20 and max(sum(len(r["old"]["text_pos"]) for r in part.to_pylist()) for part in got) <= 1000 + 3 * 590
