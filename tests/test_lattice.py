@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from lexdrift.operators import BASIC_1, UnknownWords, compare, lattice_analyzer, register, resolve
 from lexdrift.operators import trie as trie_module
-from lexdrift.operators.lattice import Segmenter, lattice_arrays
+from lexdrift.operators.lattice import BatchSegmenter, Segmenter, lattice_arrays
 from lexdrift.operators.trie import Trie, build, map_arrays, write_arrays
 
 from test_analyzers import articles, by_n, plain
@@ -140,3 +140,29 @@ def test_tables_out_of_bounds_are_refused(spark, tables, monkeypatch):
     monkeypatch.setattr(trie_module, "TABLE_BYTES", 5)
     with pytest.raises(ValueError, match="bytes"):
         lattice_analyzer("large", dictionary, links)
+
+
+@pytest.mark.parametrize("letters", [1024, 5])
+@pytest.mark.parametrize("unknown", [UNKNOWN, UnknownWords("z", -4, -2, 0, 2), UnknownWords("?", 1 << 40, 1 << 30, 1, 1)])
+def test_runs_segmented_together_equal_single_ones(tables, tmp_path, monkeypatch, unknown, letters):
+    """Texts of a batch share their runs, which are segmented as arrays; costs, words and ties are those of each alone."""
+    monkeypatch.setattr("lexdrift.operators.lattice.RUN_LETTERS", letters)
+    monkeypatch.setattr("lexdrift.operators.lattice.LETTERS", 300)
+    arrays = mapped(lattice_arrays(*tables), tmp_path)
+    one, many = Segmenter(arrays, unknown), BatchSegmenter(arrays, unknown)
+    rng = random.Random(4)
+    runs = ["".join(rng.choice("abcabcé中\U0001f600x12.") for _ in range(rng.randint(1, 14))) for _ in range(400)]
+    texts = [" ".join(rng.choice(runs) for _ in range(rng.randrange(30))) for _ in range(80)] + [None, "", " \n", "ab" * 900]
+    many.segment, alone, calls = lambda run: calls.append(run) or alone(run), many.segment, []
+    cost, terms, pos = (column.to_pylist() for column in many.results(texts))
+    for k, text in enumerate(texts):
+        words = list(one(text or ""))
+        assert (cost[k], terms[k], pos[k]) == (sum(w[2] for w in words), [w[0] for w in words], [w[1] for w in words])
+    if letters == 1024 and unknown.cost < 1 << 40:
+        assert calls == ["ab" * 900]  # nothing else goes letter by letter in Python
+
+
+def test_a_record_beyond_64_bits_fails_alone(spark, tables):
+    analyzer = lattice_analyzer("huge", *tables, UnknownWords(cost=1 << 62))
+    got = by_n(compare(articles(spark, [("a", "zq zq"), ("a", "zq"), ("", "ab")]), BASIC_1, analyzer))
+    assert [r["error"] is None for r in got] == [False, True, True]
