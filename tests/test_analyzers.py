@@ -298,3 +298,25 @@ def test_lookup_holds_a_slice_of_a_batch(spark, monkeypatch):
     assert [r["title_cost"] for r in rows] == [0, 1, 0] * 20
     assert rows[1]["text_pos"] == ["known", "known", "unknown"] * 10
     assert len(got) > 20 and max(sum(len(r["old"]["text_pos"]) for r in part.to_pylist()) for part in got) <= 1000 + 3 * 590
+
+
+def test_words_are_looked_up_once_for_a_block(spark, corpus, monkeypatch):
+    """Rows that meet the dictionary: the words of each block, however often they occur; blocks change no result."""
+    rows, entries, lexicon = corpus
+    old = LexiconAnalyzer("o", r"\w+", lexicon, "old", "unk", 50)
+    met, lookup = [], lexicon_module._salted_lookup
+    monkeypatch.setattr(lexicon_module, "_salted_lookup", lambda tokens, *a: met.append(tokens.count()) or lookup(tokens, *a))
+    want = brute_force(rows, entries["old"], r"\w+", ("unk", 50))
+    for block in (1 << 20, 500):
+        monkeypatch.setattr(lexicon_module, "BLOCK_BYTES", block)
+        got = by_n(attach_lexicon_results(articles(spark, rows), [("old", old)]))
+        assert [(plain(r["old"]["title"]), plain(r["old"]["text"])) for r in got] == want
+        assert met.pop() < sum(len(re.findall(r"\w+", t or "")) for pair in rows for t in pair) / 2
+
+
+def test_shuffled_costs_beyond_64_bits_are_null(spark):
+    flat = [("old", "a", "x", 1 << 62), ("old", "b", "x", -(1 << 62))]
+    lexicon = spark.createDataFrame(flat, "version string, surface string, pos string, cost bigint")
+    old = LexiconAnalyzer("o", r"\w", lexicon, "old", "unk", 1)
+    got = by_n(attach_lexicon_results(articles(spark, [("a b a", "a a b"), ("a", "c")]), [("old", old)]))
+    assert [(r["old"]["title"]["total_cost"], r["old"]["text"]["total_cost"]) for r in got] == [(1 << 62, None), (1 << 62, 1)]
