@@ -318,8 +318,10 @@ def _left_over(seen: DataFrame, texts: DataFrame, width: int, similarity: float)
     meeting = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
     names = ["meeting", "key", "hash", "component", "size", "place"]
     groups = parted.withColumn("meeting", meeting).select(*names).repartition("meeting", "key")
-    pairs = groups.sortWithinPartitions("meeting", "key").mapInArrow(_meeting(similarity), "a bigint, b bigint")
-    found = stored(pairs.distinct(), "left over")
+    pairs = groups.sortWithinPartitions("meeting", "key").mapInArrow(_meeting(similarity), "a bigint, b bigint, wanted bigint")
+    # What two sets share beyond their first shingles is at most the rest of one: the others must be among the first.
+    found = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("wanted").alias("wanted"))
+    found = stored(found.where("n >= wanted").select("a", "b"), "left over")
     return star.unionByName(_verified(found, texts, width, similarity))
 
 
@@ -356,7 +358,7 @@ def _firsts(texts: DataFrame, width: int, similarity: float, often: np.ndarray)
 
 def _meeting(similarity: float):
     """Pairs of different classes within the runs of equal (meeting, key) in sorted rows that may be similar
-    by their sizes and by the places of the key; a run may span batches."""
+    by their sizes and by the places of the key, and how many keys they must share; a run may span batches."""
 
     def pairs_of(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         node, component, size, place = rows[2:]
@@ -367,10 +369,13 @@ def _meeting(similarity: float):
             near &= most * (1 + similarity) >= similarity * (size[k] + size[other]) - 1e-6
             found = node[other][near]
             if len(found):
-                yield np.stack([np.minimum(found, node[k]), np.maximum(found, node[k])])
+                sizes = size[other][near]
+                wanted = np.ceil(similarity / (1 + similarity) * (sizes + size[k]) - 1e-6)
+                rest = np.ceil(similarity * np.maximum(sizes, size[k])) - 1
+                yield np.stack([np.minimum(found, node[k]), np.maximum(found, node[k]), (wanted - rest).astype(np.int64)])
 
     def out(found: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(found, axis=1)], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(found, axis=1)], names=["a", "b", "wanted"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest, found, held = np.zeros((6, 0), np.int64), [], 0
