@@ -44,6 +44,11 @@ PARTS = DISTANCE + 1
 #: Different fingerprints of one block that one task compares at once.
 BLOCK = 512
 CUTS = 4
+#: First shingles that similar sets must share, if they are large enough for so many.
+SHARED = 3
+#: Sets with a shingle beyond which these meet its central ones first, and how many of these there are.
+CROWD = 64
+CENTRES = 4
 #: Shingles at most that are told to be seen often.
 OFTEN = 100_000
 
@@ -295,11 +300,11 @@ def _verified(found: DataFrame, texts: DataFrame, width: int, similarity: float)
 def _left_over(seen: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """The links between the classes of ``seen``.
 
-    In any order of all shingles, two sets that share ``similarity`` of their shingles have one in common among the
-    first ``1 - similarity`` of each. The order is that of the hashes, often seen shingles last, so that few sets
-    meet without being alike. Equal sets are linked to one of them, which meets the others."""
+    In any order of all shingles, two sets that share ``similarity`` of their shingles have some in common among the
+    first of each. The order is that of the hashes, often seen shingles last, so that few sets meet without being
+    alike. Equal sets are linked to one of them, which meets the others. Where many share a shingle, they first meet
+    few central ones: most copies of a text are then of one class, and what is of one class is not paired any more."""
     often = _often_seen(texts, width)
-    classes = components(seen).select(F.col("node").alias("hash"), "component")
     firsts = _firsts(texts.dropDuplicates(["hash"]), width, similarity, often)
     firsts = stored(firsts, "first shingles")
     same = firsts.where("place = 0").groupBy("whole").agg(F.min("hash").alias("first"), F.count("*").alias("n"))
@@ -308,21 +313,67 @@ def _left_over(seen: DataFrame, texts: DataFrame, width: int, similarity: float)
         F.col("hash").alias("a"), F.col("first").alias("b")
     )
     rows = firsts.join(same.select("whole", "first"), "whole", "left").where("first is null or first = hash").drop("first")
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(sizes, "key").join(classes, "hash", "left")
-    rows = rows.select("key", "hash", F.coalesce("component", "hash").alias("component"), "size", "place", "n")
-    rows = stored(rows, "meeting")
-    chunks = F.ceil(F.col("n") / BLOCK)
-    parted = rows.withColumn("own", F.pmod(F.xxhash64("hash"), chunks))
-    parted = parted.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)))
+    rows = stored(_may_meet(rows, similarity), "meeting")
+    seen = seen.unionByName(star)
+    central = stored(_central(_with_class(rows.where(F.col("n") > CROWD), seen), similarity), "central")
+    central = stored(_verified(central, texts, width, similarity), "links to central")
+    found = stored(_met(_with_class(rows, seen.unionByName(central)), similarity), "left over")
+    return star.unionByName(central).unionByName(_verified(found, texts, width, similarity))
+
+
+def _may_meet(rows: DataFrame, similarity: float) -> DataFrame:
+    """(key, hash, size, place, n) of the rows in which a set can meet a similar one: see `_meeting`. The smallest set
+    with the key is the one that could be met at the last place; ``n`` counts the key's rows before."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("size").alias("least")).where("n > 1")
+    other = F.greatest("least", similarity * F.col("size"))
+    needed = F.ceil(similarity / (1 + similarity) * (F.col("size") + other) - 1e-6)
+    rows = rows.join(sizes, "key").where(F.col("place") < F.col("size") - needed + SHARED)
+    return rows.select("key", "hash", "size", "place", "n")
+
+
+def _with_class(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` (hash, ...) with the component that ``links`` give, their own hash without one."""
+    classes = components(links).select(F.col("node").alias("hash"), "component")
+    return rows.join(classes, "hash", "left").withColumn("component", F.coalesce("component", "hash"))
+
+
+def _central(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different classes: a set, and those of its keys' sets that have the fewest other keys before, one
+    in each part of a key's sets. Few pairs for each row, however many sets have the key."""
+    rows = stored(rows, "classed")
+    part = F.pmod(F.xxhash64("hash"), F.lit(CENTRES)).alias("part")
+    best = rows.groupBy("key", part).agg(F.min(F.struct("place", "hash", "component", "size")).alias("best"))
+    best = best.groupBy("key").agg(F.collect_list("best").alias("best"))
+
+    def near(c: Column) -> Column:
+        place, size = F.col("place"), F.col("size")
+        most = F.least(place, c["place"]) + F.least(size - place, c["size"] - c["place"])
+        return (c["component"] != F.col("component")) & (most * (1 + similarity) >= similarity * (size + c["size"]) - 1e-6)
+
+    met = rows.join(best, "key").select("hash", F.explode(F.filter("best", near)["hash"]).alias("other"))
+    return met.select(F.least("hash", "other").alias("a"), F.greatest("hash", "other").alias("b")).distinct()
+
+
+def _met(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different classes that share enough of their first shingles.
+
+    Sets with the same key meet chunk by chunk; those of the key's largest class only meet the others."""
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key")
+    sizes = sizes.agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("main")).where("n > main.n")
+    rows = rows.drop("n").join(sizes, "key")
+    main, few = F.col("component") == F.col("main.component"), F.col("n") <= BLOCK
+    mains, others = F.ceil(F.col("main.n") / BLOCK), F.ceil((F.col("n") - F.col("main.n")) / BLOCK)
+    turn, zero = F.xxhash64("hash"), F.lit(0).cast("bigint")
+    own = F.when(few, zero).when(main, others + F.pmod(turn, mains)).otherwise(F.pmod(turn, others))
+    last = F.when(few, zero).when(main, others - 1).otherwise(others + mains - 1)
+    parted = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(zero, last)))
     meeting = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    names = ["meeting", "key", "hash", "component", "size", "place"]
-    groups = parted.withColumn("meeting", meeting).select(*names).repartition("meeting", "key")
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("bigint")
+    names = ["meeting", "key", "hash", "component", "size", "place", "side"]
+    groups = parted.withColumn("meeting", meeting).withColumn("side", side).select(*names).repartition("meeting", "key")
     pairs = groups.sortWithinPartitions("meeting", "key").mapInArrow(_meeting(similarity), "a bigint, b bigint, wanted bigint")
-    # What two sets share beyond their first shingles is at most the rest of one: the others must be among the first.
     found = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("wanted").alias("wanted"))
-    found = stored(found.where("n >= wanted").select("a", "b"), "left over")
-    return star.unionByName(_verified(found, texts, width, similarity))
+    return found.where("n >= wanted").select("a", "b")
 
 
 def _often_seen(texts: DataFrame, width: int) -> np.ndarray:
@@ -358,27 +409,32 @@ def _firsts(texts: DataFrame, width: int, similarity: float, often: np.ndarray)
 
 def _meeting(similarity: float):
     """Pairs of different classes within the runs of equal (meeting, key) in sorted rows that may be similar
-    by their sizes and by the places of the key, and how many keys they must share; a run may span batches."""
+    by their sizes and by the places of the key, and how many keys they must share; a run may span batches.
+
+    Of the shingles that two similar sets share, ``needed`` at least, the first k have ``needed - k`` more behind them
+    in both sets: only places that leave so many count, and k such places there must be."""
 
-    def pairs_of(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        node, component, size, place = rows[2:]
+    def pairs_of(rows: np.ndarray) -> Iterator[np.ndarray]:
+        node, component, size, place, side = rows[2:]
         for k in range(len(node) - 1):
             other = slice(k + 1, None)
-            most = np.minimum(place[k], place[other]) + np.minimum(size[k] - place[k], size[other] - place[other])
-            near = (component[k] != component[other]) & (node[k] != node[other])
-            near &= most * (1 + similarity) >= similarity * (size[k] + size[other]) - 1e-6
+            near = (component[k] != component[other]) & ((side[k] == 0) | (side[k] != side[other]))
+            if not near.any():
+                continue
+            sizes, places = size[other], place[other]
+            needed = np.ceil(similarity / (1 + similarity) * (size[k] + sizes) - 1e-6)
+            wanted = np.minimum(needed - np.ceil(similarity * np.maximum(size[k], sizes) - 1e-6) + 1, SHARED)
+            most = np.minimum(place[k], places) + np.minimum(size[k] - place[k], sizes - places)
+            near &= (most >= needed) & (np.maximum(place[k] - size[k], places - sizes) < wanted - needed)
             found = node[other][near]
             if len(found):
-                sizes = size[other][near]
-                wanted = np.ceil(similarity / (1 + similarity) * (sizes + size[k]) - 1e-6)
-                rest = np.ceil(similarity * np.maximum(sizes, size[k])) - 1
-                yield np.stack([np.minimum(found, node[k]), np.maximum(found, node[k]), (wanted - rest).astype(np.int64)])
+                yield np.stack([np.minimum(found, node[k]), np.maximum(found, node[k]), wanted[near].astype(np.int64)])
 
     def out(found: list[np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(found, axis=1)], names=["a", "b", "wanted"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, found, held = np.zeros((6, 0), np.int64), [], 0
+        rest, found, held = np.zeros((7, 0), np.int64), [], 0
         for last, batch in _with_last(batches):
             rows = rest if batch is None else np.concatenate([rest, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
             new = np.flatnonzero((np.diff(rows[:2], axis=1) != 0).any(axis=0)) + 1

@@ -156,3 +156,37 @@ def test_links_that_no_fingerprint_shows(spark):
     rows += [(100, " ".join(words[:30])), (101, "  ".join(words[:30])), (102, " \n"), (103, "")]
     got = simhash.representatives(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted(r["doc_id"] for r in got) == [*range(0, 2 * pairs, 2), 100, 102]
+
+
+def copies_of_one(n, rng):
+    """A text and ``n`` copies with words exchanged: most are alike with the text, few with each other, some with none."""
+    words = [f"w{k}" for k in range(3000)]
+    base = [rng.choice(words) for _ in range(150)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, n + 1):
+        other = list(base)
+        for at in rng.sample(range(len(base)), rng.randrange(1, 5)):
+            other[at] = rng.choice(words)
+        rows.append((k, " ".join(other)))
+    return rows
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 16])
+def test_pairs_of_many_copies(spark, monkeypatch, block):
+    """The pairs to verify grow with the copies, not with their square, and no class is lost."""
+    rows, verified, pairs = copies_of_one(300, random.Random(11)), simhash._verified, []
+
+    def counted(found, *given):
+        pairs.append(found.count())
+        return verified(found, *given)
+
+    monkeypatch.setattr(simhash, "_verified", counted)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    got = simhash.representatives(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    classes = brute_classes([text for _, text in rows])
+    first = {}
+    for doc_id, text in rows:
+        first.setdefault(classes[text], doc_id)
+    assert sorted(r["doc_id"] for r in got) == sorted(first.values()) and 1 < len(got) < 150
+    # The first count is that of the fingerprints' pairs.
+    assert sum(pairs[1:]) < 10 * len(rows)
