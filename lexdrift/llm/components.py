@@ -12,7 +12,7 @@ MAX_ROUNDS = 60
 
 def _star(links: DataFrame, smallest: DataFrame) -> DataFrame:
     """Every far end of a link takes the smallest neighbour of the near end."""
-    return links.join(smallest, "near").select(F.col("far").alias("near"), F.col("least").alias("far"))
+    return links.join(smallest.hint("merge"), "near").select(F.col("far").alias("near"), F.col("least").alias("far"))
 
 
 def components(links: DataFrame) -> DataFrame:

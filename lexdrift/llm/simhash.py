@@ -12,6 +12,9 @@ Texts of a given similarity are found by several fingerprints over their word se
 verified on their shingles, and the links that no fingerprint shows by the first of their shingles in an order of
 all (`representatives`).
 
+Joins are told to merge: the planner goes by the bytes of the files that a table is read from, and rows exploded
+or unpacked from few of them can be larger than the driver, which would collect them for a broadcast.
+
 Defined cases: a null text is empty; a text without words has fingerprint zero and links like
 any other; repeated rows and copies share a fingerprint; documents with null ids are classed
 and a class of them alone has a null id; an empty table gives no rows.
@@ -167,7 +170,7 @@ def links(fps: DataFrame) -> DataFrame:
     for level in range(1, CUTS):
         rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
         sizes = rows.groupBy("block", "key").agg(F.count("*").alias("n")).where("n > 1")
-        rows = stored(rows.join(sizes, ["block", "key"]), "blocks")
+        rows = stored(rows.join(sizes.hint("merge"), ["block", "key"]), "blocks")
         found.append(_linked(rows.where(F.col("n") <= BLOCK), F.col("block")))
         rows = rows.where(F.col("n") > BLOCK)
         if rows.isEmpty():
@@ -275,9 +278,10 @@ def similar_texts(prints: DataFrame, texts: DataFrame, n: int, width: int, simil
     for k in range(n):
         fp = F.col(f"f{k}")
         first = stored(nodes.groupBy(fp.alias("fp")).agg(F.min("hash").alias("first")), "first")
-        star = nodes.join(first, fp == first["fp"]).select(F.col("hash").alias("a"), F.col("first").alias("b"))
-        linked = links(first.select("fp")).join(first.select(F.col("fp").alias("a"), F.col("first").alias("first a")), "a")
-        linked = linked.join(first.select(F.col("fp").alias("b"), F.col("first").alias("first b")), "b")
+        star = nodes.join(first.hint("merge"), fp == first["fp"]).select(F.col("hash").alias("a"), F.col("first").alias("b"))
+        linked = links(first.select("fp"))
+        for c in ("a", "b"):
+            linked = linked.join(first.select(F.col("fp").alias(c), F.col("first").alias(f"first {c}")).hint("merge"), c)
         both = star.unionByName(linked.select(F.col("first a").alias("a"), F.col("first b").alias("b"))).where("a <> b")
         # Written one by one: a plan of all together is large for the driver.
         pairs.append(stored(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "pairs"))
@@ -291,7 +295,7 @@ def _verified(found: DataFrame, texts: DataFrame, width: int, similarity: float)
     ends = found.select(F.col("a").alias("hash")).unionByName(found.select(F.col("b").alias("hash"))).distinct()
     sets = stored(_shingled(texts.join(ends, "hash", "left_semi").dropDuplicates(["hash"]), width), "shingles")
     of_a, of_b = (sets.select(F.col("hash").alias(c), F.col("shingles").alias(f"of {c}")) for c in ("a", "b"))
-    met = found.join(of_a, "a").join(of_b, "b")
+    met = found.join(of_a.hint("merge"), "a").join(of_b.hint("merge"), "b")
     shared = F.size(F.array_intersect("of a", "of b"))
     total = F.size("of a") + F.size("of b") - shared
     return met.where((total == 0) | (shared >= similarity * total)).select("a", "b")
@@ -327,14 +331,14 @@ def _may_meet(rows: DataFrame, similarity: float) -> DataFrame:
     sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("size").alias("least")).where("n > 1")
     other = F.greatest("least", similarity * F.col("size"))
     needed = F.ceil(similarity / (1 + similarity) * (F.col("size") + other) - 1e-6)
-    rows = rows.join(sizes, "key").where(F.col("place") < F.col("size") - needed + SHARED)
+    rows = rows.join(sizes.hint("merge"), "key").where(F.col("place") < F.col("size") - needed + SHARED)
     return rows.select("key", "hash", "size", "place", "n")
 
 
 def _with_class(rows: DataFrame, links: DataFrame) -> DataFrame:
     """``rows`` (hash, ...) with the component that ``links`` give, their own hash without one."""
     classes = components(links).select(F.col("node").alias("hash"), "component")
-    return rows.join(classes, "hash", "left").withColumn("component", F.coalesce("component", "hash"))
+    return rows.join(classes.hint("merge"), "hash", "left").withColumn("component", F.coalesce("component", "hash"))
 
 
 def _central(rows: DataFrame, similarity: float) -> DataFrame:
@@ -350,7 +354,7 @@ def _central(rows: DataFrame, similarity: float) -> DataFrame:
         most = F.least(place, c["place"]) + F.least(size - place, c["size"] - c["place"])
         return (c["component"] != F.col("component")) & (most * (1 + similarity) >= similarity * (size + c["size"]) - 1e-6)
 
-    met = rows.join(best, "key").select("hash", F.explode(F.filter("best", near)["hash"]).alias("other"))
+    met = rows.join(best.hint("merge"), "key").select("hash", F.explode(F.filter("best", near)["hash"]).alias("other"))
     return met.select(F.least("hash", "other").alias("a"), F.greatest("hash", "other").alias("b")).distinct()
 
 
@@ -360,7 +364,7 @@ def _met(rows: DataFrame, similarity: float) -> DataFrame:
     Sets with the same key meet chunk by chunk; those of the key's largest class only meet the others."""
     sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key")
     sizes = sizes.agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("main")).where("n > main.n")
-    rows = rows.drop("n").join(sizes, "key")
+    rows = rows.drop("n").join(sizes.hint("merge"), "key")
     main, few = F.col("component") == F.col("main.component"), F.col("n") <= BLOCK
     mains, others = F.ceil(F.col("main.n") / BLOCK), F.ceil((F.col("n") - F.col("main.n")) / BLOCK)
     turn, zero = F.xxhash64("hash"), F.lit(0).cast("bigint")
@@ -464,7 +468,7 @@ def representatives(docs: DataFrame, width: int = 5, similarity: float = 0.8, n:
     prints = stored(_set_fingerprints(docs, n), "fingerprints")
     linked = stored(similar_texts(prints, docs.select("hash", "text"), n, width, similarity), "similar")
     found = components(linked).withColumnRenamed("node", "hash")
-    classed = prints.join(found, "hash", "left").withColumn("component", F.coalesce("component", "hash"))
+    classed = prints.join(found.hint("merge"), "hash", "left").withColumn("component", F.coalesce("component", "hash"))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("hash"))
     chosen = classed.groupBy("component").agg(F.min(order).alias("first")).select("first.*")
     keys = chosen.select(F.col("doc_id").alias("its id"), F.col("hash").alias("its hash"))

@@ -5,7 +5,7 @@ import random
 import corpus_pipeline as cp
 import pytest
 
-from lexdrift.llm import secret_scan, simhash
+from lexdrift.llm import components, secret_scan, simhash
 
 from .conftest import table
 from .test_contracts import documents, words_of
@@ -190,3 +190,41 @@ def test_pairs_of_many_copies(spark, monkeypatch, block):
     assert sorted(r["doc_id"] for r in got) == sorted(first.values()) and 1 < len(got) < 150
     # The first count is that of the fingerprints' pairs.
     assert sum(pairs[1:]) < 10 * len(rows)
+
+
+@pytest.fixture
+def small_broadcasts(spark):
+    """As with a small driver: a table that is broadcast may have 32 MB in memory, be it sized lower by the planner or not."""
+    name = "spark.sql.maxBroadcastTableSize"
+    spark.conf.set(name, "32m")
+    yield
+    spark.conf.unset(name)
+
+
+def test_exploded_blocks_are_not_broadcast(spark, small_broadcasts):
+    """Each fingerprint has a row for each of 16 blocks: 0.5 MB of files become 80 MB in memory."""
+    rng = random.Random(13)
+    ones = [rng.getrandbits(64) for _ in range(15_000)]
+    rows = [(simhash._signed(f ^ change),) for f in ones for change in (0, 1 << rng.randrange(64))]
+    frame = cp.stored(spark.createDataFrame(rows, "fp bigint"), "fingerprints")
+    found = {frozenset(r) for r in simhash.links(frame).collect()}
+    assert found == {frozenset([a, b]) for (a,), (b,) in zip(rows[::2], rows[1::2])}
+
+
+def test_only_measured_tables_are_broadcast(spark, monkeypatch):
+    """What the planner sizes by files is merged, small or not: only ids behind a shuffle, which counts them, and one
+    row of each group of equal sets may be broadcast."""
+    stored, plans = simhash.stored, []
+
+    def recorded(df, *given):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, *given)
+
+    for module in (simhash, components):
+        monkeypatch.setattr(module, "stored", recorded)
+    rows = copies_of_one(80, random.Random(11)) + [(100, "a b c"), (101, "A b c")]
+    got = simhash.representatives(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    joins = [line for plan in plans for line in plan.splitlines() if "BroadcastHashJoin" in line or "NestedLoop" in line]
+    assert [j for j in joins if "LeftSemi" not in j and "[whole#" not in j] == []
+    assert sum("SortMergeJoin" in plan for plan in plans) > 10 and {100, 101} & {r["doc_id"] for r in got.collect()} == {100}
