@@ -12,8 +12,8 @@ Texts of a given similarity are found by several fingerprints over their word se
 verified on their shingles, and the links that no fingerprint shows by the first of their shingles in an order of
 all (`representatives`).
 
-Joins are told to merge: the planner goes by the bytes of the files that a table is read from, and rows exploded
-or unpacked from few of them can be larger than the driver, which would collect them for a broadcast.
+Joins of exploded or unpacked rows are told to merge: the planner goes by the bytes of the files that they are read
+from, and what few of them hold can be larger than the driver, which would collect it for a broadcast.
 
 Defined cases: a null text is empty; a text without words has fingerprint zero and links like
 any other; repeated rows and copies share a fingerprint; documents with null ids are classed
